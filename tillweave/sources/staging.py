@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_local_root: str | None = None
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -21,9 +22,10 @@ def staging_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="tillweave-stage-")
-    spark.conf.set(_SETTING, root)
-    return root
+    global _local_root
+    if _local_root is None:
+        _local_root = tempfile.mkdtemp(prefix="tillweave-stage-")
+    return _local_root
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
