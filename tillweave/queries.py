@@ -9,7 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillweave.operators import baskets, campaigns, performance, redeemers
+from tillweave.operators import (
+    audiences,
+    baskets,
+    brand_rules,
+    campaigns,
+    invoicing,
+    market,
+    partners,
+    performance,
+    pricing,
+    redeemers,
+    reshape,
+    seasonal,
+    sites,
+)
+from tillweave.operators.brand_rules import BrandRule, Clause
+from tillweave.plans import campaign_reports, partner_strategy
+from tillweave.sources.staging import stage
 from tillweave.sources.standin import AS_OF, SEASON_AS_OF, StandIn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,19 +53,34 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 # ---- campaign core ----
 
 
-def config_of(s: StandIn, **kwargs) -> DataFrame:
+def shared(s: StandIn, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A relation several branches of one query read: staged once."""
+    if name not in s.built:
+        s.built[name] = stage(build(), name)
+    return s.built[name]
+
+
+def plain_config(s: StandIn, **kwargs) -> DataFrame:
     options = {"campaign_code": "CAMP-1", "exclude_ids": ["1"], "prefix": "BOOST_"} | kwargs
     return campaigns.campaign_config(s.offers(), s.allocations(), **options)
 
 
-def calendar_of(s: StandIn, *, horizon: str = "campaign", **kwargs) -> DataFrame:
-    return campaigns.campaign_calendar(config_of(s, **kwargs), s.dim_date(), horizon=horizon)
+def config_of(s: StandIn, weeks: int | None = None) -> DataFrame:
+    return shared(s, f"config-{weeks}", lambda: plain_config(s, pre_weeks=weeks, post_weeks=weeks))
+
+
+def calendar_of(s: StandIn, *, horizon: str = "campaign", weeks: int | None = None) -> DataFrame:
+    return campaigns.campaign_calendar(config_of(s, weeks), s.dim_date(), horizon=horizon)
 
 
 def sales_of(s: StandIn) -> DataFrame:
     return campaigns.campaign_sales(s.lines(), config_of(s), s.brand_articles())
 
 
+def shared_sales(s: StandIn) -> DataFrame:
+    return shared(s, "sales", lambda: sales_of(s))
+
+
 def campaign_rewards(s: StandIn) -> DataFrame:
     return s.rewards().join(config_of(s).select("offer_id"), "offer_id", "left_semi")
 
@@ -61,18 +93,22 @@ def channel_redemptions(s: StandIn) -> DataFrame:
     return campaigns.offer_redemptions(campaign_rewards(s), s.brand_articles(), s.headers(), calendar_of(s))
 
 
+def weekly_activity(s: StandIn) -> DataFrame:
+    return redeemers.weekly_shopper_activity(s.lines(), s.dim_date(), config_of(s), s.brand_articles())
+
+
 def segments_of(s: StandIn, activity: DataFrame) -> DataFrame:
     return redeemers.redeemer_segments(redeemers.brand_redeemers(plain_redemptions(s), s.brand_articles()), activity)
 
 
 @query
 def campaign_config(s: StandIn) -> DataFrame:
-    return config_of(s)
+    return plain_config(s)
 
 
 @query
 def campaign_config_fixed_weeks(s: StandIn) -> DataFrame:
-    return config_of(s, pre_weeks=4, post_weeks=4, exclude_ids=[])
+    return plain_config(s, pre_weeks=4, post_weeks=4, exclude_ids=[])
 
 
 @query
@@ -97,25 +133,25 @@ def redeemer_segments(s: StandIn) -> DataFrame:
 
 @query
 def redeemer_segments_by_week(s: StandIn) -> DataFrame:
-    return segments_of(s, redeemers.weekly_shopper_activity(s.lines(), s.dim_date(), config_of(s), s.brand_articles()))
+    return segments_of(s, weekly_activity(s))
 
 
 @query
 def campaign_performance(s: StandIn) -> DataFrame:
-    sales = sales_of(s)
+    sales = shared_sales(s)
     segments = segments_of(s, redeemers.shopper_activity(sales))
     return performance.campaign_performance(plain_redemptions(s), s.brand_articles(), sales, segments)
 
 
 @query
 def shopper_retention(s: StandIn) -> DataFrame:
-    activity = redeemers.shopper_activity(sales_of(s))
+    activity = shared(s, "activity", lambda: redeemers.shopper_activity(sales_of(s)))
     return redeemers.shopper_retention(activity, segments_of(s, activity))
 
 
 @query
 def non_boosters(s: StandIn) -> DataFrame:
-    activity = redeemers.weekly_shopper_activity(s.lines(), s.dim_date(), config_of(s), s.brand_articles())
+    activity = weekly_activity(s)
     return redeemers.non_boosters(activity, s.activations())
 
 
@@ -135,7 +171,7 @@ def scan_tag_rates(s: StandIn) -> DataFrame:
 
 
 def boosted_of(s: StandIn) -> DataFrame:
-    calendar = calendar_of(s, pre_weeks=4, post_weeks=4)
+    calendar = calendar_of(s, weeks=4)
     redemptions = campaigns.offer_redemptions(campaign_rewards(s), s.brand_articles(), s.headers(), calendar)
     return campaigns.boosted_sales_lines(s.lines(), calendar, s.brand_articles(), redemptions)
 
@@ -166,7 +202,7 @@ def segment_profile_wide(s: StandIn) -> DataFrame:
 
 @query
 def segment_profile_share(s: StandIn) -> DataFrame:
-    segments = segments_of(s, redeemers.weekly_shopper_activity(s.lines(), s.dim_date(), config_of(s), s.brand_articles()))
+    segments = segments_of(s, weekly_activity(s))
     return redeemers.segment_profile_share(segments, s.customers(), channel_redemptions(s))
 
 
@@ -182,5 +218,360 @@ def basket_kpis(s: StandIn) -> DataFrame:
 
 @query
 def week_article_channel_facts(s: StandIn) -> DataFrame:
-    calendar = calendar_of(s, pre_weeks=4, post_weeks=4)
+    calendar = calendar_of(s, weeks=4)
     return baskets.week_article_channel_facts(s.headers(), s.lines(), calendar, s.brand_articles(), campaign_rewards(s))
+
+
+@query
+def campaign_master_report(s: StandIn) -> DataFrame:
+    return campaign_reports.campaign_master_report(
+        config_of(s), s.lines(), s.brand_articles(), s.rewards(), s.activations(), s.feature_history(), categories=CATEGORIES
+    )
+
+
+@query
+def brand_metrics(s: StandIn) -> DataFrame:
+    return campaign_reports.brand_metrics(
+        config_of(s), s.lines(), s.headers(), s.dim_date(), s.brand_articles(), s.rewards(), s.activations()
+    )
+
+
+# ---- brand rules, invoicing ----
+
+RULES = [
+    BrandRule("Ringworks", [Clause(name_has=["ring"], name_lacks=["old"])]),
+    BrandRule("Widget & Co", [Clause(name_has=["widget", "gizmo"]), Clause(brand_is=["Brand#7"], name_lacks=["widget"])], deny_ids=["7", "70"]),
+    BrandRule("Twelve", [Clause(brand_has=["#12"], brand_lacks=["#125"])], allow_ids=["3", "30", "300"], disputed_ids=["30"]),
+    BrandRule("Hot Line", [Clause(name_has=["hot "], brand_lacks=["#1"])]),
+]
+
+
+@query
+def brand_rule_classifier(s: StandIn) -> DataFrame:
+    return brand_rules.brand_rule_classifier(s.articles(), RULES, s.lines())
+
+
+@query
+def duplicate_brand_check(s: StandIn) -> DataFrame:
+    return brand_rules.duplicate_brand_check(brand_rules.brand_rule_classifier(s.articles(), RULES, s.lines()))
+
+
+def vendor_arrays_of(s: StandIn) -> DataFrame:
+    return invoicing.offer_vendor_arrays(redeemed_of(s), s.article_vendors())
+
+
+def redeemed_of(s: StandIn) -> DataFrame:
+    return shared(s, "redeemed-articles", lambda: invoicing.redeemed_offer_articles(s.rewards(), s.offers()))
+
+
+@query
+def offer_vendor_arrays(s: StandIn) -> DataFrame:
+    lists = vendor_arrays_of(s)
+    return lists.select("offer_id", "vendor_count", *[F.to_json(c).alias(c) for c in ("articles", "vendor_ids", "vendor_descriptions")])
+
+
+@query
+def invoice_feed(s: StandIn) -> DataFrame:
+    own_brand = invoicing.offer_own_brand(redeemed_of(s), s.article_vendors())
+    return invoicing.invoice_feed(s.kpis(), vendor_arrays_of(s), own_brand, as_of=AS_OF)
+
+
+# ---- loyalty, audiences ----
+
+
+def fuel_of(s: StandIn) -> DataFrame:
+    return s.partner_transactions().filter(F.col("source") == "fuel")
+
+
+def non_fuel_of(s: StandIn) -> DataFrame:
+    rows = s.partner_transactions().filter(F.col("source") == "shop")
+    return rows.withColumn("reference", F.concat_ws("-", "partner_id", "txn_date"))
+
+
+def points_of(s: StandIn) -> DataFrame:
+    fuel = fuel_of(s).withColumn("transaction_id", F.col("receipt_id"))
+    other = non_fuel_of(s).withColumn("transaction_id", F.col("reference"))
+    return partners.partner_points(fuel, other)
+
+
+@query
+def partner_points_summary(s: StandIn) -> DataFrame:
+    return partners.partner_points_summary(points_of(s), partner_id="2")
+
+
+@query
+def partner_points_by_partner(s: StandIn) -> DataFrame:
+    return points_of(s)
+
+
+@query
+def partner_breadth(s: StandIn) -> DataFrame:
+    return partners.partner_breadth(points_of(s), s.partners(), partner_name="NATION_2")
+
+
+@query
+def engagement_recency(s: StandIn) -> DataFrame:
+    return partners.engagement_recency(fuel_of(s), as_of=AS_OF, partner_id="2")
+
+
+@query
+def nearest_site(s: StandIn) -> DataFrame:
+    stores = s.sites().filter(F.col("site_type") == "STORE").select(F.col("site_id").alias("store_id"), "lat", "lon")
+    return sites.nearest_site(stores, s.sites(), site_filter=F.col("site_type") == "FUEL")
+
+
+@query
+def customer_nearest_site(s: StandIn) -> DataFrame:
+    stores = s.sites().filter(F.col("site_type") == "STORE").select(F.col("site_id").alias("store_id"), "lat", "lon")
+    nearest = sites.nearest_site(stores, s.sites(), site_filter=F.col("site_type") == "FUEL")
+    return sites.customer_nearest_site(s.customers(), nearest, default_store_id="28")
+
+
+@query
+def dedup_reference_sales(s: StandIn) -> DataFrame:
+    return partners.dedup_reference_sales(non_fuel_of(s))
+
+
+@query
+def contactable_customers(s: StandIn) -> DataFrame:
+    return audiences.contactable_customers(s.customers(), s.preferences(), prefs_required=["allow_all", "allow_partner"])
+
+
+@query
+def first_event_cohort(s: StandIn) -> DataFrame:
+    return partners.first_event_cohort(fuel_of(s), start=dt.date(2000, 2, 1), end=dt.date(2000, 6, 17), partner_id="2")
+
+
+@query
+def unsubscribed_customers(s: StandIn) -> DataFrame:
+    return audiences.unsubscribed_customers(s.email_sends(), s.communications(), s.email_clicks())
+
+
+@query
+def segmentation_strategy(s: StandIn) -> DataFrame:
+    return partner_strategy.partner_strategy(
+        fuel_of(s), non_fuel_of(s), s.partners(), s.customers(), s.preferences(), s.risk_cohort(),
+        s.email_sends(), s.communications(), s.email_clicks(),
+        as_of=AS_OF, partner_id="2", partner_name="NATION_2", prefs_required=["allow_all", "allow_partner"], thresholds=STRATEGY,
+    )
+
+
+# the stand-in customers deal with up to seven partners and spend more than grocery customers do
+STRATEGY = audiences.Thresholds(
+    high_sales=30000, mid_sales=9000, many_partners=7, engaged_visits=0.2, engaged_recent_days=400, engaged_min_transactions=3,
+    frequent_visits=0.3, frequent_sales=8000, infrequent_visits=0.1, infrequent_sales=2000, mid_transactions=0.4,
+)
+
+
+@query
+def lifecycle_audience(s: StandIn) -> DataFrame:
+    return audiences.lifecycle_audience(
+        s.customers(), s.preferences(), fuel_of(s), s.seeds(),
+        as_of=AS_OF, partner_id="2", seed_partner_id="1", prefs_required=["allow_all", "allow_partner"],
+        campaign_id="CAMPAIGN_A", execution_id="EXECUTION_A",
+    )
+
+
+# ---- seasonal ----
+
+
+def plan_weeks_of(s: StandIn) -> DataFrame:
+    return seasonal.explode_week_ranges(s.plan())
+
+
+def scaffold_of(s: StandIn) -> DataFrame:
+    return seasonal.days_to_event(plan_weeks_of(s), s.profit(), s.dim_date(), as_of=SEASON_AS_OF, sales_org="2010")
+
+
+@query
+def explode_week_ranges(s: StandIn) -> DataFrame:
+    return plan_weeks_of(s)
+
+
+@query
+def days_to_event(s: StandIn) -> DataFrame:
+    return scaffold_of(s).drop("is_this_year", "is_last_year")
+
+
+@query
+def ty_ly_aligned(s: StandIn) -> DataFrame:
+    scaffold = shared(s, "season-scaffold", lambda: scaffold_of(s))
+    return seasonal.ty_ly_aligned(scaffold, plan_weeks_of(s), as_of=SEASON_AS_OF)
+
+
+@query
+def first_vendor_per_article(s: StandIn) -> DataFrame:
+    return seasonal.first_vendor_per_article(s.article_sites(), sales_org="2010")
+
+
+@query
+def latest_vendor_per_article(s: StandIn) -> DataFrame:
+    return seasonal.latest_vendor_per_article(s.article_sites(), sales_org="2010")
+
+
+# ---- market share ----
+
+SCOPE = {"departments": ["economy", "standard", "promo", "large"], "segments": ["brand#3", "brand#11"]}
+MARKETS = {"Total": "total", "Competitor": "competitor", "Own": "own", "Franchise": "franchise"}
+LEVELS = ["department", "segment"]
+
+
+def own_profit_of(s: StandIn) -> DataFrame:
+    return market.weekly_own_profit(s.profit(), as_of=AS_OF, sales_org="2010", **SCOPE)
+
+
+def spread_market_of(s: StandIn) -> DataFrame:
+    return market.market_by_segment(s.market(), as_of=AS_OF, markets=MARKETS, **SCOPE)
+
+
+def canonical_of(s: StandIn) -> DataFrame:
+    return market.canonical_description(s.market(), as_of=AS_OF, **SCOPE)
+
+
+def matched_market_of(s: StandIn) -> DataFrame:
+    spread = shared(s, "market-spread", lambda: spread_market_of(s))
+    canonical = shared(s, "market-canonical", lambda: canonical_of(s))
+    return market.two_way_match(spread, canonical)
+
+
+def report_days_of(s: StandIn) -> DataFrame:
+    return shared(s, "report-days", lambda: market.report_calendar(s.dim_date(), as_of=AS_OF))
+
+
+def combined_of(s: StandIn) -> DataFrame:
+    matched = shared(s, "market-matched", lambda: matched_market_of(s))
+    return market.own_vs_market(own_profit_of(s), matched, report_days_of(s), s.articles())
+
+
+@query
+def weekly_own_profit(s: StandIn) -> DataFrame:
+    return own_profit_of(s)
+
+
+@query
+def market_by_segment(s: StandIn) -> DataFrame:
+    return spread_market_of(s)
+
+
+@query
+def canonical_description(s: StandIn) -> DataFrame:
+    return canonical_of(s)
+
+
+@query
+def two_way_match(s: StandIn) -> DataFrame:
+    return matched_market_of(s)
+
+
+@query
+def own_vs_market(s: StandIn) -> DataFrame:
+    return combined_of(s)
+
+
+@query
+def market_share_report(s: StandIn) -> DataFrame:
+    own = market.own_hierarchy(s.profit(), report_days_of(s), as_of=AS_OF, sales_org="2010", levels=LEVELS)
+    return market.market_share_report(combined_of(s), own, levels=LEVELS, markets=list(MARKETS.values()), as_of=AS_OF)
+
+
+# ---- pricing ----
+
+NOT_PRICED = ["Brand#5", "Brand#21"]
+
+
+def price_list_of(s: StandIn) -> DataFrame:
+    return pricing.current_price_list(
+        s.prices(), s.stores(), orgs=["9050", "9060"], banner_contains=["GreenCart"], banner_prefixes=["ValueBarn"]
+    )
+
+
+def shelf_of(s: StandIn) -> DataFrame:
+    return pricing.modal_shelf_price(s.store_articles(), s.stores(), s.article_uoms(), as_of=AS_OF, excluded_categories=NOT_PRICED)
+
+
+def standard_shelf_of(s: StandIn) -> DataFrame:
+    return pricing.modal_shelf_price(
+        s.store_articles(), s.stores(), s.article_uoms(), as_of=AS_OF, excluded_categories=NOT_PRICED, flags=[], districts=["UPPER"],
+        price=F.coalesce("standard_price", "retail_price"),
+    )
+
+
+def recommended_of(s: StandIn) -> DataFrame:
+    return pricing.recommended_price(
+        s.prices(), s.stores(), s.articles(), s.article_uoms(),
+        sales_org="2010", districts=["UPPER", "LOWER"], excluded_categories=NOT_PRICED, excluded_stores=["27"],
+    )
+
+
+def wholesale_of(s: StandIn) -> DataFrame:
+    return pricing.latest_wholesale_cost(s.purchases(), s.dim_date(), s.article_uoms())
+
+
+def pos_of(s: StandIn) -> DataFrame:
+    return pricing.latest_pos_price(s.pos_lines(), s.article_uoms(), as_of=AS_OF, excluded_categories=NOT_PRICED)
+
+
+def trailing_of(s: StandIn) -> DataFrame:
+    return pricing.trailing_sales(s.pos_lines(), s.article_uoms(), as_of=AS_OF)
+
+
+@query
+def current_price_list(s: StandIn) -> DataFrame:
+    return price_list_of(s)
+
+
+@query
+def modal_shelf_price(s: StandIn) -> DataFrame:
+    return shelf_of(s)
+
+
+@query
+def modal_standard_price(s: StandIn) -> DataFrame:
+    return standard_shelf_of(s)
+
+
+@query
+def recommended_price(s: StandIn) -> DataFrame:
+    return recommended_of(s)
+
+
+@query
+def latest_wholesale_cost(s: StandIn) -> DataFrame:
+    return wholesale_of(s)
+
+
+@query
+def latest_pos_price(s: StandIn) -> DataFrame:
+    return pos_of(s)
+
+
+@query
+def trailing_sales_13w(s: StandIn) -> DataFrame:
+    return trailing_of(s)
+
+
+@query
+def price_comparison_report(s: StandIn) -> DataFrame:
+    return pricing.price_comparison_report(
+        price_list_of(s), pos_of(s), shelf_of(s), recommended_of(s), wholesale_of(s), trailing_of(s), s.articles(), s.stores(),
+        s.price_families(), s.price_promises(), excluded_categories=NOT_PRICED, excluded_sub_categories=["old rod", "cold rod"],
+    )
+
+
+@query
+def price_source_reconcile(s: StandIn) -> DataFrame:
+    return pricing.price_source_reconcile(standard_shelf_of(s), recommended_of(s))
+
+
+# ---- reshape, operations ----
+
+
+@query
+def dynamic_week_pivot(s: StandIn) -> DataFrame:
+    return reshape.dynamic_week_pivot(s.store_articles(), s.dim_date(), as_of=AS_OF, category="Brand#3")
+
+
+@query
+def job_audit(s: StandIn) -> DataFrame:
+    jobs = reshape.job_audit(s.jobs(), table_name="table_3", zone="Pacific/Auckland")
+    return jobs.select("start_date", "user_email", "statement_type", "total_slot_ms", "destination_table.table_id")

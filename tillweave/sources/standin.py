@@ -7,6 +7,8 @@ have to tell them apart.
 from __future__ import annotations
 
 import datetime as dt
+import functools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +26,25 @@ def _text(name: str):
     return F.col(name).cast("string")
 
 
+def _once(build: Callable[[StandIn], DataFrame]) -> Callable[[StandIn], DataFrame]:
+    """Build a logical table once per instance, so that every use shares one plan."""
+
+    @functools.wraps(build)
+    def get(self: StandIn) -> DataFrame:
+        if build.__name__ not in self.built:
+            self.built[build.__name__] = build(self)
+        return self.built[build.__name__]
+
+    return get
+
+
 class StandIn:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.tables = TableBook(spark, directory)
+        self.built: dict[str, DataFrame] = {}
 
+    @_once
     def dim_date(self) -> DataFrame:
         n = F.col("id")
         year = F.floor((n + 183) / 365.25)
@@ -49,18 +65,24 @@ class StandIn:
             F.when((F.month(day) == 12) & (F.day(day) == 25), "Christmas Day").alias("holiday_name"),
         )
 
-    def lines(self) -> DataFrame:
-        orders = self.tables["orders"].select(
+    @_once
+    def _receipts(self) -> DataFrame:
+        online = F.col("o_orderstatus") == "O"
+        return self.tables["orders"].select(
             "o_orderkey",
             F.to_date("o_orderdate").alias("receipt_date"),
             F.when(F.col("o_orderpriority") == "5-LOW", None)
             .when(F.col("o_orderkey") % 11 == 0, "")
             .otherwise(_text("o_custkey"))
             .alias("scv_id"),
-            (F.col("o_orderstatus") == "O").alias("is_online_order"),
+            online.alias("is_online_order"),
             (F.col("o_orderkey") % 5 != 0).alias("is_online_order_completed"),
+            F.when(online, F.concat(F.lit("C"), _text("o_orderkey"))).otherwise("").alias("commercial_id"),
         )
-        joined = self.tables["lineitem"].join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+    @_once
+    def lines(self) -> DataFrame:
+        joined = self.tables["lineitem"].join(self._receipts(), F.col("l_orderkey") == F.col("o_orderkey"))
         return joined.select(
             _text("l_orderkey").alias("receipt_id"),
             _text("l_partkey").alias("article_id"),
@@ -68,7 +90,7 @@ class StandIn:
             "scv_id",
             "is_online_order",
             "is_online_order_completed",
-            F.when(F.col("is_online_order"), F.concat(F.lit("C"), _text("l_orderkey"))).otherwise("").alias("commercial_id"),
+            "commercial_id",
             "receipt_date",
             F.date_sub("receipt_date", (F.col("l_orderkey") % 3).cast("int")).alias("online_order_date"),
             F.col("l_extendedprice").alias("gst_included_amount"),
@@ -79,12 +101,23 @@ class StandIn:
             "l_linenumber",
         )
 
+    @_once
     def headers(self) -> DataFrame:
-        keys = ["receipt_id", "commercial_id", "scv_id", "receipt_date", "is_online_order"]
-        return self.lines().groupBy(*keys).agg(
-            F.sum("gst_included_amount").alias("gst_included_amount"), F.sum("quantity").alias("quantity")
+        """One row per receipt; an order has one row, so its lines are summed before they meet it."""
+        totals = self.tables["lineitem"].groupBy("l_orderkey").agg(
+            F.sum("l_extendedprice").alias("gst_included_amount"), F.sum("l_quantity").alias("quantity")
+        )
+        return totals.join(self._receipts(), F.col("l_orderkey") == F.col("o_orderkey")).select(
+            _text("l_orderkey").alias("receipt_id"),
+            "commercial_id",
+            "scv_id",
+            "receipt_date",
+            "is_online_order",
+            "gst_included_amount",
+            "quantity",
         )
 
+    @_once
     def offers(self) -> DataFrame:
         key = F.col("r_regionkey")
         return self.tables["region"].select(
@@ -96,9 +129,11 @@ class StandIn:
             F.lit(True).alias("is_current"),
         )
 
+    @_once
     def _customers_by_region(self) -> DataFrame:
         return self.tables["customer"].join(self.tables["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
 
+    @_once
     def allocations(self) -> DataFrame:
         start = F.lit(FIRST_OFFER_START)
         shift = F.col("n_regionkey") * 168
@@ -110,6 +145,7 @@ class StandIn:
             F.when(F.col("c_custkey") % 10 == 9, "Inactive").otherwise("Active").alias("allocation_status"),
         )
 
+    @_once
     def brand_articles(self) -> DataFrame:
         return self.tables["part"].select(
             (F.col("p_partkey") % 5).cast("string").alias("offer_id"),
@@ -118,6 +154,7 @@ class StandIn:
             F.col("p_name").alias("article_description"),
         )
 
+    @_once
     def rewards(self) -> DataFrame:
         lines = self.lines().filter((F.col("l_returnflag") == "R") & (F.col("scv_id") != ""))
         offers = self.offers().select("offer_id", "offer_start_date")
@@ -141,6 +178,7 @@ class StandIn:
             )
         )
 
+    @_once
     def activations(self) -> DataFrame:
         return (
             self._customers_by_region()
@@ -148,6 +186,7 @@ class StandIn:
             .select(_text("c_custkey").alias("scv_id"), _text("n_regionkey").alias("offer_id"))
         )
 
+    @_once
     def customers(self) -> DataFrame:
         key = F.col("c_custkey")
         return self.tables["customer"].select(
@@ -163,6 +202,7 @@ class StandIn:
             F.timestamp_add("DAY", -(key % 365).cast("int"), F.lit(dt.datetime(2001, 8, 2, 13, 0))).alias("created_at"),
         )
 
+    @_once
     def preferences(self) -> DataFrame:
         key = F.col("c_custkey")
         return self.tables["customer"].select(
@@ -171,20 +211,24 @@ class StandIn:
             (key % 5 != 0).alias("allow_partner"),
         )
 
+    @_once
     def feature_history(self) -> DataFrame:
         dated = self.allocations().select("scv_id", F.col("allocation_start").alias("at_date"))
         return dated.join(self.customers().select("scv_id", "segment_group"), "scv_id")
 
+    @_once
     def risk_cohort(self) -> DataFrame:
         return self.tables["customer"].select(
             _text("c_custkey").alias("scv_id"), F.when(F.col("c_acctbal") < 0, "Risk").otherwise("Stable").alias("cohort")
         )
 
+    @_once
     def partners(self) -> DataFrame:
         return self.tables["nation"].select(
             _text("n_nationkey").alias("partner_id"), F.concat("n_name", F.lit("_NZ")).alias("partner_name")
         )
 
+    @_once
     def partner_transactions(self) -> DataFrame:
         flag = F.col("l_returnflag")
         return (
@@ -206,6 +250,7 @@ class StandIn:
             )
         )
 
+    @_once
     def seeds(self) -> DataFrame:
         return self.tables["supplier"].select(
             F.concat(F.lit("seed-"), _text("s_suppkey")).alias("scv_id"),
@@ -213,6 +258,7 @@ class StandIn:
             (F.col("s_nationkey") % 3).cast("string").alias("partner_id"),
         )
 
+    @_once
     def sites(self) -> DataFrame:
         key = F.col("s_suppkey")
         return self.tables["supplier"].select(
@@ -223,6 +269,7 @@ class StandIn:
             (F.lit(174.0) + (key % 89).cast("double") / 25).alias("lon"),
         )
 
+    @_once
     def stores(self) -> DataFrame:
         key, nation = F.col("s_suppkey"), F.col("s_nationkey")
         name = F.when(nation < 8, "GreenCart ").when(nation < 14, "ValueBarn ").when(nation < 16, "Test GreenCart ").otherwise("Mainway ")
@@ -235,6 +282,7 @@ class StandIn:
             F.when(key % 13 == 0, None).otherwise(key % 17 == 0).alias("is_online_store"),
         )
 
+    @_once
     def articles(self) -> DataFrame:
         key = F.col("p_partkey")
         return self.tables["part"].select(
@@ -249,6 +297,7 @@ class StandIn:
             F.col("p_size").alias("article_size"),
         )
 
+    @_once
     def article_uoms(self) -> DataFrame:
         """Articles with their units of measure as an array of structs: every article by the each, larger ones by the carton."""
         each = F.struct(F.lit("EA").alias("unit_of_measure"), F.lit(1).alias("pack_size"))
@@ -258,15 +307,18 @@ class StandIn:
             F.when(F.col("p_size") >= 20, F.array(each, carton)).otherwise(F.array(each)).alias("uom"),
         )
 
+    @_once
     def article_vendors(self) -> DataFrame:
+        """Vendors of the articles; the smallest sizes have none."""
         code = (F.col("p_partkey") % 7).cast("string")
-        return self.tables["part"].select(
+        return self.tables["part"].filter(F.col("p_size") > 2).select(
             _text("p_partkey").alias("article_id"),
             code.alias("vendor_id"),
             F.when(code != "0", F.concat(F.lit("V"), code)).alias("vendor_description"),
             F.when(F.col("p_partkey") % 4 == 0, "Y").otherwise("N").alias("own_brand"),
         )
 
+    @_once
     def article_sites(self) -> DataFrame:
         """Article x site supply rows with the vendor and the end of the supply agreement."""
         supply = self.tables["lineitem"].join(self.tables["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
@@ -278,6 +330,7 @@ class StandIn:
             F.when(F.col("l_suppkey") % 2 == 0, "9050").otherwise("2010").alias("sales_org"),
         )
 
+    @_once
     def prices(self) -> DataFrame:
         shipped = F.to_date("l_shipdate")
         priced = self.tables["lineitem"].join(self.tables["part"], F.col("l_partkey") == F.col("p_partkey"))
@@ -293,6 +346,7 @@ class StandIn:
             F.col("p_brand").alias("category"),
         )
 
+    @_once
     def store_articles(self) -> DataFrame:
         """Weekly article x store rows: shelf, standard and retail price, promotion flags, life-cycle flags."""
         sold = self.lines().join(
@@ -319,6 +373,46 @@ class StandIn:
             F.col("gst_included_amount").alias("weekly_sales"),
         )
 
+    @_once
+    def pos_lines(self) -> DataFrame:
+        """Till lines with the unit sold, discount and financial week."""
+        parts = self.tables["part"].select(_text("p_partkey").alias("article_id"), "p_retailprice", F.col("p_brand").alias("category"))
+        weeks = self.dim_date().select(F.col("date").alias("receipt_date"), "financial_week_end_date")
+        return (
+            self.lines()
+            .join(parts, "article_id")
+            .join(weeks, "receipt_date")
+            .select(
+                "article_id",
+                "store_id",
+                "receipt_id",
+                "category",
+                "receipt_date",
+                "financial_week_end_date",
+                "is_online_order",
+                F.when(F.col("l_linenumber") == 7, "CT").otherwise("EA").alias("unit_of_measure"),
+                F.when(F.col("l_linenumber") == 6, "R1").otherwise("").alias("return_reason_id"),
+                "unit_price_paid",
+                F.col("p_retailprice").alias("retail_price"),
+                (F.col("gst_included_amount") * 0.1).alias("total_discount"),
+                (F.col("gst_included_amount") / 1.15).alias("gst_excluded_amount"),
+                "quantity",
+            )
+        )
+
+    @_once
+    def price_families(self) -> DataFrame:
+        """Hand-kept list of primary price families."""
+        return self.tables["nation"].select(
+            _text("n_nationkey").alias("price_family_id"), F.when(F.col("n_regionkey") < 3, "Y").otherwise(None).alias("primary_line")
+        )
+
+    @_once
+    def price_promises(self) -> DataFrame:
+        """Hand-kept list of articles under the price promise, with repeated rows."""
+        return self.tables["lineitem"].filter(F.col("l_discount") > 0.09).select(_text("l_partkey").alias("article_id"), F.lit("Y").alias("price_promise"))
+
+    @_once
     def purchases(self) -> DataFrame:
         return self.tables["lineitem"].select(
             _text("l_partkey").alias("article_id"),
@@ -331,6 +425,7 @@ class StandIn:
             F.col("l_linenumber").alias("order_multiple"),
         )
 
+    @_once
     def profit(self) -> DataFrame:
         """Own ledger: sales that were not returned."""
         amount = F.col("gst_included_amount")
@@ -354,6 +449,7 @@ class StandIn:
             )
         )
 
+    @_once
     def market(self) -> DataFrame:
         part = F.col("p_partkey")
         parts = self.tables["part"].select(
@@ -381,6 +477,7 @@ class StandIn:
             )
         )
 
+    @_once
     def plan(self) -> DataFrame:
         return self.tables["part"].select(
             _text("p_partkey").alias("article_id"),
@@ -390,6 +487,7 @@ class StandIn:
             (F.col("p_retailprice") * 0.9).alias("ly_purchase"),
         )
 
+    @_once
     def kpis(self) -> DataFrame:
         """Offer x customer redemption counts per week, as a campaign KPI table holds them."""
         offers = self.offers().select("offer_id", "offer_name", "offer_start_date")
@@ -414,6 +512,7 @@ class StandIn:
         )
 
 
+    @_once
     def email_sends(self) -> DataFrame:
         return (
             self.tables["events"]
@@ -421,9 +520,11 @@ class StandIn:
             .select(F.concat(F.lit("mail "), (F.col("event_id") % 7).cast("string")).alias("email_name"), (F.col("event_id") % 7).cast("string").alias("job_id"))
         )
 
+    @_once
     def communications(self) -> DataFrame:
         return self.tables["events"].filter(F.col("event_type") == "view").select((F.col("event_id") % 5).cast("string").alias("send_id"))
 
+    @_once
     def email_clicks(self) -> DataFrame:
         return (
             self.tables["events"]
@@ -435,6 +536,7 @@ class StandIn:
             )
         )
 
+    @_once
     def jobs(self) -> DataFrame:
         return self.tables["events"].select(
             F.col("ts").cast("timestamp").alias("start_time"),

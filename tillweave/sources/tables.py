@@ -26,8 +26,14 @@ class TableBook:
         self._directory = directory
         self._paths = dict(paths or {})
         self._catalog = dict(catalog or {})
+        self._opened: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self._open(name)
+        return self._opened[name]
+
+    def _open(self, name: str) -> DataFrame:
         if name in self._catalog:
             return self.spark.table(self._catalog[name])
         if name in self._paths:
