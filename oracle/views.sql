@@ -79,7 +79,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS article_id, 'EA' AS unit_of_measure, 1 AS p
 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'CT', p_size FROM part WHERE p_size >= 20
 -- view fx_article_vendor
 SELECT CAST(p_partkey AS VARCHAR) AS article_id, CAST(p_partkey % 7 AS VARCHAR) AS vendor_id,
-  CASE WHEN p_partkey % 7 <> 0 THEN 'V' || CAST(p_partkey % 7 AS VARCHAR) END AS vendor_description, CASE WHEN p_partkey % 4 = 0 THEN 'Y' ELSE 'N' END AS own_brand FROM part
+  CASE WHEN p_partkey % 7 <> 0 THEN 'V' || CAST(p_partkey % 7 AS VARCHAR) END AS vendor_description, CASE WHEN p_partkey % 4 = 0 THEN 'Y' ELSE 'N' END AS own_brand FROM part WHERE p_size > 2
 -- view fx_article_site
 SELECT CAST(l_partkey AS VARCHAR) AS article_id, CAST(l_suppkey AS VARCHAR) AS vendor_code, s_name AS vendor_description, CAST(l_shipdate AS DATE) AS valid_to,
   CASE WHEN l_suppkey % 2 = 0 THEN '9050' ELSE '2010' END AS sales_org FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
@@ -127,3 +127,12 @@ SELECT CAST(user_id AS VARCHAR) AS scv_id, CAST(event_id % 7 AS VARCHAR) AS send
 FROM events WHERE event_type IN ('click', 'purchase')
 -- view fx_job
 SELECT ts AS start_time, CAST(user_id AS VARCHAR) AS user_email, event_type AS statement_type, value AS total_slot_ms, 'table_' || CAST(event_id % 9 AS VARCHAR) AS table_id FROM events
+-- view fx_pos
+SELECT l.article_id, l.store_id, l.receipt_id, p_brand AS category, l.receipt_date, d.financial_week_end_date, l.is_online_order,
+  CASE WHEN l_linenumber = 7 THEN 'CT' ELSE 'EA' END AS unit_of_measure, CASE WHEN l_linenumber = 6 THEN 'R1' ELSE '' END AS return_reason_id, l.unit_price_paid,
+  p_retailprice AS retail_price, l.gst_included_amount * 0.1 AS total_discount, l.gst_included_amount / 1.15 AS gst_excluded_amount, l.quantity
+FROM fx_line l JOIN part ON l.article_id = CAST(p_partkey AS VARCHAR) JOIN fx_dim_date d ON d.date = l.receipt_date
+-- view fx_family
+SELECT CAST(n_nationkey AS VARCHAR) AS price_family_id, CASE WHEN n_regionkey < 3 THEN 'Y' END AS primary_line FROM nation
+-- view fx_promise
+SELECT CAST(l_partkey AS VARCHAR) AS article_id, 'Y' AS price_promise FROM lineitem WHERE l_discount > 0.09

@@ -59,15 +59,5 @@ def duck_rows(con, sql):
 
 
 def differences(left, right, limit=5):
-    """First few differing rows; floats may differ in the last rounded digit."""
-    bad = []
-    for a, b in zip(left, right):
-        same = all(
-            x == y or (isinstance(x, float) and isinstance(y, (int, float)) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1.1e-4))
-            for x, y in zip(a, b)
-        )
-        if not same:
-            bad.append((a, b))
-            if len(bad) >= limit:
-                break
-    return bad
+    """First few differing rows; every value must be equal after rounding."""
+    return [(a, b) for a, b in zip(left, right) if a != b][:limit]

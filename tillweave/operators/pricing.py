@@ -145,6 +145,10 @@ def latest_wholesale_cost(purchases: DataFrame, dim_date: DataFrame, uoms: DataF
     def per_unit(column: str) -> Column:
         return F.try_divide(F.try_divide(F.col(column), F.col("multiple_despatched")), F.col("order_multiple").cast("double"))
 
+    def in_cents(column: str) -> Column:
+        # six digits first: half a cent must not be lost to the binary representation
+        return F.round(F.round(F.col(column) * tax, 6), 2)
+
     invoices = purchases.filter(F.col("base_cost") != 0).select(
         "article_id", "invoice_date", "cost_charge", "store_id", "sourcing_dc",
         per_unit("cost_charge").alias("cost_price"), per_unit("base_cost").alias("unit_price"),
@@ -157,8 +161,8 @@ def latest_wholesale_cost(purchases: DataFrame, dim_date: DataFrame, uoms: DataF
         .join(weeks, "invoice_date", "left")
         .select(
             "article_id", "unit_of_measure", "financial_week_end_date", "sourcing_dc",
-            F.round(F.col("cost_price") * tax, 2).alias("wholesale_cost_price"),
-            F.round(F.col("unit_price") * tax, 2).alias("wholesale_unit_price"),
+            in_cents("cost_price").alias("wholesale_cost_price"),
+            in_cents("unit_price").alias("wholesale_unit_price"),
         )
     )
 

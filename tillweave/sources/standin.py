@@ -199,7 +199,7 @@ class StandIn:
             F.lit(True).alias("is_current"),
             F.lit(False).alias("is_deleted"),
             (key % 6 != 0).alias("is_valid_email"),
-            F.timestamp_add("DAY", -(key % 365).cast("int"), F.lit(dt.datetime(2001, 8, 2, 13, 0))).alias("created_at"),
+            F.timestamp_add("DAY", -(key % 365).cast("int"), F.to_timestamp(F.lit("2001-08-02 13:00:00"))).alias("created_at"),
         )
 
     @_once
