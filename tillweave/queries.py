@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillweave.functions import dates, values
 from tillweave.operators import (
     audiences,
     baskets,
@@ -16,6 +17,7 @@ from tillweave.operators import (
     campaigns,
     invoicing,
     market,
+    membership,
     partners,
     performance,
     pricing,
@@ -45,8 +47,12 @@ def query(build: Callable[[StandIn], DataFrame]) -> Callable[[StandIn], DataFram
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Round doubles half up; eight digits first, so that the order of a sum does not decide a half."""
     return df.select(
-        [F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema]
+        [
+            F.round(F.round(f"`{f.name}`", 8), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+            for f in df.schema
+        ]
     )
 
 
@@ -575,3 +581,76 @@ def dynamic_week_pivot(s: StandIn) -> DataFrame:
 def job_audit(s: StandIn) -> DataFrame:
     jobs = reshape.job_audit(s.jobs(), table_name="table_3", zone="Pacific/Auckland")
     return jobs.select("start_date", "user_email", "statement_type", "total_slot_ms", "destination_table.table_id")
+
+
+# ---- primitives that no report exercises on these tables ----
+
+
+@query
+def week_functions(s: StandIn) -> DataFrame:
+    day, as_of = F.col("receipt_date"), F.lit(AS_OF)
+    return s.lines().select("receipt_id", "receipt_date").distinct().select(
+        "receipt_id",
+        "receipt_date",
+        dates.sunday_weeks_between(as_of, day).alias("sunday_weeks"),
+        dates.sunday_week_start(day).alias("sunday_start"),
+        dates.monday_week_start(day).alias("monday_start"),
+        dates.reporting_week_end(day).alias("report_week_end"),
+        dates.is_monday(day).alias("monday"),
+        dates.add_weeks(day, -12).alias("twelve_weeks_before"),
+        F.add_months(day, -2).alias("two_months_before"),
+        F.datediff(as_of, day).alias("days_ago"),
+        dates.per_month(F.lit(100), day, as_of).alias("hundred_per_month"),
+    )
+
+
+@query
+def text_functions(s: StandIn) -> DataFrame:
+    name, code = F.col("article_name"), F.col("article_id")
+    piped = F.concat_ws("|", "article_id", "article_name", "online_brand")
+    return s.articles().select(
+        "article_id",
+        F.upper(name).alias("upper_name"),
+        F.lower("online_brand").alias("lower_brand"),
+        F.concat(code, F.lit(","), name).alias("joined"),
+        F.replace("online_brand", F.lit("Brand#"), F.lit("")).alias("brand_number"),
+        F.substring("article_name", 2, 3).alias("middle"),
+        F.left(name, F.lit(3)).alias("start"),
+        F.length("article_name").alias("name_length"),
+        values.two_digits(F.col("article_size")).alias("padded_size"),
+        values.split_field(piped, "|", 2).alias("third_field"),
+        values.contains_any(name, ["ring", "rod"]).alias("ring_or_rod"),
+        F.format_string("'%s'", code).alias("quoted"),
+    )
+
+
+@query
+def null_and_ratio_functions(s: StandIn) -> DataFrame:
+    share = values.ratio(F.sum(F.when(values.is_present(F.col("scv_id")), F.col("quantity"))), F.sum("quantity"))
+    online = F.sum(F.when(F.col("is_online_order"), F.col("quantity")).otherwise(0.0))
+    return s.lines().groupBy(values.blank_to_null(F.col("scv_id")).alias("scv_id")).agg(
+        share.alias("known_share"),
+        values.ratio(F.sum("quantity"), online).alias("per_online_unit"),
+        values.relative_change(online, F.sum("quantity")).alias("change"),
+        F.count_if(values.is_false(F.col("is_online_order"))).alias("store_lines"),
+        values.any_true(F.col("is_online_order_completed")).alias("any_completed"),
+        F.countDistinct("receipt_id").alias("receipts"),
+    )
+
+
+@query
+def ordered_text_list(s: StandIn) -> DataFrame:
+    pairs = s.articles().select("department", "category").distinct()
+    return pairs.groupBy("department").agg(F.expr("listagg(category, ',') WITHIN GROUP (ORDER BY category DESC)").alias("categories"))
+
+
+@query
+def not_in_subquery(s: StandIn) -> DataFrame:
+    # customers who never shopped online; the list is cleaned of its NULLs, as a NULL would empty the result
+    online = s.lines().filter(F.col("is_online_order") & F.col("scv_id").isNotNull())
+    return membership.not_in_subquery(s.customers().select("scv_id", "strategy_segment"), "scv_id", online, "scv_id")
+
+
+@query
+def in_subquery(s: StandIn) -> DataFrame:
+    return membership.in_subquery(s.customers().select("scv_id", "strategy_segment"), "scv_id", s.rewards(), "scv_id")
