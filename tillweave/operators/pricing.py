@@ -85,11 +85,12 @@ def modal_shelf_price(
         & (F.col("financial_week_end_date") == reporting_week_end(F.lit(as_of)))
         & ~F.col("category").isin(list(excluded_categories))
     )
+    # counted before the units join in: an article has few prices, however many stores sell it
     counted = (
         rows.join(chosen.select("store_id").distinct(), "store_id", "left_semi")
-        .join(article_units(uoms), ["article_id", "unit_of_measure"])
-        .groupBy("article_id", "pack_size", "unit_of_measure", "financial_week_end_date", *flags, price.alias("price"))
+        .groupBy("article_id", "unit_of_measure", "financial_week_end_date", *flags, price.alias("price"))
         .agg(F.count(F.lit(1)).alias("stores"))
+        .join(article_units(uoms), ["article_id", "unit_of_measure"])
     )
     row = F.struct("pack_size", "unit_of_measure", "financial_week_end_date", *flags, "price", "stores")
     order = F.struct(-F.col("stores"), -F.col("price"), "unit_of_measure", "pack_size", *flags)
@@ -121,10 +122,10 @@ def recommended_price(
     counted = (
         prices.filter(F.col("sales_org") == sales_org)
         .join(chosen.select(F.col("store_id").alias("site")).distinct(), "site", "left_semi")
+        .groupBy("article_id", "unit_of_measure", "sell_price", "valid_from")
+        .agg(F.count("sell_price").alias("stores"))
         .join(kept_articles, "article_id", "left_semi")
         .join(article_units(uoms), ["article_id", "unit_of_measure"])
-        .groupBy("article_id", "pack_size", "unit_of_measure", "sell_price", "valid_from")
-        .agg(F.count("sell_price").alias("stores"))
     )
     best = F.max(F.struct("valid_from", "stores", "sell_price", "pack_size")).alias("best")
     return (
@@ -178,19 +179,20 @@ def latest_pos_price(lines: DataFrame, uoms: DataFrame, *, as_of: dt.date, exclu
         & (F.col("return_reason_id") == "")
         & (F.col("financial_week_end_date") == reporting_week_end(F.lit(as_of)))
         & ~F.col("category").isin(list(excluded_categories))
-    ).join(article_units(uoms), ["article_id", "unit_of_measure"])
-    last = F.struct("receipt_date", "receipt_id", "unit_of_measure", "unit_price_paid", "pack_size", "retail_price", "financial_week_end_date")
+    )
+    totals = ("total_discount", "gst_excluded_amount", "quantity")
+    last = F.struct("receipt_date", "receipt_id", "unit_of_measure", "unit_price_paid", "retail_price", "financial_week_end_date")
+    by_unit = (
+        rows.groupBy("article_id", "store_id", "unit_of_measure")
+        .agg(F.max(last).alias("last"), *[F.sum(t).alias(t) for t in totals])
+        .join(article_units(uoms), ["article_id", "unit_of_measure"])
+    )
     return (
-        rows.groupBy("article_id", "store_id")
-        .agg(
-            F.max(last).alias("last"),
-            F.sum("total_discount").alias("total_discount"),
-            F.sum("gst_excluded_amount").alias("gst_excluded_amount"),
-            F.sum("quantity").alias("quantity"),
-        )
+        by_unit.groupBy("article_id", "store_id")
+        .agg(F.max(F.struct("last", "pack_size")).alias("top"), *[F.sum(t).alias(t) for t in totals])
         .select(
-            "article_id", "store_id", "last.unit_of_measure", "last.pack_size", "last.receipt_date", "last.financial_week_end_date",
-            "last.unit_price_paid", "last.retail_price", "total_discount", "gst_excluded_amount", "quantity",
+            "article_id", "store_id", "top.last.unit_of_measure", "top.pack_size", "top.last.receipt_date",
+            "top.last.financial_week_end_date", "top.last.unit_price_paid", "top.last.retail_price", *totals,
         )
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import any_true, is_present, ratio
@@ -161,6 +161,7 @@ def segment_profile_share(segments: DataFrame, features: DataFrame, redemptions:
     )
     names = ["repeat", "reactivated", "new_to_brand"]
     filled = base.join(counted, ["offer_id", "brand", "segment_group"], "left").fillna(0, [f"{n}_customers" for n in names])
-    totals = filled.groupBy("offer_id", "brand").agg(*[F.sum(f"{n}_customers").alias(f"total_{n}") for n in names])
+    brand = Window.partitionBy("offer_id", "brand")  # as many rows as there are segments
+    totals = {f"total_{n}": F.sum(f"{n}_customers").over(brand) for n in names}
     shares = [ratio(F.col(f"{n}_customers"), F.col(f"total_{n}")).alias(f"{n}_share") for n in names]
-    return filled.join(totals, ["offer_id", "brand"]).select("*", *shares)
+    return filled.withColumns(totals).select("*", *shares)

@@ -101,6 +101,7 @@ def nearest_site(stores: DataFrame, sites: DataFrame, *, site_filter: Column | N
     start = bounds.withColumn("start", F.greatest(F.lit(0), F.least(F.lit(depth), fitting)).cast("int"))
     opened = neighbourhood(start, F.col("start")).join(grid.select("level", *cell), ["level", *cell])
     opened = opened.filter(_to_cell(F.col("level")) <= F.col("best") + _SLACK).select(*place, "best", "level", *cell)
+    opened = stage(opened, "opened-cells")
 
     frontier = opened.filter(F.col("level") == 0)
     for level in range(1, depth + 1):

@@ -28,6 +28,7 @@ from tillweave.operators import (
 )
 from tillweave.operators.brand_rules import BrandRule, Clause
 from tillweave.plans import campaign_reports, partner_strategy
+from tillweave.session import tune
 from tillweave.sources.staging import stage
 from tillweave.sources.standin import AS_OF, SEASON_AS_OF, StandIn
 
@@ -39,7 +40,7 @@ def query(build: Callable[[StandIn], DataFrame]) -> Callable[[StandIn], DataFram
     """Register a query under the function's name; doubles are rounded so that sums in any order compare equal."""
 
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        return rounded(build(StandIn(spark, directory)))
+        return rounded(build(StandIn(tune(spark), directory)))
 
     run.__name__ = build.__name__
     QUERIES[build.__name__] = run
@@ -209,7 +210,7 @@ def segment_profile_wide(s: StandIn) -> DataFrame:
 @query
 def segment_profile_share(s: StandIn) -> DataFrame:
     segments = segments_of(s, weekly_activity(s))
-    return redeemers.segment_profile_share(segments, s.customers(), channel_redemptions(s))
+    return redeemers.segment_profile_share(segments, s.customers(), redeemers.brand_redeemers(plain_redemptions(s), s.brand_articles()))
 
 
 @query
