@@ -84,10 +84,6 @@ def sales_of(s: StandIn) -> DataFrame:
     return campaigns.campaign_sales(s.lines(), config_of(s), s.brand_articles())
 
 
-def shared_sales(s: StandIn) -> DataFrame:
-    return shared(s, "sales", lambda: sales_of(s))
-
-
 def campaign_rewards(s: StandIn) -> DataFrame:
     return s.rewards().join(config_of(s).select("offer_id"), "offer_id", "left_semi")
 
@@ -145,9 +141,11 @@ def redeemer_segments_by_week(s: StandIn) -> DataFrame:
 
 @query
 def campaign_performance(s: StandIn) -> DataFrame:
-    sales = shared_sales(s)
-    segments = segments_of(s, redeemers.shopper_activity(sales))
-    return performance.campaign_performance(plain_redemptions(s), s.brand_articles(), sales, segments)
+    sales = shared(s, "sales", lambda: sales_of(s))
+    redemptions = shared(s, "redemptions", lambda: plain_redemptions(s))
+    redeemed = redeemers.brand_redeemers(redemptions, s.brand_articles())
+    segments = redeemers.redeemer_segments(redeemed, redeemers.shopper_activity(sales))
+    return performance.campaign_performance(redemptions, s.brand_articles(), sales, segments)
 
 
 @query
@@ -209,8 +207,9 @@ def segment_profile_wide(s: StandIn) -> DataFrame:
 
 @query
 def segment_profile_share(s: StandIn) -> DataFrame:
-    segments = segments_of(s, weekly_activity(s))
-    return redeemers.segment_profile_share(segments, s.customers(), redeemers.brand_redeemers(plain_redemptions(s), s.brand_articles()))
+    redeemed = shared(s, "redeemers", lambda: redeemers.brand_redeemers(plain_redemptions(s), s.brand_articles()))
+    segments = redeemers.redeemer_segments(redeemed, weekly_activity(s))
+    return redeemers.segment_profile_share(segments, s.customers(), redeemed)
 
 
 @query

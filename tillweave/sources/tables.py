@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+_SCHEMAS: dict[str, StructType] = {}
 
 
 class TableBook:
@@ -37,10 +40,16 @@ class TableBook:
         if name in self._catalog:
             return self.spark.table(self._catalog[name])
         if name in self._paths:
-            return self.spark.read.parquet(self._paths[name])
+            return self._read(self._paths[name])
         if self._directory is None:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self._directory}/{name}.parquet")
+        return self._read(f"{self._directory}/{name}.parquet")
+
+    def _read(self, path: str) -> DataFrame:
+        """Read Parquet; its schema is looked up in the files once per process."""
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def replace_table(df: DataFrame, table: str) -> None:
