@@ -119,11 +119,12 @@ def segmentation_strategy(
     *,
     as_of: dt.date,
     thresholds: Thresholds = Thresholds(),
+    run_at: Column | None = None,
 ) -> DataFrame:
     """Segment and treatment of every partner-programme customer by a first-match ladder, with contact flags.
 
     Segment and treatment come from one list of rules, so they cannot drift apart. A comparison with a missing figure is
-    not met and falls through to the next rule.
+    not met and falls through to the next rule. ``run_at`` adds the time of the run, e.g. ``local_timestamp(now, zone)``.
     """
     features = (
         breadth.join(
@@ -156,6 +157,7 @@ def segmentation_strategy(
         F.coalesce(F.get(treatments, F.col("rule")), F.lit("Others")).alias("treatment"),
         F.when(F.col("contactable"), "Contactable").otherwise("Non contactable").alias("contactability"),
         F.coalesce("unsubscribed", F.lit(0)).alias("unsubscribed"),
+        *([] if run_at is None else [run_at.alias("model_run_at")]),
     )
 
 

@@ -58,7 +58,7 @@ def basket_kpis(headers: DataFrame, calendar: DataFrame, rewards: DataFrame, off
         ratio(baskets_counted, F.col("weeks")).alias("baskets_per_week"),
         ratio(F.col("amount"), baskets_counted).alias("avg_basket_size"),
         ratio(F.col("quantity"), baskets_counted).alias("avg_basket_qty"),
-    )
+    ).orderBy(F.col("offer_id").desc(), "campaign_period")
 
 
 def week_article_channel_facts(
@@ -147,4 +147,5 @@ def week_article_channel_facts(
             F.sum("swiped_sales").alias("swiped_sales"),
         )
         .withColumn("weeks_in_period", F.when(F.col("pel_week").isNotNull(), 1).otherwise(0))
+        .orderBy("campaign_name", "pel_week", "channel", "brand", "article_id")
     )

@@ -115,7 +115,9 @@ def report_calendar(dim_date: DataFrame, *, as_of: dt.date, weeks: int = 104) ->
     )
 
 
-def own_vs_market(own: DataFrame, market: DataFrame, calendar: DataFrame, products: DataFrame) -> DataFrame:
+def own_vs_market(
+    own: DataFrame, market: DataFrame, calendar: DataFrame, products: DataFrame, *, attributes: Sequence[str] = ("price_family_id",)
+) -> DataFrame:
     """Own and market rows of the same article and week side by side, with calendar and product attributes.
 
     Market rows without a product id can match nothing; they are set aside, so that they do not gather in one partition of
@@ -134,12 +136,12 @@ def own_vs_market(own: DataFrame, market: DataFrame, calendar: DataFrame, produc
     same = (F.col("article_id") == F.col("product_ref")) & (F.col("own_week") == F.col("market_week"))
     joined = own_side.join(with_id, same, "full")
     everything = joined.unionByName(market_side.filter(F.col("product_ref").isNull()), allowMissingColumns=True)
-    attributes = products.select(F.col("article_id").alias("any_article"), "price_family_id").distinct()
+    described = products.select(F.col("article_id").alias("any_article"), *attributes).distinct()
     return (
         everything.withColumn("date", F.coalesce("market_week", "own_week"))
         .withColumn("any_article", F.coalesce("article_id", "product_ref"))
         .join(calendar, "date", "left")
-        .join(attributes, "any_article", "left")
+        .join(described, "any_article", "left")
         .drop("date", "any_article")
     )
 
@@ -195,4 +197,4 @@ def market_share_report(
         F.lit("").alias("category_manager"),
         F.lit("").alias("merchandise_manager"),
         F.lit(as_of).alias("refresh_date"),
-    )
+    ).orderBy("pel_week", "week_end_date")

@@ -156,7 +156,7 @@ def scan_tag_rates(lines: DataFrame, calendar: DataFrame, brand_articles: DataFr
     period = Window.partitionBy("brand", "campaign_period")
     return rates.select(
         "*", F.avg("scan_rate").over(period).alias("avg_scan_rate"), F.avg("tag_rate").over(period).alias("avg_tag_rate")
-    )
+    ).orderBy("financial_week_start_date", "brand", "offer_id")
 
 
 def weekly_uplift(boosted: DataFrame, keys: Sequence[str]) -> DataFrame:

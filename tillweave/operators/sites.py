@@ -12,7 +12,7 @@ from tillweave.sources.staging import stage
 
 _AXES = ("x", "y", "z")
 _SPLIT = 4  # a cell has this many children along each axis
-_DEEPEST = 10  # cells of about 12 m
+_DEEPEST = 12  # cells of about 80 cm
 _LEAF_SITES = 16
 _SLACK = 1e-9  # in earth radii, about 6 mm: covers rounding in the bounds
 

@@ -27,7 +27,8 @@ from tillweave.operators import (
     sites,
 )
 from tillweave.operators.brand_rules import BrandRule, Clause
-from tillweave.plans import campaign_reports, partner_strategy
+from tillweave.plans import campaign_reports, market_report, partner_strategy
+from tillweave.plans import seasonal_report as seasonal_plan
 from tillweave.session import tune
 from tillweave.sources.staging import stage
 from tillweave.sources.standin import AS_OF, SEASON_AS_OF, StandIn
@@ -415,6 +416,13 @@ def latest_vendor_per_article(s: StandIn) -> DataFrame:
     return seasonal.latest_vendor_per_article(s.article_sites(), sales_org="2010")
 
 
+@query
+def seasonal_report(s: StandIn) -> DataFrame:
+    return seasonal_plan.seasonal_report(
+        s.plan(), s.profit(), s.dim_date(), s.articles(), s.article_sites(), as_of=SEASON_AS_OF, sales_org="2010"
+    )
+
+
 # ---- market share ----
 
 SCOPE = {"departments": ["economy", "standard", "promo", "large"], "segments": ["brand#3", "brand#11"]}
@@ -422,62 +430,38 @@ MARKETS = {"Total": "total", "Competitor": "competitor", "Own": "own", "Franchis
 LEVELS = ["department", "segment"]
 
 
-def own_profit_of(s: StandIn) -> DataFrame:
-    return market.weekly_own_profit(s.profit(), as_of=AS_OF, sales_org="2010", **SCOPE)
-
-
-def spread_market_of(s: StandIn) -> DataFrame:
-    return market.market_by_segment(s.market(), as_of=AS_OF, markets=MARKETS, **SCOPE)
-
-
-def canonical_of(s: StandIn) -> DataFrame:
-    return market.canonical_description(s.market(), as_of=AS_OF, **SCOPE)
-
-
-def matched_market_of(s: StandIn) -> DataFrame:
-    spread = shared(s, "market-spread", lambda: spread_market_of(s))
-    canonical = shared(s, "market-canonical", lambda: canonical_of(s))
-    return market.two_way_match(spread, canonical)
-
-
-def report_days_of(s: StandIn) -> DataFrame:
-    return shared(s, "report-days", lambda: market.report_calendar(s.dim_date(), as_of=AS_OF))
-
-
-def combined_of(s: StandIn) -> DataFrame:
-    matched = shared(s, "market-matched", lambda: matched_market_of(s))
-    return market.own_vs_market(own_profit_of(s), matched, report_days_of(s), s.articles())
-
-
 @query
 def weekly_own_profit(s: StandIn) -> DataFrame:
-    return own_profit_of(s)
+    return market.weekly_own_profit(s.profit(), as_of=AS_OF, sales_org="2010", **SCOPE)
 
 
 @query
 def market_by_segment(s: StandIn) -> DataFrame:
-    return spread_market_of(s)
+    return market.market_by_segment(s.market(), as_of=AS_OF, markets=MARKETS, **SCOPE)
 
 
 @query
 def canonical_description(s: StandIn) -> DataFrame:
-    return canonical_of(s)
+    return market.canonical_description(s.market(), as_of=AS_OF, **SCOPE)
 
 
 @query
 def two_way_match(s: StandIn) -> DataFrame:
-    return matched_market_of(s)
+    return market_report.matched_market(s.market(), as_of=AS_OF, markets=MARKETS, **SCOPE)
 
 
 @query
 def own_vs_market(s: StandIn) -> DataFrame:
-    return combined_of(s)
+    return market_report.own_against_market(
+        s.profit(), s.market(), s.dim_date(), s.articles(), as_of=AS_OF, sales_org="2010", markets=MARKETS, **SCOPE
+    )
 
 
 @query
 def market_share_report(s: StandIn) -> DataFrame:
-    own = market.own_hierarchy(s.profit(), report_days_of(s), as_of=AS_OF, sales_org="2010", levels=LEVELS)
-    return market.market_share_report(combined_of(s), own, levels=LEVELS, markets=list(MARKETS.values()), as_of=AS_OF)
+    return market_report.market_share(
+        s.profit(), s.market(), s.dim_date(), s.articles(), as_of=AS_OF, sales_org="2010", markets=MARKETS, levels=LEVELS, **SCOPE
+    )
 
 
 # ---- pricing ----
