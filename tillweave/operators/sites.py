@@ -22,7 +22,8 @@ def _cell_size(level: Column) -> Column:
 
 
 def _cells(level: Column) -> list[Column]:
-    return [F.floor((F.col(a) + 1) / _cell_size(level)).alias(f"c{a}") for a in _AXES]
+    last = F.pow(F.lit(float(_SPLIT)), level) - 1  # a coordinate of exactly 1 belongs to the last cell
+    return [F.least(F.floor((F.col(a) + 1) / _cell_size(level)), last).cast("long").alias(f"c{a}") for a in _AXES]
 
 
 def _square(value: Column) -> Column:
@@ -65,8 +66,8 @@ def nearest_site(stores: DataFrame, sites: DataFrame, *, site_filter: Column | N
     """Nearest qualifying site of every store, with the distance in km; equal distances go to the lowest site id.
 
     Places are points on the unit sphere, where the straight-line order is the great-circle order, and are indexed in a grid
-    whose cells split by four along each axis. A store's search starts from an upper bound (the closest cell representative
-    around it on any level), opens the cells of matching size that could hold something as close, and goes down level by
+    whose cells split by four along each axis. A store's search starts from an upper bound (the closest representative of
+    the cells it lies in, on any level), opens the cells of matching size that could hold something as close, and goes down level by
     level, keeping the cells whose nearest possible point is within the best distance so far. That is exact, and a store
     meets only the few sites of its last cells. Stores stay, with NULLs, when no site qualifies.
     """
@@ -78,10 +79,12 @@ def nearest_site(stores: DataFrame, sites: DataFrame, *, site_filter: Column | N
 
     store_places = _located(stores.select("lat", "lon").distinct())
     around = F.sequence(F.lit(-1), F.lit(1))
+    def own_cell(places: DataFrame, level: Column) -> DataFrame:
+        return places.withColumn("level", level).select("*", *_cells(F.col("level")))
+
     def neighbourhood(places: DataFrame, level: Column) -> DataFrame:
         """The 27 cells around each place on its level."""
-        own = places.withColumn("level", level)
-        own = own.select("*", *_cells(F.col("level")))
+        own = own_cell(places, level)
         for a in _AXES:
             own = own.withColumn(f"d{a}", F.explode(around))
         moved = own.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"d{a}") for a in _AXES})
@@ -91,7 +94,7 @@ def nearest_site(stores: DataFrame, sites: DataFrame, *, site_filter: Column | N
     place = ["lat", "lon", "x", "y", "z"]
     every_level = F.explode(F.sequence(F.lit(0), F.lit(depth)))
     bounds = (
-        neighbourhood(store_places, every_level)
+        own_cell(store_places, every_level)
         .join(grid.drop("places"), ["level", *cell])
         .groupBy(*place)
         .agg(F.min(_to_representative()).alias("best"))
@@ -102,16 +105,20 @@ def nearest_site(stores: DataFrame, sites: DataFrame, *, site_filter: Column | N
     opened = neighbourhood(start, F.col("start")).join(grid.select("level", *cell), ["level", *cell])
     opened = opened.filter(_to_cell(F.col("level")) <= F.col("best") + _SLACK).select(*place, "best", "level", *cell)
     opened = stage(opened, "opened-cells")
+    starts = {r["level"] for r in opened.select("level").distinct().collect()}
+    first = min(starts, default=depth)
 
-    frontier = opened.filter(F.col("level") == 0)
-    for level in range(1, depth + 1):
+    frontier = opened.filter(F.col("level") == first)
+    for level in range(first + 1, depth + 1):
         parent = [F.floor(F.col(c) / _SPLIT).alias(f"p{c}") for c in cell]
         children = grid.filter(F.col("level") == level).select(*parent, *cell, "one")
         down = frontier.select(*place, "best", *[F.col(c).alias(f"p{c}") for c in cell]).join(children, [f"p{c}" for c in cell])
         mine = Window.partitionBy("lat", "lon")
         tightened = down.withColumn("best", F.least("best", F.min(_to_representative()).over(mine)))
         kept = tightened.filter(_to_cell(F.lit(level)) <= F.col("best") + _SLACK)
-        frontier = kept.select(*place, "best", F.lit(level).alias("level"), *cell).unionByName(opened.filter(F.col("level") == level))
+        frontier = kept.select(*place, "best", F.lit(level).alias("level"), *cell)
+        if level in starts:
+            frontier = frontier.unionByName(opened.filter(F.col("level") == level))
 
     leaf_sites = placed.select("site_id", "site_name", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), *_cells(F.lit(depth)))
     # sites at one place differ only by id: the lowest stands for all
