@@ -152,3 +152,17 @@ def test_table_is_replaced(spark):
         assert TableBook(spark, catalog={"numbers": name})["numbers"].count() == 2
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_weekly_uplift_equals_direct_aggregation(spark):
+    from tillweave.queries import boosted_of
+    from tillweave.sources.standin import StandIn
+
+    directory = "/root/testdata/sf0.01"
+    boosted = boosted_of(StandIn(spark, directory))
+    direct = boosted.filter("campaign_period = 'Campaign Period'").groupBy("offer_id", "brand").agg(
+        (F.sum("sales") / F.countDistinct("pel_week")).alias("direct")
+    )
+    uplift = entry_module.queries()["weekly_uplift_by_brand"](spark, directory)
+    pairs = uplift.join(direct, ["offer_id", "brand"], "left").select("weekly_sales_campaign", "direct").collect()
+    assert pairs and all(abs(a - b) < 1e-3 for a, b in pairs)

@@ -52,6 +52,7 @@ def unsubscribed_customers(sends: DataFrame, communications: DataFrame, clicks:
 class Thresholds:
     """Cut-offs of the strategy ladder; rates are per 30-day month."""
 
+    # fixed values: the programme's own cut-offs
     high_sales: float = 300
     mid_sales: float = 100
     engaged_visits: float = 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillweave.functions.dates import add_weeks, sunday_weeks_between
 from tillweave.functions.values import any_true, blank_to_null, is_present, is_true
 
+# fixed values: names of the campaign windows
 PRE, DURING, POST = "Pre Campaign", "Campaign Period", "Post Campaign"
 
 

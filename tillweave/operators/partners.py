@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillweave.functions.dates import add_weeks
 from tillweave.functions.values import any_true, is_false, ratio, sum_if
 
-DISCOUNT = "cpl discount"
+DISCOUNT = "cpl discount"  # fixed value: redemption type of a fuel discount row
 
 
 def _earned(column: str):

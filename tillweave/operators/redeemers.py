@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillweave.functions.values import any_true, is_present, ratio
 from tillweave.operators.campaigns import within_dates
 
+# fixed values: redeemer types
 NEW, REACTIVATED, REPEAT = "New", "Reactivated", "Repeat"
 SHOPPER = ["offer_id", "brand", "scv_id"]
 

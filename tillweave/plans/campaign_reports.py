@@ -63,6 +63,7 @@ def brand_metrics(
 ) -> DataFrame:
     """Brand summary of a campaign by financial weeks: boosted sales, cost, redeemer segments, shoppers, retention.
 
+    Sales of redeemed items are looked up in the weeks from the first campaign start to the last post window's end.
     Purchases count with a positive amount only. A redeemer is retained on a purchase in the post window alone.
     """
     calendar = campaigns.campaign_calendar(config, dim_date)
@@ -75,9 +76,11 @@ def brand_metrics(
     segments = stage(redeemers.redeemer_segments(bought_by, activity), "weekly-segments")
 
     item = ["scv_id", "receipt_id", "article_id"]
-    windows = config.select("campaign_start_date", "post_end_date")
+    windows = config.withColumn("last_receipt_date", F.date_add("post_end_date", 6))
+    weeks = dim_date.select(F.col("date").alias("receipt_date"), "financial_week_start_date")
+    in_weeks = campaigns.within_dates(lines, "receipt_date", windows, "campaign_start_date", "last_receipt_date").join(weeks, "receipt_date")
     item_sales = (
-        campaigns.within_dates(lines, "receipt_date", windows, "campaign_start_date", "post_end_date")
+        campaigns.within_dates(in_weeks, "financial_week_start_date", windows, "campaign_start_date", "post_end_date")
         .filter(F.col("scv_id") != "")
         .groupBy(*item)
         .agg(F.sum("gst_included_amount").alias("item_sales"))
