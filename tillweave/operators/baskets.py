@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import is_present, is_true, ratio
-from tillweave.operators.campaigns import within_dates
+from tillweave.operators.campaigns import lines_of_articles, within_dates
 from tillweave.operators.performance import POINT_VALUE
 
 
@@ -88,7 +88,7 @@ def week_article_channel_facts(
         .distinct()
     )
     items = (
-        within_dates(lines, "receipt_date", days)
+        lines_of_articles(within_dates(lines, "receipt_date", days), offer_articles)
         .groupBy("receipt_id", "scv_id", "article_id", "receipt_date")
         .agg(
             F.sum("gst_included_amount").alias("sales"),

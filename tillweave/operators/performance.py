@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import any_true, is_present, ratio, relative_change, sum_if
-from tillweave.operators.campaigns import DURING, PRE, within_dates
+from tillweave.operators.campaigns import DURING, PRE, lines_of_articles, within_dates
 from tillweave.operators.redeemers import NEW, REACTIVATED, REPEAT, SHOPPER
 
 POINT_VALUE = 0.0091  # fixed value: money value of one loyalty point
 
 
+def redeemed_item_sales(sales: DataFrame, redemptions: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Sales per item for the items that were redeemed.
+
+    The semi-join leaves only redeemed items to sum up; all three steps (it, the sum and the join that follows) work on one
+    partitioning by the item key.
+    """
+    redeemed = redemptions.select(*key).distinct()
+    return sales.join(redeemed, list(key), "left_semi").groupBy(*key).agg(F.sum("gst_included_amount").alias("item_sales"))
+
+
 def campaign_performance(
     redemptions: DataFrame,
     offer_articles: DataFrame,
@@ -29,10 +39,9 @@ def campaign_performance(
     """
     brands = offer_articles.select("offer_id", "article_id", "brand").distinct()
     item = ["offer_id", "brand", "receipt_id", "article_id"]
-    item_sales = sales.groupBy(*item).agg(F.sum("gst_included_amount").alias("item_sales"))
+    branded = redemptions.join(brands, ["offer_id", "article_id"])
     by_customer = (
-        redemptions.join(brands, ["offer_id", "article_id"])
-        .join(item_sales, item, "left")
+        branded.join(redeemed_item_sales(sales, branded, item), item, "left")
         .groupBy(*SHOPPER)
         .agg(
             F.sum("redemptions").alias("redemptions"),
@@ -127,25 +136,25 @@ def scan_tag_rates(lines: DataFrame, calendar: DataFrame, brand_articles: DataFr
         "offer_id", F.col("date").alias("receipt_date"), "financial_week_start_date", "pel_week", "campaign_period"
     )
     items = (
-        within_dates(lines, "receipt_date", calendar)
+        lines_of_articles(within_dates(lines, "receipt_date", calendar), brands)
         .groupBy("receipt_id", "commercial_id", "article_id")
         .agg(
             F.sum("gst_included_amount").alias("amount"),
             F.max("receipt_date").alias("receipt_date"),
-            F.max(F.coalesce("scv_id", F.lit(""))).alias("scv_id"),
+            # a flag, not the id itself: text has no place in a hash aggregation's buffer
+            any_true(is_present(F.col("scv_id"))).alias("swiped"),
         )
     )
     cell = ["offer_id", "financial_week_start_date", "pel_week", "campaign_period", "brand"]
-    swiped = is_present(F.col("scv_id"))
     transactions = (
         items.join(brands, "article_id")
         .join(days, ["offer_id", "receipt_date"])
         .withColumn("transaction", F.when(F.col("commercial_id") == "", F.col("receipt_id")).otherwise(F.col("commercial_id")))
         .groupBy(*cell, "transaction")
         .agg(
-            any_true(swiped).alias("swiped"),
+            any_true(F.col("swiped")).alias("swiped"),
             F.sum("amount").alias("amount"),
-            F.sum(F.when(swiped, F.col("amount")).otherwise(0.0)).alias("swiped_amount"),
+            F.sum(F.when(F.col("swiped"), F.col("amount")).otherwise(0.0)).alias("swiped_amount"),
         )
     )
     named = F.col("transaction").isNotNull()
@@ -192,15 +201,13 @@ def weekly_uplift(boosted: DataFrame, keys: Sequence[str]) -> DataFrame:
 def brand_week_article_channel(redemptions: DataFrame, lines: DataFrame, *, point_value: float = POINT_VALUE) -> DataFrame:
     """Redemptions, sales of the redeemed items and points cost by brand, article, week and channel."""
     key = ["scv_id", "receipt_id", "article_id"]
-    bought = (
-        lines.filter(is_present(F.col("scv_id"))).groupBy(*key).agg(F.sum("gst_included_amount").alias("gst_included_amount"))
-    )
+    bought = redeemed_item_sales(lines.filter(is_present(F.col("scv_id"))), redemptions, key)
     return (
         redemptions.join(bought, key, "left")
         .groupBy("offer_id", "brand", "article_description", "pel_week", "channel")
         .agg(
             F.sum("redemptions").alias("redemptions"),
-            F.sum("gst_included_amount").alias("gst_included_amount"),
+            F.sum("item_sales").alias("gst_included_amount"),
             (F.sum("bonus_points_earn") * point_value).alias("points_cost"),
         )
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import any_true, is_present, ratio
-from tillweave.operators.campaigns import within_dates
+from tillweave.operators.campaigns import lines_of_articles, within_dates
 
 # fixed values: redeemer types
 NEW, REACTIVATED, REPEAT = "New", "Reactivated", "Repeat"
@@ -42,6 +42,7 @@ def weekly_shopper_activity(
     bought = within_dates(lines, "receipt_date", spans, "long_start_date", "last_date").filter(is_present(F.col("scv_id")))
     if positive_only:
         bought = bought.filter(F.col("gst_included_amount") > 0)
+    bought = lines_of_articles(bought, brand_articles)
     week = F.col("financial_week_start_date")
     return (
         bought.select("scv_id", "article_id", "receipt_date")

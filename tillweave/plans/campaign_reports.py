@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillweave.functions.values import ratio
+from tillweave.functions.values import is_present, ratio
 from tillweave.operators import campaigns, performance, redeemers
 from tillweave.sources.staging import stage
 
@@ -79,12 +79,8 @@ def brand_metrics(
     windows = config.withColumn("last_receipt_date", F.date_add("post_end_date", 6))
     weeks = dim_date.select(F.col("date").alias("receipt_date"), "financial_week_start_date")
     in_weeks = campaigns.within_dates(lines, "receipt_date", windows, "campaign_start_date", "last_receipt_date").join(weeks, "receipt_date")
-    item_sales = (
-        campaigns.within_dates(in_weeks, "financial_week_start_date", windows, "campaign_start_date", "post_end_date")
-        .filter(F.col("scv_id") != "")
-        .groupBy(*item)
-        .agg(F.sum("gst_included_amount").alias("item_sales"))
-    )
+    bought = campaigns.within_dates(in_weeks, "financial_week_start_date", windows, "campaign_start_date", "post_end_date")
+    item_sales = performance.redeemed_item_sales(bought.filter(is_present(F.col("scv_id"))), redemptions, item)
     by_customer = (
         redemptions.join(item_sales, item, "left")
         .groupBy("offer_id", "brand", "scv_id")

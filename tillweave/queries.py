@@ -215,7 +215,8 @@ def segment_profile_share(s: StandIn) -> DataFrame:
 
 @query
 def brand_week_article_channel(s: StandIn) -> DataFrame:
-    return performance.brand_week_article_channel(channel_redemptions(s), s.lines())
+    redemptions = shared(s, "channel-redemptions", lambda: channel_redemptions(s))
+    return performance.brand_week_article_channel(redemptions, s.lines())
 
 
 @query
