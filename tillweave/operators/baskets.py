@@ -34,11 +34,11 @@ def basket_kpis(headers: DataFrame, calendar: DataFrame, rewards: DataFrame, off
         .groupBy("scv_id", F.when(online, F.col("commercial_id")).otherwise(F.col("receipt_id")).alias("basket_id"), "receipt_date")
         .agg(F.sum("gst_included_amount").alias("amount"), F.sum("quantity").alias("quantity"))
     )
-    cell = ["offer_id", "campaign_period", "byb_redeemer"]
+    cell = ["offer_id", "campaign_period", "redeemer_group"]
     customer_baskets = (
         baskets.join(days, "receipt_date")
         .join(redeemers, ["offer_id", "scv_id"], "left")
-        .withColumn("byb_redeemer", F.coalesce("redeemer", F.lit("Non Redeemer")))
+        .withColumn("redeemer_group", F.coalesce("redeemer", F.lit("Non Redeemer")))
         .groupBy(*cell, "scv_id", "basket_id", "pel_week")
         .agg(F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity"))
     )
@@ -53,7 +53,7 @@ def basket_kpis(headers: DataFrame, calendar: DataFrame, rewards: DataFrame, off
     return per_cell.select(
         "offer_id",
         "campaign_period",
-        F.col("byb_redeemer").alias("redeemer_group"),
+        "redeemer_group",
         "unique_customers",
         ratio(baskets_counted, F.col("weeks")).alias("baskets_per_week"),
         ratio(F.col("amount"), baskets_counted).alias("avg_basket_size"),
