@@ -1,35 +1,47 @@
 """Staged intermediates: a relation several branches read is written once to shared storage.
 
 A written table survives the loss of executors, cuts the lineage, and lets each reader prune columns and rows, which a
-cached or checkpointed row set does not.
+cached or checkpointed row set does not. The folder is an explicit argument or the one the cluster names in
+``spark.checkpoint.dir``; without either the relation is persisted, which Spark recomputes where a part of it is lost.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_root: str | None = None
+#: One folder for everything this process stages, so that it can be removed in one go.
+RUN = uuid.uuid4().hex
 
 
-def staging_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only a local session may fall back to a folder of its own."""
+def shared_root(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names, or None."""
     root = spark.conf.get(_SETTING, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
-    global _local_root
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="tillweave-stage-")
-    return _local_root
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads it back."""
-    path = f"{staging_root(df.sparkSession)}/tillweave/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/") if root else None
+
+
+def staged_path(root: str, name: str) -> str:
+    """A new path of this run below a shared folder."""
+    return f"{root}/tillweave/{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, *, root: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads it back; persist it where there is no shared folder."""
+    root = root or shared_root(df.sparkSession)
+    if root is None:
+        return df.persist()
+    path = staged_path(root, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession, *, root: str | None = None) -> None:
+    """Remove all that this process has staged; results that still read it must have been written before."""
+    root = root or shared_root(spark)
+    if root is None:
+        spark.catalog.clearCache()
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/tillweave/{RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
