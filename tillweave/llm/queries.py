@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillweave.llm import mixing
+from tillweave.llm import mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,11 @@ def op1_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing}
+def op4_packing(spark: SparkSession, directory: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(documents(spark, directory), tokenizer, most=2048, end_id=0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op4_packing)}
 
 ORACLES: dict[str, str] = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))}
