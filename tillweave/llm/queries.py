@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillweave.llm import mixing, packing
+from tillweave.llm import mixing, packing, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op4_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(documents(spark, directory), tokenizer, most=2048, end_id=0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op4_packing)}
+def op6_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, directory), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op4_packing, op6_token_counts)}
 
 ORACLES: dict[str, str] = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))}
