@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillweave.llm import mixing, packing, token_counts, token_files
+from tillweave.llm import mixing, near_dups, packing, token_counts, token_files
 from tillweave.llm.tables import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_near_dups(spark: SparkSession, directory: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, directory), width=3, percent=85).drop("class_id")
+
+
 def op3_token_files(spark: SparkSession, directory: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     token_files.write_token_files(documents(spark, directory), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2)
@@ -38,6 +42,6 @@ def op6_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, directory), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op3_token_files, op4_packing, op6_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_near_dups, op3_token_files, op4_packing, op6_token_counts)}
 
 ORACLES: dict[str, str] = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))}
