@@ -7,9 +7,10 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillweave.llm import mixing, near_dups, packing, token_counts, token_files
-from tillweave.llm.tables import new_path
+from tillweave.llm import language, mixing, near_dups, packing, token_counts, token_files
+from tillweave.llm.tables import id_remainder, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,10 +39,16 @@ def op4_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(documents(spark, directory), tokenizer, most=2048, end_id=0)
 
 
+def op5_language(spark: SparkSession, directory: str) -> DataFrame:
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    found = language.predict_language(documents(spark, directory), learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, directory), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_near_dups, op3_token_files, op4_packing, op6_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_near_dups, op3_token_files, op4_packing, op5_language, op6_token_counts)}
 
 ORACLES: dict[str, str] = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))}
