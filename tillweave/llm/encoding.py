@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 _BEFORE_SPACE = re.compile(r"(?<=[!-~])(?= )")
@@ -19,6 +20,9 @@ _BEFORE_SPACE = re.compile(r"(?<=[!-~])(?= )")
 _INSIDE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-įı-ɏ])(?=[!-/:-@\[-`{-~\n])|(?<=[!-~])(?=\n)")
 
 
+_TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Open(Exception):
     """A word whose end is not certainly the end of a piece."""
 
@@ -44,14 +48,17 @@ class Generations(dict):
 class CachedEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. A null text counts as empty."""
 
-    def __init__(self, path: str, *, words: int = 200_000, parts: int = 100_000):
+    def __init__(self, path: str, *, words: int = 400_000, parts: int = 500_000):
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.parts = Generations(self._ids, parts)
         self.words = Generations(self._word, words)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = array("I", self.library.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _split(self, text: str) -> bytes:
         return b"".join([self.parts[p] for p in _INSIDE.split(text)])
@@ -60,6 +67,10 @@ class CachedEncoder:
         """A word that stands after a space and before another one."""
         if not word or not ("!" <= word[-1] <= "~" or word[-1].isalnum()):
             raise _Open
+        core = word.rstrip(_TAIL)
+        if core.isalpha() and "İ" not in core:
+            ids = self.parts[" " + core]
+            return ids if len(core) == len(word) else ids + self.parts[word[len(core) :]]
         return self._split(" " + word)
 
     def encode(self, text: str | None) -> bytes:
