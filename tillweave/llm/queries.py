@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import language, mixing, near_dups, packing, token_counts, token_files
+from tillweave.llm import language, mixing, near_dups, packing, token_counts, token_files, toxicity
 from tillweave.llm.tables import id_remainder, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,13 @@ def op6_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, directory), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_near_dups, op3_token_files, op4_packing, op5_language, op6_token_counts)}
+def op10_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    labels = spark.read.parquet(f"{directory}/labels.parquet")
+    found = toxicity.score_toxicity(documents(spark, directory), labels, learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_near_dups, op3_token_files, op4_packing, op5_language, op6_token_counts, op10_toxicity)}
 
 ORACLES: dict[str, str] = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))}
