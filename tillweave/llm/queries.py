@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import fingerprints, language, mixing, near_dups, packing, quality, token_counts, token_files, toxicity
+from tillweave.llm import fingerprints, hosts, language, mixing, near_dups, packing, quality, token_counts, token_files, toxicity
 from tillweave.llm.tables import id_remainder, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,20 @@ def op8_quality(spark: SparkSession, directory: str) -> DataFrame:
     return quality.quality(documents(spark, directory))
 
 
+#: The rules the contract fixes: verdict, host, path.
+RULES = [
+    hosts.Rule("allow", "org", "/"),
+    hosts.Rule("block", "example.org", "/es/"),
+    hosts.Rule("block", "example.org", "/en/1"),
+    hosts.Rule("allow", "com", "/fr/"),
+    hosts.Rule("block", "com", "/de/"),
+]
+
+
+def op9_hosts(spark: SparkSession, directory: str) -> DataFrame:
+    return hosts.judge(spark.read.parquet(f"{directory}/pages.parquet"), RULES)
+
+
 def op10_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     held_out = id_remainder(F.col("doc_id"), 5) == 0
     labels = spark.read.parquet(f"{directory}/labels.parquet")
@@ -64,6 +78,6 @@ def op10_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_near_dups, op3_token_files, op4_packing, op5_language, op6_token_counts, op7_fingerprints, op8_quality, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_near_dups, op3_token_files, op4_packing, op5_language, op6_token_counts, op7_fingerprints, op8_quality, op9_hosts, op10_toxicity)}
 
 ORACLES: dict[str, str] = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))}
