@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillweave.llm.tables import hash_sample, written
+
 ORDER = 3  # bytes of context at most
 UNDETERMINED = "und"
 
@@ -101,9 +103,7 @@ def training_sample(docs: DataFrame, lang: Column, learn: Column, per_language:
     labelled = docs.where(learn & lang.isNotNull()).select(
         lang.cast("string").alias("sample_lang"), F.col("doc_id").alias("sample_id"), F.col("text").alias("sample_text")
     )
-    turn = Window.partitionBy("sample_lang").orderBy(F.xxhash64("sample_id"), "sample_id")
-    ids = labelled.select("sample_lang", "sample_id").distinct().withColumn("turn", F.row_number().over(turn))
-    chosen = ids.where(F.col("turn") <= per_language).drop("turn")
+    chosen = written(hash_sample(labelled, "sample_lang", "sample_id", F.lit(per_language)), "lang-sample")
     rows = (
         labelled.where("sample_text is not null")
         .join(chosen, ["sample_lang", "sample_id"])
@@ -118,6 +118,19 @@ def training_sample(docs: DataFrame, lang: Column, learn: Column, per_language:
     return found
 
 
+def learned(docs: DataFrame, learn: Column, lang: Column | None, per_language: int) -> ContextTrees | None:
+    samples = training_sample(docs, F.col("lang") if lang is None else lang, learn, per_language)
+    return ContextTrees(samples) if samples else None
+
+
+def predicted(trees: ContextTrees | None, text: str | None, overlap: float) -> tuple[str, float]:
+    if trees is None or not text or not any(map(str.isalpha, text)):
+        return UNDETERMINED, 0.0
+    bits = trees.bits(text.encode("utf-8", "surrogatepass"))
+    best = int(bits.argmin())
+    return trees.languages[best], float(1 / np.exp2(np.maximum((bits[best] - bits) / overlap, -1000)).sum())
+
+
 def predict_language(
     docs: DataFrame, *, learn: Column, lang: Column | None = None, per_language: int = 400, overlap: float = 4.0
 ) -> DataFrame:
@@ -132,24 +145,28 @@ def predict_language(
     code length goes to the first language by code point; other columns of ``docs`` are ignored, repeated rows predicted
     each.
     """
-    samples = training_sample(docs, F.col("lang") if lang is None else lang, learn, per_language)
-    trees = ContextTrees(samples) if samples else None
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, learn, lang, per_language))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(1).to_pylist():
-                if trees is None or not text or not any(map(str.isalpha, text)):
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                bits = trees.bits(text.encode("utf-8", "surrogatepass"))
-                best = int(bits.argmin())
-                names.append(trees.languages[best])
-                scores.append(float(1 / np.exp2(np.maximum((bits[best] - bits) / overlap, -1000)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
+            found = [predicted(shared.value, t, overlap) for t in batch.column(1).to_pylist()]
+            arrays = [pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.fieldNames())
 
     return docs.select("doc_id", "text").mapInArrow(predict, schema)
+
+
+def keep_known(
+    docs: DataFrame, *, learn: Column, least: float = 0.5, lang: Column | None = None, per_language: int = 400, overlap: float = 4.0
+) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language is determined with a score of ``least`` or more; in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, learn, lang, per_language))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [predicted(shared.value, t, overlap) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

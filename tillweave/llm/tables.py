@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,3 +45,21 @@ def id_text(doc_id: Column) -> Column:
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``: a split that needs no state. A null id counts as empty text."""
     return (F.crc32(id_text(doc_id).cast("binary")) % modulus).cast("int")
+
+
+def hash_sample(rows: DataFrame, by: str, key: str, most: Column) -> DataFrame:
+    """At most ``most`` (a column over ``by``) distinct keys of each group: those of smallest hash (``by``, ``key``).
+
+    Groups' sizes give each a first cut by hash that leaves about four times as many, so no group is ranked whole.
+    """
+    ids = rows.select(by, key).distinct()
+    sizes = written(ids.groupBy(by).agg(F.count(F.lit(1)).alias("group_size")).withColumn("most", most), "sample-sizes")
+    spread = F.pmod(F.xxhash64(key), F.lit(1 << 30)) * F.col("group_size") < F.lit(1 << 30) * (4.0 * F.col("most") + 100)
+    turn = Window.partitionBy(by).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key)
+    near = ids.join(sizes, by).where(spread).withColumn("turn", F.row_number().over(turn))
+    return near.where(F.col("turn") <= F.col("most")).select(by, key)
+
+
+def few(df: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """A written table of short rows, marked for broadcasting if it has at most ``most`` rows; a plain join takes it beyond."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -9,10 +9,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillweave.llm.tables import hash_sample, written
+
 LEVEL, WINDOW = 12, 8  # compression level; words of a window
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
 _LOW, _HIGH = -3, 10  # differences beyond are counted there
@@ -110,24 +112,12 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     return model
 
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, *, learn: Column, toxic_rows: int = 2_000, ordinary_rows: int = 4_000
-) -> DataFrame:
-    """Toxicity of every whole text: ``doc_id``, ``score`` (0 to 1, 0.5 at the calibrated threshold), ``predicted`` (0 or 1).
-
-    ``labels`` has ``doc_id`` and ``toxic``; where ``learn`` (over ``doc_id``) is true they may be learned from, at most
-    ``toxic_rows`` and ``ordinary_rows`` whole texts, chosen by a hash of the id: that is all that comes to the driver.
-    Scoring takes the text alone: the weights of its windows' differences are added up.
-
-    Defined cases: a null, empty or blank text has no window and scores as such a sum of 0; without texts of both labels all
-    score 0; rows that repeat an id are scored each; a document with several labels counts as toxic if one says so; other
-    columns are ignored.
-    """
-    spark = docs.sparkSession
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int, ordinary_rows: int) -> Model | None:
+    """A model from the texts of at most so many labelled rows of each kind, chosen by a hash of the id; None without both."""
     known = labels.where("toxic is not null and doc_id is not null").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    turn = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = written(known, "toxic-known")
     bound = F.when(F.col("toxic") == 1, toxic_rows).otherwise(ordinary_rows)
-    chosen = known.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= bound).select("doc_id", "toxic")
+    chosen = written(hash_sample(known, "toxic", "doc_id", bound), "toxic-sample")
     rows = (
         docs.select("doc_id", "text")
         .where("text is not null")
@@ -137,24 +127,54 @@ def score_toxicity(
         .orderBy("doc_id")
         .collect()
     )
-    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    share = known.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0]
     toxic, ordinary = ([r["text"] for r in rows if (r["toxic"] == 1) == wanted] for wanted in (True, False))
-    model = train(toxic, ordinary, share) if toxic and ordinary else None
-    shared = spark.sparkContext.broadcast(model)
+    return train(toxic, ordinary, share) if toxic and ordinary else None
+
+
+def scored(model: Model | None, histogram, texts: list[str | None]) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(texts))
+    sums = np.array([float(histogram(t) @ model.weights) for t in texts])
+    return 1 / (1 + np.exp(np.clip((model.threshold - sums) * model.slope, -700, 700)))
+
+
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, *, learn: Column, toxic_rows: int = 2_000, ordinary_rows: int = 4_000
+) -> DataFrame:
+    """Toxicity of every whole text: ``doc_id``, ``score`` (0 to 1, 0.5 at the calibrated threshold), ``predicted`` (0 or 1).
+
+    ``labels`` has ``doc_id`` and ``toxic``; where ``learn`` (over ``doc_id``) is true they may be learned from, at most
+    ``toxic_rows`` and ``ordinary_rows`` whole texts: that is all that comes to the driver. Scoring takes the text alone:
+    the weights of its windows' differences are added up.
+
+    Defined cases: a null, empty or blank text has no window and scores as such a sum of 0; without texts of both labels all
+    score 0; rows that repeat an id are scored each; a document with several labels counts as toxic if one says so; other
+    columns are ignored.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, learn, toxic_rows, ordinary_rows))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        histogram = model.scorer() if model else None
+        histogram = shared.value.scorer() if shared.value else None
         for batch in batches:
-            if model:
-                sums = np.array([float(histogram(t) @ model.weights) for t in batch.column(1).to_pylist()])
-                scores = 1 / (1 + np.exp(np.clip((model.threshold - sums) * model.slope, -700, 700)))
-            else:
-                scores = np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())],
-                names=schema.fieldNames(),
-            )
+            scores = scored(shared.value, histogram, batch.column(1).to_pylist())
+            marks = pa.array((scores >= 0.5).astype(np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), marks], names=schema.fieldNames())
 
     return docs.select("doc_id", "text").mapInArrow(score, schema)
+
+
+def keep_ordinary(
+    docs: DataFrame, labels: DataFrame, *, learn: Column, toxic_rows: int = 2_000, ordinary_rows: int = 4_000
+) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text is not predicted toxic; in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, learn, toxic_rows, ordinary_rows))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        histogram = shared.value.scorer() if shared.value else None
+        for batch in batches:
+            yield batch.filter(pa.array(scored(shared.value, histogram, batch.column(at).to_pylist()) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
