@@ -19,6 +19,14 @@ _HASHES = _TREES * _DEPTH
 _SURE = 0.95  # estimated likeness from which a row needs no neighbour besides the region's first
 _MARGIN = 0.15  # an estimate this far below the threshold is 4 standard errors off
 _FACTORS = np.random.default_rng(20).integers(1, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Set while pairs are confirmed: filter the texts' side whatever its size; at most 8 MB of bits.
+_RUNTIME_FILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "67108864",
+}
 _PLACES = np.random.default_rng(21).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,8 +199,9 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose documents' full shingle sets meet the threshold.
 
-    Both texts of a pair are brought together by two joins on the id; a document in many pairs is a hot key of a plain join
-    that adaptive execution splits.
+    Both texts of a pair are brought together by one join on the id; a document in many pairs is a hot key of a plain join
+    that adaptive execution splits. Spark's own runtime filter, a Bloom filter of bounded size over the pairs' ids, keeps
+    texts that no pair asks for out of the shuffle; the predicate on the pairs, always true, is what makes Spark consider it.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +215,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id")).join(texts, "doc_id")
+    wanted = written(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id")), "near-sides").where("a < b")
+    sides = wanted.join(texts, "doc_id")
     both = sides.groupBy("a", "b").agg(
         F.max(F.when(F.col("doc_id") == F.col("a"), F.col("text"))).alias("left"),
         F.max(F.when(F.col("doc_id") == F.col("b"), F.col("text"))).alias("right"),
     )
-    return both.mapInArrow(check, "a long, b long")
+    spark = docs.sparkSession
+    before = {key: spark.conf.get(key, None) for key in _RUNTIME_FILTER}
+    for key, value in _RUNTIME_FILTER.items():
+        spark.conf.set(key, value)
+    try:
+        return written(both.mapInArrow(check, "a long, b long"), "near-confirmed")
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -261,7 +279,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     )
     pairs = written(candidates(classes, percent), "near-pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("likeness", -F.col("a"))).alias("a")).select("a", "b")
-    first = written(confirmed(best, docs, width, percent), "near-first")
+    first = confirmed(best, docs, width, percent)
     found = components(first)
     of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
     of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
@@ -272,7 +290,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
         .select("a", "b")
     )
-    more = written(confirmed(written(apart, "near-apart"), docs, width, percent), "near-more")
+    more = confirmed(apart, docs, width, percent)
     if not more.isEmpty():
         found = components(first.union(more))
     members = signed.join(classes.select(*key, "node"), key, "left").select("doc_id", "n_shingles", "node")
