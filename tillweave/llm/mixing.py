@@ -146,22 +146,24 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     The decision needs only the row and its source's cut (one row per source), so no text is shuffled.
     """
-    size = options.get("size", None)
-    size = word_count(F.col("text")) if size is None else size
+    size = word_count(F.col("text")) if options.get("size") is None else options["size"]
+    source = F.col("source") if options.get("source") is None else options["source"]
     _, cuts = mix_plan(docs, **options)
-    cuts = cuts.select(F.col("source").alias("mix_source"), "epochs", "cut_at", "cut_take")
     key = F.md5(F.concat(F.lit(options.get("seed", "mix")), id_text(F.col("doc_id"))).cast("binary"))
-    here = F.struct(key.alias("mix_key"), F.col("doc_id"), size.cast("long").alias("size"))
-    source = F.col("source") if options.get("source") is None else options["source"]
-    extra = F.when(F.col("mix_here") < F.col("cut_at"), 1).when(
-        (F.col("mix_here") == F.col("cut_at")) & (2 * F.col("cut_take") >= F.col("mix_here.size")), 1
+    # the row goes along as one struct, so that its columns' names meet no others
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(key.alias("mix_key"), F.col("doc_id"), size.cast("long").alias("size")).alias("here"),
+        source.cast("string").alias("of_source"),
+    )
+    extra = F.when(F.col("here") < F.col("cut_at"), 1).when(
+        (F.col("here") == F.col("cut_at")) & (2 * F.col("cut_take") >= F.col("here.size")), 1
     )
     copies = (F.col("epochs") + F.coalesce(extra, F.lit(0))).cast("int")
     return (
-        docs.withColumn("mix_here", here)
-        .join(cuts, source.cast("string").eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_copies", copies)
-        .where("mix_copies > 0")
-        .withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        rows.join(cuts.select("source", "epochs", "cut_at", "cut_take"), F.col("of_source").eqNullSafe(F.col("source")))
+        .select("row", copies.alias("copies"))
+        .where("copies > 0")
+        .select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+        .select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
     )
