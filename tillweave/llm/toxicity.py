@@ -17,6 +17,7 @@ from tillweave.llm.tables import hash_sample, written
 
 LEVEL, WINDOW = 12, 8  # compression level; words of a window
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
+_ROUNDS = 2  # how often the ordinary dictionary is extended by what it was found to lack
 _LOW, _HIGH = -3, 10  # differences beyond are counted there
 
 
@@ -59,13 +60,16 @@ class Model:
     def scorer(self):
         plain, aware = compressor(self.ordinary), compressor(self.toxic + self.ordinary)
 
+        def gain(window: bytes) -> int:
+            return len(plain.compress(window)) - len(aware.compress(window))
+
         def histogram(text: str | None) -> np.ndarray:
             found = np.zeros(_HIGH - _LOW + 1)
             for window in windows(words(text)):
-                gain = len(plain.compress(window)) - len(aware.compress(window))
-                found[min(max(gain, _LOW), _HIGH) - _LOW] += 1
+                found[min(max(gain(window), _LOW), _HIGH) - _LOW] += 1
             return found
 
+        histogram.gain = gain
         return histogram
 
 
@@ -74,10 +78,11 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
 
     The ordinary dictionary is trained on windows of ordinary texts. The toxic one is trained on what toxic texts have of
     their own: runs of the words that at least four of them hold, eight times as often as ordinary texts do. It is put
-    before the ordinary content, so a window that holds nothing of it is compressed alike by both. Three quarters of the
+    before the ordinary content, so a window that holds nothing of it is compressed alike by both. Ordinary windows that it
+    shortens all the same, as those of a rare language may be, go into a further ordinary dictionary. Three quarters of the
     texts make the dictionaries; on the last quarter the weight of a difference is its log-likelihood ratio between toxic
     and ordinary windows, and the threshold is where precision and recall of documents, at the labels' own ``prior``,
-    balance best (F1).
+    balance best (F1, to within a hundredth).
     """
     held = slice(0, None, 4) if min(len(toxic), len(ordinary)) >= 40 else slice(0, None)
     rest = [[t for i, t in enumerate(x) if i % 4 or held.step is None] for x in (toxic, ordinary)]
@@ -93,6 +98,12 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     plain = [w for t in rest[1] for w in windows(words(t))]
     plain = plain[:: max(1, len(plain) // 120_000)]
     model = Model(dictionary(plain, ORDINARY_BYTES), dictionary(runs, TOXIC_BYTES), np.zeros(_HIGH - _LOW + 1))
+    for _ in range(_ROUNDS):  # ordinary windows that the toxic dictionary shortens belong into the ordinary one
+        gain = model.scorer().gain
+        mistaken = [w for w in plain if gain(w) > 0]
+        if len(mistaken) < 50:
+            break
+        model.ordinary = dictionary(mistaken, ORDINARY_BYTES // 2) + model.ordinary
     histogram = model.scorer()
     hot, cold = (np.array([histogram(t) for t in x[held]]).reshape(-1, len(model.weights)) for x in (toxic, ordinary))
     telling = np.ones(len(hot), bool)  # toxic texts none of whose windows differs would blur the weights
@@ -105,7 +116,7 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     caught = prior * (1 - np.searchsorted(up, cuts) / max(1, len(up)))
     wrong = (1 - prior) * (1 - np.searchsorted(down, cuts) / max(1, len(down)))
     f1 = 2 * caught / np.maximum(caught + wrong + prior, 1e-12)
-    at = int(f1.argmax())
+    at = int(np.argmax(f1 >= 0.99 * f1.max()))  # the lowest cut as good as the best: rather one more than one missed
     below = cuts[at - 1] if at else cuts[at] - 1
     model.threshold = float((cuts[at] + below) / 2)
     model.slope = 1 / max(0.25, float(np.std(down)))
