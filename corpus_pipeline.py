@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillweave.llm import language, mixing, near_dups, packing, toxicity
-from tillweave.llm.tables import few, id_remainder, written
+from tillweave.llm.tables import bounded_batches, few, id_remainder, written
 
 #: A language predicted with less certainty than this is no decision.
 LEAST_CERTAINTY = 0.5
@@ -19,6 +19,7 @@ LEAST_CERTAINTY = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told: some letters, and a certain enough prediction."""
+    bounded_batches(spark)
     return language.keep_known(docs, learn=id_remainder(F.col("doc_id"), 4) != 2, least=LEAST_CERTAINTY)
 
 

@@ -48,7 +48,7 @@ class Generations(dict):
 class CachedEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. A null text counts as empty."""
 
-    def __init__(self, path: str, *, words: int = 400_000, parts: int = 500_000):
+    def __init__(self, path: str, *, words: int = 250_000, parts: int = 30_000):
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.parts = Generations(self._ids, parts)
@@ -69,8 +69,9 @@ class CachedEncoder:
             raise _Open
         core = word.rstrip(_TAIL)
         if core.isalpha() and "İ" not in core:
-            ids = self.parts[" " + core]
-            return ids if len(core) == len(word) else ids + self.parts[word[len(core) :]]
+            if len(core) == len(word):
+                return self._ids(" " + word)
+            return self.words[core] + self.parts[word[len(core) :]]
         return self._split(" " + word)
 
     def encode(self, text: str | None) -> bytes:

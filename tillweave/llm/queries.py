@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillweave.llm import fingerprints, hosts, language, mixing, near_dups, packing, quality, token_counts, token_files, toxicity
-from tillweave.llm.tables import id_remainder, new_path
+from tillweave.llm.tables import bounded_batches, id_remainder, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def documents(spark: SparkSession, directory: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/documents.parquet")
+    return bounded_batches(spark).read.parquet(f"{directory}/documents.parquet")
 
 
 def op1_mixing(spark: SparkSession, directory: str) -> DataFrame:

@@ -29,6 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(nullable).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> SparkSession:
+    """Hand texts to Python in smaller batches than by default (10,000 rows), so that long ones fit a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
