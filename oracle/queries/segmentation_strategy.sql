@@ -1,5 +1,5 @@
 WITH f AS (SELECT b.*, r.last_2m, r.transactions AS pt, r.total_sales AS ps, date_diff('day', r.first_date, r.last_date) / 30 AS pm, date_diff('day', r.last_date, DATE '2001-08-02') AS idle,
-    t.transactions AS tt, date_diff('day', t.first_trx_date, t.last_trx_date) / 30 AS am, c.strategy_segment AS seg, k.cohort, coalesce(s.non_fuel_sales, 0) + coalesce(r.total_sales, 0) AS alls,
+    t.transactions AS tt, date_diff('day', t.member_since, t.last_earned) / 30 AS am, c.strategy_segment AS seg, k.cohort, coalesce(s.non_fuel_sales, 0) + coalesce(r.total_sales, 0) AS alls,
     x.scv_id AS ok, u.scv_id AS unsub
   FROM fx_breadth b LEFT JOIN fx_recency r ON r.scv_id = b.scv_id LEFT JOIN fx_points_total t ON t.scv_id = b.scv_id LEFT JOIN fx_customer c ON c.scv_id = b.scv_id
   LEFT JOIN fx_risk k ON k.scv_id = b.scv_id LEFT JOIN fx_reference_sales s ON s.scv_id = b.scv_id LEFT JOIN fx_contactable x ON x.scv_id = b.scv_id LEFT JOIN fx_unsubscribed u ON u.scv_id = b.scv_id),

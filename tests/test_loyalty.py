@@ -54,7 +54,7 @@ def test_ladder_first_match_and_missing_figures(spark):
         [("a", 0, 3, 10.0, D(2024, 1, 1), D(2024, 3, 1)), ("b", 0, 30, 10.0, D(2025, 1, 1), D(2025, 4, 30))],
         "scv_id string, last_2m long, transactions long, total_sales double, first_date date, last_date date",
     )
-    points = spark.createDataFrame([("d", 5, D(2025, 1, 1), D(2025, 1, 31))], "scv_id string, transactions long, first_trx_date date, last_trx_date date")
+    points = spark.createDataFrame([("d", 5, D(2025, 1, 1), D(2025, 1, 31))], "scv_id string, transactions long, member_since date, last_earned date")
     customers = spark.createDataFrame([("a", "PROTECT"), ("b", "OTHER")], "scv_id string, strategy_segment string")
     risk = spark.createDataFrame([("e", "Risk")], "scv_id string, cohort string")
     sales = spark.createDataFrame([("d", 50.0)], "scv_id string, non_fuel_sales double")

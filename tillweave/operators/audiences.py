@@ -75,8 +75,8 @@ def _ladder(as_of: dt.date, t: Thresholds) -> list[tuple[Column, str, str]]:
     visits = per_month(F.col("partner_transactions"), F.col("first_partner_date"), F.col("last_partner_date"))
     spend = per_month(F.col("partner_sales"), F.col("first_partner_date"), F.col("last_partner_date"))
     both_sales = F.coalesce("non_fuel_sales", F.lit(0.0)) + F.coalesce("partner_sales", F.lit(0.0))
-    all_spend = per_month(both_sales, F.col("first_trx_date"), F.col("last_trx_date"))
-    all_visits = per_month(F.col("all_transactions"), F.col("first_trx_date"), F.col("last_trx_date"))
+    all_spend = per_month(both_sales, F.col("member_since"), F.col("last_earned"))
+    all_visits = per_month(F.col("all_transactions"), F.col("member_since"), F.col("last_earned"))
     engaged = (
         (visits >= t.engaged_visits)
         & (F.datediff(F.lit(as_of), "last_partner_date") <= t.engaged_recent_days)
@@ -140,7 +140,7 @@ def segmentation_strategy(
             "scv_id",
             "left",
         )
-        .join(points.select("scv_id", F.col("transactions").alias("all_transactions"), "first_trx_date", "last_trx_date"), "scv_id", "left")
+        .join(points.select("scv_id", F.col("transactions").alias("all_transactions"), "member_since", "last_earned"), "scv_id", "left")
         .join(customers.select("scv_id", "strategy_segment"), "scv_id", "left")
         .join(risk.select("scv_id", "cohort"), "scv_id", "left")
         .join(reference_sales, "scv_id", "left")
@@ -174,10 +174,12 @@ def lifecycle_audience(
     prefs_required: Sequence[str],
     campaign_id: str,
     execution_id: str,
+    zone: str,
     tenure_months: int = 2,
-    zone: str = "Pacific/Auckland",
+    seed_source: str | None = None,
 ) -> DataFrame:
-    """Tenured, opted-in customers who never dealt with the partner, plus the partner's seed list, with campaign columns.
+    """Tenured, opted-in customers who never dealt with the partner, plus the partner's seed list (of ``seed_source``,
+    default: of any), with campaign columns.
 
     The list of partner customers holds no NULL, so "not in" is an anti-join.
     """
@@ -185,7 +187,7 @@ def lifecycle_audience(
     tenured = active_customers(customers).filter(joined <= F.add_months(F.lit(as_of), -tenure_months)).select("scv_id").distinct()
     buyers = partner_txns.filter(F.col("scv_id").isNotNull() & (F.col("partner_id") == partner_id)).select("scv_id").distinct()
     fresh = tenured.join(buyers, "scv_id", "left_anti").join(opted_in(preferences, prefs_required), "scv_id", "left_semi")
-    seeded = seeds.filter((F.col("list_source") == "Partner Seed List") & (F.col("partner_id") == seed_partner_id)).select("scv_id")
+    seeded = seeds.filter((F.lit(True) if seed_source is None else F.col("list_source") == seed_source) & (F.col("partner_id") == seed_partner_id)).select("scv_id")
     return (
         fresh.unionByName(seeded)
         .distinct()

@@ -42,11 +42,13 @@ def offer_own_brand(offer_articles: DataFrame, article_vendor: DataFrame) -> Dat
 
 
 def invoice_feed(
-    kpis: DataFrame, offer_vendor: DataFrame, own_brand: DataFrame, *, as_of: dt.date, offer_type: str = "product offer"
+    kpis: DataFrame, offer_vendor: DataFrame, own_brand: DataFrame, *, as_of: dt.date, offer_type: str = "product offer",
+    excluded_name: str | None = None,
 ) -> DataFrame:
     """Offer x week redemptions and points of started offers, with vendor and article lists as JSON text.
 
-    Invalid allocations, rows without a week and pinned offers are left out. The offer name is the second field of the
+    Invalid allocations, rows without a week and offers whose lower-cased name holds ``excluded_name``
+    (default: none) are left out. The offer name is the second field of the
     piped name. An offer with own-brand and other articles appears once per flag.
     """
     keys = ["offer_id", "offer_name", "offer_type", "offer_target_type", "product_offer_type", "pel_week"]
@@ -56,7 +58,7 @@ def invoice_feed(
             & (F.col("offer_start_date") < F.lit(as_of))
             & ~F.col("allocated_scv_id").isin("Invalid")
             & F.col("week_number").isNotNull()
-            & ~F.contains(F.lower("offer_name"), F.lit("pinned"))
+            & (F.lit(True) if excluded_name is None else ~F.contains(F.lower("offer_name"), F.lit(excluded_name)))
             & (F.col("offer_type") == offer_type)
         )
         .groupBy(*keys)

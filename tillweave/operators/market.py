@@ -147,13 +147,18 @@ def own_vs_market(
 
 
 def own_hierarchy(
-    profit: DataFrame, calendar: DataFrame, *, as_of: dt.date, sales_org: str, levels: Sequence[str], weeks: int = 104
+    profit: DataFrame, calendar: DataFrame, *, as_of: dt.date, sales_org: str, levels: Sequence[str], weeks: int = 104,
+    excluded_prefix: str | None = None,
 ) -> DataFrame:
-    """Own ledger rolled up to the upper-cased hierarchy and week; days outside the calendar have no week."""
+    """Own ledger rolled up to the upper-cased hierarchy and week; days outside the calendar have no week.
+
+    Articles whose id starts with ``excluded_prefix`` (default: none) are left out.
+    """
     first, last = _weeks_back(as_of, weeks)
     week = monday_week_start(F.col("calendar_day"))
     rows = profit.filter(F.col("calendar_day").between(first, F.date_add(last, 6)) & week.between(first, last)).filter(
-        (F.col("sales_org") == sales_org) & ~F.startswith("article_id", F.lit("Z"))
+        (F.col("sales_org") == sales_org)
+        & (F.lit(True) if excluded_prefix is None else ~F.startswith("article_id", F.lit(excluded_prefix)))
     )
     keys = [F.upper(level).alias(f"{level}_combined") for level in levels]
     days = calendar.select(F.col("date").alias("calendar_day"), "week_end_date", "pel_week", "latest_week_order")

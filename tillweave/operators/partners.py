@@ -45,16 +45,17 @@ def partner_points(fuel: DataFrame, non_fuel: DataFrame) -> DataFrame:
 
 
 def partner_points_summary(points: DataFrame, *, partner_id: str) -> DataFrame:
-    """Per customer: totals over all partners, and the points of one partner (NULL without dealings with it)."""
+    """Per customer: how long and how often points were earned, how many and how many of them as a bonus, everywhere and at one
+    partner (NULL without dealings with it)."""
     one = F.col("partner_id") == partner_id
     return points.groupBy("scv_id").agg(
-        F.sum("base_points").alias("total_base_points"),
-        F.sum("bonus_points").alias("total_bonus_points"),
+        F.min("first_date").alias("member_since"),
+        F.max("last_date").alias("last_earned"),
         F.sum("transactions").alias("transactions"),
-        F.min("first_date").alias("first_trx_date"),
-        F.max("last_date").alias("last_trx_date"),
-        sum_if(one, F.col("base_points")).alias("partner_base_points"),
-        sum_if(one, F.col("bonus_points")).alias("partner_bonus_points"),
+        F.sum(F.col("base_points") + F.col("bonus_points")).alias("points"),
+        F.sum("bonus_points").alias("bonus_part"),
+        sum_if(one, F.col("base_points") + F.col("bonus_points")).alias("points_at_partner"),
+        sum_if(one, F.col("bonus_points")).alias("bonus_part_at_partner"),
     )
 
 

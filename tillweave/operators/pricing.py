@@ -73,7 +73,7 @@ def modal_shelf_price(
 ) -> DataFrame:
     """Most frequent price per article in the reporting week, over ordinary stores, by selling unit and promotion flags.
 
-    Frequencies are exact; equal ones go to the higher price, then to the first unit and the first flags.
+    Frequencies are exact; equal ones go to the higher price (a missing one comes last), then to the first unit and the first flags.
     ``price`` defaults to the shelf price.
     """
     price = F.col("shelf_price") if price is None else price
@@ -93,7 +93,7 @@ def modal_shelf_price(
         .join(article_units(uoms), ["article_id", "unit_of_measure"])
     )
     row = F.struct("pack_size", "unit_of_measure", "financial_week_end_date", *flags, "price", "stores")
-    order = F.struct(-F.col("stores"), -F.col("price"), "unit_of_measure", "pack_size", *flags)
+    order = F.struct(-F.col("stores"), F.col("price").isNull(), -F.col("price"), "unit_of_measure", "pack_size", *flags)
     return counted.groupBy("article_id").agg(F.min_by(row, order).alias("top")).select("article_id", "top.*")
 
 
@@ -107,16 +107,17 @@ def recommended_price(
     districts: Sequence[str],
     excluded_categories: Sequence[str] = (),
     excluded_stores: Sequence[str] = (),
+    closed_mark: str | None = None,
 ) -> DataFrame:
     """Price with the latest start per article and unit; equal starts go to the price most stores have, then the higher.
 
-    Ordinary, open, physical stores of the given districts count.
+    Ordinary, physical stores of the given districts count; those whose name holds ``closed_mark`` (default: none) do not.
     """
     chosen = _ordinary_stores(stores).filter(
         is_false(F.col("is_online_store"))
         & ~F.col("store_id").isin(list(excluded_stores))
         & F.col("district_id").isin(list(districts))
-        & ~F.contains("store_name", F.lit("Closed"))
+        & (F.lit(True) if closed_mark is None else ~F.contains("store_name", F.lit(closed_mark)))
     )
     kept_articles = articles.filter(~F.col("category").isin(list(excluded_categories))).select("article_id").distinct()
     counted = (

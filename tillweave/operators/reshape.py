@@ -15,11 +15,12 @@ def dynamic_week_pivot(
 ) -> DataFrame:
     """Weekly sales of a category, one column per week of the trailing horizon, newest first.
 
+    A week end has one label, that of its first day, so that no week is counted under two where the label changes inside it.
     Column names come from the calendar: the only thing fetched to the driver are the ``weeks`` or so week labels.
     """
     last = sunday_week_start(F.lit(as_of))
     horizon = dim_date.filter(F.col("financial_week_end_date").between(add_weeks(last, 1 - weeks), last))
-    ends = horizon.select("financial_week_end_date", F.col(week_column).cast("string").alias("week")).distinct()
+    ends = horizon.groupBy("financial_week_end_date").agg(F.min_by(F.col(week_column).cast("string"), "date").alias("week"))
     labels = sorted((r["week"] for r in ends.select("week").distinct().collect()), reverse=True)
     in_horizon = facts.filter(
         (F.col("category") == category) & F.col("financial_week_end_date").between(add_weeks(last, 1 - weeks), last)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,14 +57,17 @@ def days_to_event(
     holiday: str = "Christmas Day",
     weeks: int = 106,
     sales_org: str | None = None,
+    excluded_articles: Sequence[str] = (),
 ) -> DataFrame:
     """Every planned article on every day of its planned weeks, this and last year, with its sales where there are any.
 
-    The scaffold is dense: days without sales stay, with NULL measures. Facts older than ``weeks`` are not used.
+    The scaffold is dense: days without sales stay, with NULL measures. Facts older than ``weeks``, of ``excluded_articles``
+    (default: none) or of articles that no week plans are not aggregated.
     """
-    recent = facts.filter((F.col("calendar_day") > add_weeks(F.lit(as_of), -weeks)) & (F.col("article_id") != "UNK"))
+    recent = facts.filter((F.col("calendar_day") > add_weeks(F.lit(as_of), -weeks)) & ~F.col("article_id").isin(list(excluded_articles)))
     if sales_org is not None:
         recent = recent.filter(F.col("sales_org") == sales_org)
+    recent = recent.join(plan_weeks.select("article_id").distinct(), "article_id", "left_semi")
     daily = recent.groupBy("article_id", F.col("calendar_day").alias("date")).agg(
         F.sum("interim_gp").alias("interim_gp"), F.sum("quantity").alias("quantity"), F.sum("sales").alias("sales")
     )

@@ -52,11 +52,12 @@ def market_share(
     departments: Sequence[str],
     segments: Sequence[str],
     levels: Sequence[str],
+    excluded_prefix: str | None = None,
 ) -> DataFrame:
     """Market figures against the own hierarchy per week and node."""
     combined = own_against_market(
         profit, market, dim_date, products,
         as_of=as_of, sales_org=sales_org, markets=markets, departments=departments, segments=segments,
     )
-    hierarchy = ops.own_hierarchy(profit, ops.report_calendar(dim_date, as_of=as_of), as_of=as_of, sales_org=sales_org, levels=levels)
+    hierarchy = ops.own_hierarchy(profit, ops.report_calendar(dim_date, as_of=as_of), as_of=as_of, sales_org=sales_org, levels=levels, excluded_prefix=excluded_prefix)
     return ops.market_share_report(combined, hierarchy, levels=levels, markets=list(markets.values()), as_of=as_of)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.operators import audiences, partners
@@ -28,10 +28,11 @@ def partner_strategy(
     partner_name: str,
     prefs_required: Sequence[str],
     thresholds: audiences.Thresholds = audiences.Thresholds(),
+    run_at: Column | None = None,
 ) -> DataFrame:
     """Segment and treatment of every customer of the partner programme.
 
-    Points per customer and partner, which totals and breadth both read, are staged.
+    Points per customer and partner, which totals and breadth both read, are staged. ``run_at`` adds the time of the run.
     """
     fuel_rows = fuel.withColumn("transaction_id", F.col("receipt_id"))
     other_rows = non_fuel.withColumn("transaction_id", F.col("reference"))
@@ -47,4 +48,5 @@ def partner_strategy(
         audiences.unsubscribed_customers(sends, communications, clicks),
         as_of=as_of,
         thresholds=thresholds,
+        run_at=run_at,
     )

@@ -78,7 +78,8 @@ def config_of(s: StandIn, weeks: int | None = None) -> DataFrame:
 
 
 def calendar_of(s: StandIn, *, horizon: str = "campaign", weeks: int | None = None) -> DataFrame:
-    return campaigns.campaign_calendar(config_of(s, weeks), s.dim_date(), horizon=horizon)
+    name = f"calendar-{horizon}-{weeks}"
+    return shared(s, name, lambda: campaigns.campaign_calendar(config_of(s, weeks), s.dim_date(), horizon=horizon))
 
 
 def sales_of(s: StandIn) -> DataFrame:
@@ -281,7 +282,7 @@ def offer_vendor_arrays(s: StandIn) -> DataFrame:
 @query
 def invoice_feed(s: StandIn) -> DataFrame:
     own_brand = invoicing.offer_own_brand(redeemed_of(s), s.article_vendors())
-    return invoicing.invoice_feed(s.kpis(), vendor_arrays_of(s), own_brand, as_of=AS_OF)
+    return invoicing.invoice_feed(s.kpis(), vendor_arrays_of(s), own_brand, as_of=AS_OF, excluded_name="pinned")
 
 
 # ---- loyalty, audiences ----
@@ -376,7 +377,7 @@ def lifecycle_audience(s: StandIn) -> DataFrame:
     return audiences.lifecycle_audience(
         s.customers(), s.preferences(), fuel_of(s), s.seeds(),
         as_of=AS_OF, partner_id="2", seed_partner_id="1", prefs_required=["allow_all", "allow_partner"],
-        campaign_id="CAMPAIGN_A", execution_id="EXECUTION_A",
+        campaign_id="CAMPAIGN_A", execution_id="EXECUTION_A", zone="Pacific/Auckland", seed_source="Partner Seed List",
     )
 
 
@@ -491,6 +492,7 @@ def recommended_of(s: StandIn) -> DataFrame:
     return pricing.recommended_price(
         s.prices(), s.stores(), s.articles(), s.article_uoms(),
         sales_org="2010", districts=["UPPER", "LOWER"], excluded_categories=NOT_PRICED, excluded_stores=["27"],
+        closed_mark="Closed",
     )
 
 

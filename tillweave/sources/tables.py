@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-_SCHEMAS: dict[str, StructType] = {}
 
 
 class TableBook:
@@ -46,10 +43,8 @@ class TableBook:
         return self._read(f"{self._directory}/{name}.parquet")
 
     def _read(self, path: str) -> DataFrame:
-        """Read Parquet; its schema is looked up in the files once per process."""
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        """Read Parquet; its schema is looked up in the files once per book."""
+        return self.spark.read.parquet(path)
 
 
 def replace_table(df: DataFrame, table: str) -> None:
