@@ -145,7 +145,9 @@ def test_vendor_lists_keep_missing_ids(spark):
 
 def test_week_pivot_has_every_week_newest_first(spark):
     days = [D(2025, 1, 5) + dt.timedelta(7 * n) for n in range(10)]
-    calendar = spark.createDataFrame([(d, 202500 + n) for n, d in enumerate(days)], "financial_week_end_date date, financial_period_week int")
+    # the label changes inside the newest week, which counts under the label of its first day only
+    labels = [(d, d - dt.timedelta(6), 202500 + n) for n, d in enumerate(days)] + [(days[9], days[9], 202510)]
+    calendar = spark.createDataFrame(labels, "financial_week_end_date date, date date, financial_period_week int")
     facts = spark.createDataFrame([("a", days[9], "news", 3.0), ("a", days[9], "news", 4.0), ("a", days[1], "news", 9.0), ("b", days[8], "food", 1.0)],
                                   "article_id string, financial_week_end_date date, category string, weekly_sales double")
     wide = reshape.dynamic_week_pivot(facts, calendar, as_of=days[9], category="news", weeks=3)
