@@ -77,7 +77,7 @@ def test_audience_tenure_and_seeds(spark):
     txns = spark.createDataFrame([("buyer", "p"), (None, "p"), ("old", "q")], "scv_id string, partner_id string")
     seeds = spark.createDataFrame([("seed", "Partner Seed List", "s"), ("no", "Other", "s"), ("old", "Partner Seed List", "s")], "scv_id string, list_source string, partner_id string")
     found = audiences.lifecycle_audience(
-        customers, prefs, txns, seeds, as_of=D(2025, 4, 30), zone="Pacific/Auckland", partner_id="p", seed_partner_id="s", prefs_required=["allow_all"], campaign_id="c", execution_id="e"
+        customers, prefs, txns, seeds, as_of=D(2025, 4, 30), zone="Pacific/Auckland", partner_id="p", seed_partner_id="s", seed_source="Partner Seed List", prefs_required=["allow_all"], campaign_id="c", execution_id="e"
     ).collect()
     # 11:30 UTC is already 1 March in New Zealand, a day too late for two months before 30 April (clamped to 28 February)
     assert sorted(r.scv_id for r in found) == ["old", "seed"]
