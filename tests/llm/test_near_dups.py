@@ -79,6 +79,41 @@ def test_crowded_group_of_near_copies_and_chains(spark, width, percent):
     compare(spark, texts, width, percent)
 
 
+def test_copies_that_only_their_original_links(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(400)]
+    texts = {}
+    for i in range(1200):  # eight edits of its own each: like the original, but not like each other
+        copy = list(base)
+        for at in rng.sample(range(5, 395), 8) if i != 600 else []:
+            copy[at] = word()
+        texts[i] = " ".join(copy)
+    for i in range(1200, 1300):
+        texts[i] = " ".join(word() for _ in range(50))
+    sets = {i: shingles(t, 5) for i, t in texts.items()}
+    alike = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    assert all(alike(i, 600) for i in range(1200))
+    assert not any(alike(i, j) for i in range(5) for j in range(1200) if j not in (i, 600))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = near_dups.near_duplicates(docs, width=5, percent=80).collect()
+    found = {r["doc_id"]: r["component_id"] for r in rows}
+    assert len(rows) == len(texts)
+    apart = sum(found[i] != 0 for i in range(1200))
+    assert apart == 0, f"{apart} of 1200 copies are apart"
+    assert all(found[i] == i for i in range(1200, 1300))
+
+
+def test_overlaps_are_exact():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(base, rng.integers(1, 400))) for _ in range(90)]
+    wanted = rng.random((40, 50)) < 0.9
+    for mask in (wanted, wanted & (rng.random((40, 50)) < 0.1)):
+        got = near_dups.overlaps(sets[:40], sets[40:], mask)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[40 + j])) for i, j in zip(*np.nonzero(mask)))
+
+
 def test_odd_rows(odd, empty):
     rows = near_dups.near_duplicates(odd, width=3, percent=85).collect()
     assert len(rows) == odd.count()

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillweave.llm.tables import partitions, written
+from tillweave.llm.tables import few, partitions, written
 
 _TREES, _DEPTH, _LEAST = 12, 10, 3  # orders; hashes in each; shortest common prefix that makes neighbours
-_REGION = 64  # rows of a region that are compared with each other; larger ones go deeper
+_REGION = 64  # rows of a region that are compared with each other at once; larger ones go deeper, then block by block
+_BLOCK_ROWS, _BLOCK_SHINGLES = 512, 1 << 20  # of a crowded region's block, about
 _HASHES = _TREES * _DEPTH
 _SURE = 0.95  # estimated likeness from which a row needs no neighbour besides the region's first
 _MARGIN = 0.15  # an estimate this far below the threshold is 4 standard errors off
@@ -120,7 +121,7 @@ def neighbours(tree: np.ndarray, keys: np.ndarray, node: np.ndarray, size: np.nd
     Rows whose keys share at least ``_LEAST`` hashes form a region. A region of up to ``_REGION`` rows is compared in full. A
     larger one links each row to its first document and to the next row in order, and is looked at one hash deeper, where it
     falls apart, until its parts are small: the depth adapts to how crowded the region is. Pairs stay if sizes allow the
-    threshold and the estimate is not clearly below it.
+    threshold and the estimate is not clearly below it. What this leaves out of a large region is up to ``crowded_links``.
     """
     n = len(node)
     equal = (keys[1:] == keys[:-1]) & (tree[1:] == tree[:-1])[:, None]
@@ -161,11 +162,20 @@ def neighbours(tree: np.ndarray, keys: np.ndarray, node: np.ndarray, size: np.nd
     return a, b, score
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` of nodes that are neighbours in some order of the forest, with their best estimate.
+def _region(keys: np.ndarray) -> np.ndarray:
+    """The first ``_LEAST`` hashes of keys as a number."""
+    number = np.zeros(len(keys), np.int64)
+    for i in range(_LEAST):
+        number = number << 16 | keys[:, i].astype(np.int64)
+    return number
 
-    All orders are one range-sorted table, so a crowded region spreads over many tasks; where a partition ends inside a
-    region, its two parts meet in the other orders.
+
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a`` < ``b`` of nodes that are neighbours in some order of the forest, with their best estimate; and the
+    regions (``tree``, ``region``: the first hashes as a number) whose rows were not all compared with each other.
+
+    All orders are one range-sorted table, so a crowded region spreads over many tasks. A region was not compared in full
+    if it has more than ``_REGION`` rows or a partition ends inside it; each task reports those it cannot rule out.
     """
     spark = classes.sparkSession
     order = [
@@ -188,12 +198,26 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         a, b, score = neighbours(tree, keys, node, size, sketch, percent)
         low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
         pairs, at = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(score[at], pa.float64())],
-            names=["a", "b", "likeness"],
-        )
-
-    return ranged.mapInArrow(find, "a long, b long, likeness double").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+        number = _region(keys)
+        begins = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (tree[1:] != tree[:-1])]))
+        counts = np.diff(begins, append=n)
+        open_ = counts > _REGION
+        open_[[0, -1]] = True  # may go on in the next partition
+        begins, counts = begins[open_], counts[open_]
+        absent = lambda kind, many: pa.nulls(many, kind)
+        for columns in (
+            [pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(score[at], pa.float64())]
+            + [absent(kind, len(pairs)) for kind in (pa.int32(), pa.int64(), pa.int64())],
+            [absent(kind, len(begins)) for kind in (pa.int64(), pa.int64(), pa.float64())]
+            + [pa.array(x, k) for x, k in ((tree[begins], pa.int32()), (number[begins], pa.int64()), (counts, pa.int64()))],
+        ):
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "likeness", "tree", "region", "held"])
+
+    schema = "a long, b long, likeness double, tree int, region long, held long"
+    found = written(ranged.mapInArrow(find, schema), "near-found")
+    pairs = found.where("tree is null").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+    regions = found.where("tree is not null").groupBy("tree", "region").agg(F.sum("held").alias("held"), F.count(F.lit(1)).alias("parts"))
+    return pairs, regions.where((F.col("held") > _REGION) | (F.col("parts") > 1)).select("tree", "region")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -232,6 +256,128 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def _sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The shingle set of each of the classes ``nodes`` (``node``, ``digest``, ``digest2``), from a text that has it."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, digest, digest2, texts = (c.to_pylist() for c in batch.columns)
+            held = [shingle_set(t, width) for t in texts]
+            sums = [tuple(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (h, _mixed(h ^ _BASE))) for h in held]
+            ok = [at for at, pair in enumerate(zip(digest, digest2)) if sums[at] == pair]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([node[i] for i in ok], pa.int64()), pa.array([held[i].tobytes() for i in ok], pa.binary())], names=["node", "held"]
+            )
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    found = texts.join(few(nodes), "node").select("node", "digest", "digest2", "text").mapInArrow(read, "node long, held binary")
+    return found.groupBy("node").agg(F.min("held").alias("held"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """How many values each wanted pair of sets (rows of ``left``, columns of ``right``) has in common; exact."""
+    both = np.zeros(wanted.shape, np.float32)
+    a, b = np.nonzero(wanted)
+    if len(a) <= 1_000:
+        for i, j in zip(a, b):
+            both[i, j] = len(np.intersect1d(left[i], right[j], assume_unique=True))
+        return both
+    flat = [np.concatenate(x) for x in (left, right)]
+    shared = np.intersect1d(*flat)  # what only one side has adds nothing
+    places = []
+    for x, sets in zip(flat, (left, right)):
+        at = np.minimum(np.searchsorted(shared, x), max(0, len(shared) - 1))
+        hit = shared[at] == x if len(shared) else np.zeros(len(x), bool)
+        row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        places.append((row[order], at[order]))
+    for low in range(0, len(shared), 2048):
+        marks = []
+        for (row, at), many in zip(places, wanted.shape):
+            begin, end = np.searchsorted(at, [low, low + 2048])
+            mark = np.zeros((many, min(2048, len(shared) - low)), np.float32)
+            mark[row[begin:end], at[begin:end] - low] = 1
+            marks.append(mark)
+        both += marks[0] @ marks[1].T
+    return both
+
+
+def crowded_links(classes: DataFrame, regions: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links (``a``, ``b``) between different components ``found`` so far inside ``regions``: all of them, none estimated.
+
+    Within a region the rows of its largest component need no comparison with each other. All other pairs are compared on
+    their full sets: both sides are cut into blocks by a hash of the node, and each pair of blocks is a task's group of its
+    own, so a large region spreads over tasks. A pair that shares several regions is compared in the first of them.
+    """
+    numbers = [
+        F.struct(
+            F.lit(t).alias("tree"),
+            F.conv(F.hex(F.expr(f"substring(keys, {1 + 2 * _DEPTH * t}, {2 * _LEAST})")), 16, 10).cast("long").alias("region"),
+        )
+        for t in range(_TREES)
+    ]
+    rows = classes.select("node", "n_shingles", F.explode(F.array(*numbers)).alias("at"))
+    rows = rows.select("node", "n_shingles", "at.*").join(few(regions), ["tree", "region"])
+    rows = written(rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-crowded")
+    at = ["tree", "region"]
+    parts = rows.groupBy(*at, "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    sizes = parts.groupBy(*at).agg(
+        F.max_by("component", F.struct("n", "component")).alias("major"),
+        F.max(F.struct("n", "component", "shingles")).alias("most"),
+        F.sum("n").alias("n"),
+        F.sum("shingles").alias("shingles"),
+    )
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / _BLOCK_ROWS, shingles / _BLOCK_SHINGLES)).cast("int")
+    sizes = written(
+        sizes.where("n > most.n").select(
+            *at,
+            "major",
+            blocks(F.col("most.n"), F.col("most.shingles")).alias("majors"),
+            blocks(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")).alias("minors"),
+        ),
+        "near-regions",
+    )
+    rows = written(rows.join(few(sizes), at), "near-mixed")
+    if rows.isEmpty():
+        return found.select(F.col("node").alias("a"), F.col("component").alias("b")).limit(0)
+    own = rows.groupBy("node").agg(F.sum(F.expr("shiftleft(1, tree)")).cast("int").alias("trees"))
+    nodes = written(own.join(classes.select("node", "digest", "digest2", "keys"), "node"), "near-crowded-nodes")
+    sets = _sets(nodes.select("node", "digest", "digest2"), docs, width).join(nodes.select("node", "trees", "keys"), "node")
+    sets = written(sets, "near-crowded-sets")
+    # Blocks 0 to minors - 1 are those of the other components, the rest those of the largest one, which skip each other.
+    minor = F.col("component") != F.col("major")
+    block = F.when(minor, F.pmod(F.xxhash64("node"), "minors")).otherwise(F.col("minors") + F.pmod(F.xxhash64("node"), "majors")).cast("int")
+    every = F.when(minor, F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") - 1))
+    placed = rows.withColumn("block", block).withColumn("other", F.explode(every))
+    placed = placed.select(
+        "node", "component", *at, "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
+    ).join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        tree, left, right = (table.column(c)[0].as_py() for c in ("tree", "left", "right"))
+        block, node, component, trees = (table.column(c).to_numpy() for c in ("block", "node", "component", "trees"))
+        held = [np.frombuffer(x, np.uint64) for x in table.column("held").to_pylist()]
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), ">u2").reshape(len(node), _TREES, _DEPTH)
+        size = np.array([len(x) for x in held], np.int64)
+        x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        wanted = component[x][:, None] != component[y][None]
+        wanted &= 100 * np.minimum(size[x][:, None], size[y][None]) >= percent * np.maximum(size[x][:, None], size[y][None])
+        if left == right:
+            wanted = np.triu(wanted, 1)
+        for t in range(tree):
+            number, mine = _region(keys[:, t]), trees >> t & 1 == 1
+            wanted &= ~((number[x][:, None] == number[y][None]) & mine[x][:, None] & mine[y][None])
+        x, y, wanted = x[wanted.any(axis=1)], y[wanted.any(axis=0)], wanted[wanted.any(axis=1)][:, wanted.any(axis=0)]
+        ok = wanted
+        if wanted.size:
+            both = overlaps([held[i] for i in x], [held[i] for i in y], wanted).astype(np.int64)
+            ok = wanted & (100 * both >= percent * (size[x][:, None] + size[y][None] - both))
+        a, b = (node[side[at]] for side, at in zip((x, y), np.nonzero(ok)))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return written(placed.groupBy(*at, "left", "right").applyInArrow(compare, "a long, b long"), "near-crowded-links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable from each linked node (``node``, ``component``).
 
@@ -263,7 +409,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     (smallest id with exactly the same set), ``component_id`` (smallest id reachable over links), ``kept`` (the row's id is
     its component's). Documents with equal sets fall into one class by their sets' digests and never meet as pairs. Of the
     candidate pairs, each document's likeliest one is confirmed first; what then lies in one component needs no further
-    comparison, and all other pairs are confirmed as well. None is dropped.
+    comparison, and all other pairs are confirmed as well. None is dropped. In regions of the forest too crowded to propose
+    every pair, all pairs that still lie in different components are then compared on their full sets.
 
     Defined cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer words are one
     shingle; a row that repeats id and text joins its class, one that repeats an id with another text is grouped by its own
@@ -277,7 +424,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         some.groupBy(*key).agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")),
         "near-classes",
     )
-    pairs = written(candidates(classes, percent), "near-pairs")
+    pairs, regions = candidates(classes, percent)
+    pairs, regions = written(pairs, "near-pairs"), written(regions, "near-open-regions")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("likeness", -F.col("a"))).alias("a")).select("a", "b")
     first = confirmed(best, docs, width, percent)
     found = components(first)
@@ -291,8 +439,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         .select("a", "b")
     )
     more = confirmed(apart, docs, width, percent)
+    links = first.union(more)
     if not more.isEmpty():
-        found = components(first.union(more))
+        found = components(links)
+    crowded = crowded_links(classes, regions, found, docs, width, percent)
+    if not crowded.isEmpty():
+        found = components(links.union(crowded))
     members = signed.join(classes.select(*key, "node"), key, "left").select("doc_id", "n_shingles", "node")
     labelled = members.join(found, "node", "left")
     return labelled.select(
