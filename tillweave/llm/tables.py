@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +15,20 @@ from tillweave.sources.staging import shared_root, staged_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@functools.cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tillweave-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; the warehouse, which is shared too, where a session has no such setting."""
-    return shared_root(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    """The folder of ``spark.checkpoint.dir``. Only a local session, whose tasks all run here, may lack it and gets a temporary
+    one; a cluster has to name one."""
+    root = shared_root(spark)
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _local_folder()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
