@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import fingerprints, hosts, language, mixing, near_dups, packing, quality, token_counts, token_files, toxicity
+from tillweave.llm import fingerprints, hosts, language, mixing, near_dups, packing, quality, spelling, token_counts, token_files, toxicity, vector_codes, vector_graphs
 from tillweave.llm.tables import bounded_batches, id_remainder, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +79,23 @@ def op10_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_near_dups, op3_token_files, op4_packing, op5_language, op6_token_counts, op7_fingerprints, op8_quality, op9_hosts, op10_toxicity)}
+def embeddings(spark: SparkSession, directory: str) -> DataFrame:
+    return bounded_batches(spark).read.parquet(f"{directory}/embeddings.parquet")
+
+
+def op11_spelling(spark: SparkSession, directory: str) -> DataFrame:
+    return spelling.group_spellings(spelling.count_words(documents(spark, directory), erase_every=97))
+
+
+def op12_vector_graphs(spark: SparkSession, directory: str) -> DataFrame:
+    return vector_graphs.near_vectors(embeddings(spark, directory), least=0.93)
+
+
+def op13_vector_codes(spark: SparkSession, directory: str) -> DataFrame:
+    return vector_codes.vector_codes(embeddings(spark, directory), parts=4, entries=256, rounds=4, scale=1024)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_near_dups, op3_token_files, op4_packing, op5_language, op6_token_counts, op7_fingerprints, op8_quality, op9_hosts, op10_toxicity, op11_spelling, op12_vector_graphs, op13_vector_codes)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))}
