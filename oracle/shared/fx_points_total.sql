@@ -1,6 +1,6 @@
 SELECT scv_id,
-  arg_min(first_date, first_date) AS member_since,
-  arg_max(last_date, last_date) AS last_earned,
+  min(first_date) AS member_since,
+  max(last_date) AS last_earned,
   sum(transactions)::BIGINT AS transactions,
   sum(base_points + bonus_points) AS points,
   sum(bonus_points) AS bonus_part,

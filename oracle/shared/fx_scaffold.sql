@@ -4,4 +4,4 @@ SELECT w.article_id, d.date, d.financial_year, d.pel_week, w.week,
   f.interim_gp, f.quantity, f.sales
 FROM fx_plan_week w JOIN fx_dim_date d ON CAST(w.week AS INT) = d.week_of_financial_year AND d.financial_year IN (2000, 2001)
 LEFT JOIN (SELECT article_id, calendar_day, SUM(interim_gp) AS interim_gp, SUM(quantity) AS quantity, SUM(sales) AS sales FROM fx_profit
-  WHERE sales_org = '2010' AND calendar_day > DATE '2001-06-15' - 742 GROUP BY ALL) f ON f.article_id = w.article_id AND f.calendar_day = d.date
+  WHERE sales_org = 'ORG2' AND calendar_day > DATE '2001-06-15' - 742 GROUP BY ALL) f ON f.article_id = w.article_id AND f.calendar_day = d.date

@@ -82,11 +82,11 @@ SELECT CAST(p_partkey AS VARCHAR) AS article_id, CAST(p_partkey % 7 AS VARCHAR)
   CASE WHEN p_partkey % 7 <> 0 THEN 'V' || CAST(p_partkey % 7 AS VARCHAR) END AS vendor_description, CASE WHEN p_partkey % 4 = 0 THEN 'Y' ELSE 'N' END AS own_brand FROM part WHERE p_size > 2
 -- view fx_article_site
 SELECT CAST(l_partkey AS VARCHAR) AS article_id, CAST(l_suppkey AS VARCHAR) AS vendor_code, s_name AS vendor_description, CAST(l_shipdate AS DATE) AS valid_to,
-  CASE WHEN l_suppkey % 2 = 0 THEN '9050' ELSE '2010' END AS sales_org FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  CASE WHEN l_suppkey % 2 = 0 THEN 'ORG1' ELSE 'ORG2' END AS sales_org FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 -- view fx_price
 SELECT CAST(l_partkey AS VARCHAR) AS article_id, CAST(l_suppkey AS VARCHAR) AS site, CASE WHEN l_linenumber = 7 THEN 'CT' ELSE 'EA' END AS unit_of_measure,
   p_retailprice + CAST(l_suppkey % 3 AS DOUBLE) / 2 AS sell_price, CAST(l_shipdate AS DATE) AS valid_from, CAST(l_shipdate AS DATE) + 90 AS valid_to,
-  CASE WHEN l_suppkey % 2 = 0 THEN '9050' ELSE '2010' END AS sales_org,
+  CASE WHEN l_suppkey % 2 = 0 THEN 'ORG1' ELSE 'ORG2' END AS sales_org,
   CASE WHEN l_tax < 0.02 THEN NULL ELSE l_extendedprice / l_quantity END AS purchase_cost, p_brand AS category
 FROM lineitem JOIN part ON l_partkey = p_partkey
 -- view fx_store_article
@@ -100,12 +100,15 @@ FROM fx_line l JOIN part ON l.article_id = CAST(p_partkey AS VARCHAR) JOIN fx_di
 SELECT CAST(l_partkey AS VARCHAR) AS article_id, CAST(l_suppkey AS VARCHAR) AS store_id, CAST(l_suppkey % 4 AS VARCHAR) AS sourcing_dc, CAST(l_shipdate AS DATE) AS invoice_date,
   l_extendedprice AS cost_charge, l_extendedprice * (1 - l_discount) AS base_cost, l_quantity AS multiple_despatched, l_linenumber AS order_multiple FROM lineitem
 -- view fx_profit
-SELECT l.article_id, p_type AS department, p_brand AS segment, receipt_date AS calendar_day, CASE WHEN CAST(l.store_id AS INT) % 2 = 0 THEN '9050' ELSE '2010' END AS sales_org,
+SELECT l.article_id, p_type AS department, p_brand AS segment, receipt_date AS calendar_day, CASE WHEN CAST(l.store_id AS INT) % 2 = 0 THEN 'ORG1' ELSE 'ORG2' END AS sales_org,
+  'Range ' || CAST(p_size // 10 AS VARCHAR) AS category, split_part(p_name, ' ', -1) AS sub_category,
+  gst_included_amount * 0.25 AS trading_gp, quantity * 0.125 AS dumps, quantity * 0.5 AS stock_loss, gst_included_amount * 0.0625 AS markdowns, gst_included_amount * 0.6875 AS cogs,
   gst_included_amount AS sales, gst_included_amount * 0.3 AS interim_gp, gst_included_amount * 0.01 AS manual_claims, quantity
 FROM fx_line l JOIN part ON l.article_id = CAST(p_partkey AS VARCHAR) WHERE l_returnflag <> 'R'
 -- view fx_market
 SELECT d.financial_week_start_date AS week_start, CASE WHEN p_partkey % 11 <> 0 THEN l.article_id END AS product_ref,
   p_name || ' ' || CAST(p_partkey % 2 AS VARCHAR) || CASE WHEN l_linenumber = 3 THEN ' alt' ELSE '' END AS product_description, p_type AS department, p_brand AS segment,
+  'Range ' || CAST(p_size // 10 AS VARCHAR) AS category, split_part(p_name, ' ', -1) AS sub_category,
   CASE CAST(l.store_id AS INT) % 4 WHEN 0 THEN 'Total' WHEN 1 THEN 'Competitor' WHEN 2 THEN 'Own' ELSE 'Franchise' END AS market,
   gst_included_amount AS value_excl_tax, quantity AS units
 FROM fx_line l JOIN part ON l.article_id = CAST(p_partkey AS VARCHAR) JOIN fx_dim_date d ON d.date = l.receipt_date

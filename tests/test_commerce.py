@@ -12,17 +12,17 @@ D = dt.date
 def test_price_list_takes_latest_validity(spark):
     history = spark.createDataFrame(
         [
-            ("9050", "s1", "a", "EA", 5.0, 4.0, D(2025, 1, 1), D(2025, 6, 1)),
-            ("9050", "s1", "a", "EA", 6.0, 4.0, D(2025, 2, 1), D(9999, 12, 31)),
-            ("9050", "s1", "a", "EA", 9.0, None, D(2025, 3, 1), D(9999, 12, 31)),
-            ("9050", "s2", "a", "EA", 7.0, 4.0, D(2025, 2, 1), D(9999, 12, 31)),
-            ("9050", "s3", "a", "EA", 8.0, 4.0, D(2025, 2, 1), D(9999, 12, 31)),
-            ("2010", "s1", "a", "EA", 1.0, 4.0, D(2025, 2, 1), D(9999, 12, 31)),
+            ("ORG1", "s1", "a", "EA", 5.0, 4.0, D(2025, 1, 1), D(2025, 6, 1)),
+            ("ORG1", "s1", "a", "EA", 6.0, 4.0, D(2025, 2, 1), D(9999, 12, 31)),
+            ("ORG1", "s1", "a", "EA", 9.0, None, D(2025, 3, 1), D(9999, 12, 31)),
+            ("ORG1", "s2", "a", "EA", 7.0, 4.0, D(2025, 2, 1), D(9999, 12, 31)),
+            ("ORG1", "s3", "a", "EA", 8.0, 4.0, D(2025, 2, 1), D(9999, 12, 31)),
+            ("ORG2", "s1", "a", "EA", 1.0, 4.0, D(2025, 2, 1), D(9999, 12, 31)),
         ],
         "sales_org string, site string, article_id string, unit_of_measure string, sell_price double, purchase_cost double, valid_from date, valid_to date",
     )
     stores = spark.createDataFrame([("s1", "My GreenCart"), ("s2", "Test GreenCart"), ("s3", "The ValueBarn")], "store_id string, store_name string")
-    rows = pricing.current_price_list(history, stores, orgs=["9050"], banner_contains=["GreenCart"], banner_prefixes=["ValueBarn"]).collect()
+    rows = pricing.current_price_list(history, stores, orgs=["ORG1"], banner_contains=["GreenCart"], banner_prefixes=["ValueBarn"]).collect()
     assert [(r.site, r.rrp) for r in rows] == [("s1", 6.0)]
 
 

@@ -131,7 +131,7 @@ def test_staging_uses_the_session_folder(spark, tmp_path):
     assert staging.stage(df, "t").agg(F.sum("x")).first()[0] == 20
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        assert staging.staging_root(spark) == root.rstrip("/")
+        assert staging.shared_root(spark) == root.rstrip("/")
 
 
 def test_sinks_replace_and_book_finds_tables(spark, tmp_path):

@@ -60,11 +60,6 @@ def local_date(instant: Column, zone: str) -> Column:
     return F.to_date(local_timestamp(instant, zone))
 
 
-def today(zone: str) -> Column:
-    """Current date in ``zone``."""
-    return local_date(F.current_timestamp(), zone)
-
-
 def per_month(amount: Column, first: Column, last: Column) -> Column:
     """Amount per 30-day month between two dates; NULL for a span of zero days."""
     return F.try_divide(amount.cast("double"), F.datediff(last, first) / 30)

@@ -123,8 +123,9 @@ def campaign_sales(lines: DataFrame, config: DataFrame, offer_articles: DataFram
 
     Store sales count by receipt date, completed online orders by order date; receipts are read ``tail_weeks`` further, as
     online orders are invoiced late. Customers without an id are kept as NULL. The result carries one flag per window, so
-    nothing downstream needs the window dates again. Lines are first cut to the campaigns' articles, whose relation is staged
-    so that Spark knows its size; then they meet the offers on the article, with the windows as a condition of that join.
+    nothing downstream needs the window dates again. Lines meet the offers' articles on the article, with the windows as a
+    condition of that join; the articles are staged, so that Spark knows their size. Nothing else is joined on the article, so
+    that adaptive execution can split a hot one.
     """
     articles = stage(offer_articles.select("offer_id", "brand", "article_id").distinct().join(config, "offer_id"), "campaign-articles")
     scanned = within_dates(lines, "receipt_date", config.withColumn("last_date", add_weeks(F.col("post_end_date"), tail_weeks)), "long_start_date", "last_date")
@@ -133,7 +134,7 @@ def campaign_sales(lines: DataFrame, config: DataFrame, offer_articles: DataFram
     online = is_true(F.col("is_online_order"))
     in_store_sale = (F.col("is_online_order") == F.lit(False)) & receipt.between(first, last)
     online_sale = (F.col("is_online_order_completed") == F.lit(True)) & ordered.between(first, last)
-    matched = lines_of_articles(scanned, articles).join(articles, "article_id").filter(
+    matched = scanned.join(articles, "article_id").filter(
         receipt.between(first, add_weeks(last, tail_weeks)) & (in_store_sale | online_sale)
     )
     day = F.col("txn_date")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillweave.functions.dates import add_weeks, reporting_week_end, sunday_week_start
 from tillweave.functions.values import is_false, is_true
+from tillweave.operators.frequent import merged_summaries, most_frequent, value_summaries
 
 
 def article_units(uoms: DataFrame) -> DataFrame:
@@ -97,6 +98,31 @@ def modal_shelf_price(
     return counted.groupBy("article_id").agg(F.min_by(row, order).alias("top")).select("article_id", "top.*")
 
 
+def weekly_price_summaries(
+    store_articles: DataFrame, stores: DataFrame, *, price: str = "shelf_price", items: int = 256, excluded_categories: Sequence[str] = ()
+) -> DataFrame:
+    """Summary of the prices of each article, unit and reporting week over ordinary stores (see ``operators.frequent``).
+
+    One row per article, unit and week, whatever the number of stores: what a job would store each week, to be merged later.
+    """
+    rows = store_articles.filter(
+        (is_true(F.col("is_new")) | is_true(F.col("is_ranged"))) & ~F.col("category").isin(list(excluded_categories))
+    ).join(_ordinary_stores(stores).select("store_id").distinct(), "store_id", "left_semi")
+    return value_summaries(rows, ["article_id", "unit_of_measure", "financial_week_end_date"], price, items=items)
+
+
+def approx_modal_price(summaries: DataFrame, *, as_of: dt.date, weeks: int = 13, items: int = 256) -> DataFrame:
+    """Most frequent price per article and unit over the last ``weeks`` reporting weeks, from their stored summaries, with bounds.
+
+    See ``frequent.most_frequent``: the true count of ``price`` lies between ``at_least`` and ``at_most``, and the true modal
+    price between ``low`` and ``high``.
+    """
+    last = reporting_week_end(F.lit(as_of))
+    keys = ["article_id", "unit_of_measure"]
+    recent = summaries.filter(F.col("financial_week_end_date").between(add_weeks(last, 1 - weeks), last))
+    return most_frequent(merged_summaries(recent, keys, items=items), keys, items=items).withColumnRenamed("value", "price")
+
+
 def recommended_price(
     prices: DataFrame,
     stores: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,3 +38,20 @@ def job_audit(jobs: DataFrame, *, table_name: str, zone: str) -> DataFrame:
         .drop("start_time")
         .orderBy(F.col("start_date").desc())
     )
+
+
+def unpivot_weeks(wide: DataFrame, *, keys: Sequence[str], label: str = "week", value: str = "sales", keep_empty: bool = False) -> DataFrame:
+    """A week pivot back as rows: ``keys``, ``label``, ``value``. Every column that is not a key is a week.
+
+    The weeks are read off the schema, as they are data. They must be of one type, else a text column taken for a week would
+    turn all values into text. Weeks without a value are left out unless ``keep_empty``.
+    """
+    weeks = [f for f in wide.schema if f.name not in keys]
+    odd = [f for f in weeks if f.dataType != weeks[0].dataType]
+    if odd:
+        raise TypeError(f"column {odd[0].name} is {odd[0].dataType.simpleString()}, {weeks[0].name} {weeks[0].dataType.simpleString()}")
+    if not weeks:
+        raise ValueError("no column besides the keys")
+    quoted = lambda names: [f"`{n}`" for n in names]
+    long = wide.unpivot(quoted(keys), quoted(f.name for f in weeks), label, value)
+    return long if keep_empty else long.where(F.col(value).isNotNull())

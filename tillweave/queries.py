@@ -389,7 +389,7 @@ def plan_weeks_of(s: StandIn) -> DataFrame:
 
 
 def scaffold_of(s: StandIn) -> DataFrame:
-    return seasonal.days_to_event(plan_weeks_of(s), s.profit(), s.dim_date(), as_of=SEASON_AS_OF, sales_org="2010")
+    return seasonal.days_to_event(plan_weeks_of(s), s.profit(), s.dim_date(), as_of=SEASON_AS_OF, sales_org="ORG2")
 
 
 @query
@@ -410,18 +410,18 @@ def ty_ly_aligned(s: StandIn) -> DataFrame:
 
 @query
 def first_vendor_per_article(s: StandIn) -> DataFrame:
-    return seasonal.first_vendor_per_article(s.article_sites(), sales_org="2010")
+    return seasonal.first_vendor_per_article(s.article_sites(), sales_org="ORG2")
 
 
 @query
 def latest_vendor_per_article(s: StandIn) -> DataFrame:
-    return seasonal.latest_vendor_per_article(s.article_sites(), sales_org="2010")
+    return seasonal.latest_vendor_per_article(s.article_sites(), sales_org="ORG2")
 
 
 @query
 def seasonal_report(s: StandIn) -> DataFrame:
     return seasonal_plan.seasonal_report(
-        s.plan(), s.profit(), s.dim_date(), s.articles(), s.article_sites(), as_of=SEASON_AS_OF, sales_org="2010"
+        s.plan(), s.profit(), s.dim_date(), s.articles(), s.article_sites(), as_of=SEASON_AS_OF, sales_org="ORG2"
     )
 
 
@@ -434,7 +434,7 @@ LEVELS = ["department", "segment"]
 
 @query
 def weekly_own_profit(s: StandIn) -> DataFrame:
-    return market.weekly_own_profit(s.profit(), as_of=AS_OF, sales_org="2010", **SCOPE)
+    return market.weekly_own_profit(s.profit(), as_of=AS_OF, sales_org="ORG2", **SCOPE)
 
 
 @query
@@ -455,14 +455,14 @@ def two_way_match(s: StandIn) -> DataFrame:
 @query
 def own_vs_market(s: StandIn) -> DataFrame:
     return market_report.own_against_market(
-        s.profit(), s.market(), s.dim_date(), s.articles(), as_of=AS_OF, sales_org="2010", markets=MARKETS, **SCOPE
+        s.profit(), s.market(), s.dim_date(), s.articles(), as_of=AS_OF, sales_org="ORG2", markets=MARKETS, **SCOPE
     )
 
 
 @query
 def market_share_report(s: StandIn) -> DataFrame:
     return market_report.market_share(
-        s.profit(), s.market(), s.dim_date(), s.articles(), as_of=AS_OF, sales_org="2010", markets=MARKETS, levels=LEVELS, **SCOPE
+        s.profit(), s.market(), s.dim_date(), s.articles(), as_of=AS_OF, sales_org="ORG2", markets=MARKETS, levels=LEVELS, **SCOPE
     )
 
 
@@ -473,7 +473,7 @@ NOT_PRICED = ["Brand#5", "Brand#21"]
 
 def price_list_of(s: StandIn) -> DataFrame:
     return pricing.current_price_list(
-        s.prices(), s.stores(), orgs=["9050", "9060"], banner_contains=["GreenCart"], banner_prefixes=["ValueBarn"]
+        s.prices(), s.stores(), orgs=["ORG1", "ORG3"], banner_contains=["GreenCart"], banner_prefixes=["ValueBarn"]
     )
 
 
@@ -491,7 +491,7 @@ def standard_shelf_of(s: StandIn) -> DataFrame:
 def recommended_of(s: StandIn) -> DataFrame:
     return pricing.recommended_price(
         s.prices(), s.stores(), s.articles(), s.article_uoms(),
-        sales_org="2010", districts=["UPPER", "LOWER"], excluded_categories=NOT_PRICED, excluded_stores=["27"],
+        sales_org="ORG2", districts=["UPPER", "LOWER"], excluded_categories=NOT_PRICED, excluded_stores=["27"],
         closed_mark="Closed",
     )
 

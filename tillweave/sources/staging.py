@@ -7,6 +7,8 @@ cached or checkpointed row set does not. The folder is an explicit argument or t
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,25 @@ def shared_root(spark: SparkSession) -> str | None:
     return root.rstrip("/") if root else None
 
 
+@functools.cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tillweave-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session, whose tasks all run here, may lack it and gets a temporary
+    one; a cluster has to name one."""
+    root, master = shared_root(spark), spark.sparkContext.master
+    if root is None and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError(f"{_SETTING} must name a folder that the driver and all executors share")
+    return root or _local_root()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path of this run in the shared folder."""
+    return staged_path(shared_folder(spark), name)
+
+
 def staged_path(root: str, name: str) -> str:
     """A new path of this run below a shared folder."""
     return f"{root}/tillweave/{RUN}/{name}-{uuid.uuid4().hex}"

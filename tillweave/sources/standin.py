@@ -26,6 +26,12 @@ def _text(name: str):
     return F.col(name).cast("string")
 
 
+def _middle_levels():
+    """Category and sub-category of an article, between its department and its segment."""
+    category = F.concat(F.lit("Range "), F.floor(F.col("p_size") / 10).cast("string"))
+    return category.alias("category"), F.element_at(F.split("p_name", " "), -1).alias("sub_category")
+
+
 def _once(build: Callable[[StandIn], DataFrame]) -> Callable[[StandIn], DataFrame]:
     """Build a logical table once per instance, so that every use shares one plan."""
 
@@ -327,7 +333,7 @@ class StandIn:
             _text("l_suppkey").alias("vendor_code"),
             F.col("s_name").alias("vendor_description"),
             F.to_date("l_shipdate").alias("valid_to"),
-            F.when(F.col("l_suppkey") % 2 == 0, "9050").otherwise("2010").alias("sales_org"),
+            F.when(F.col("l_suppkey") % 2 == 0, "ORG1").otherwise("ORG2").alias("sales_org"),
         )
 
     @_once
@@ -341,7 +347,7 @@ class StandIn:
             (F.col("p_retailprice") + (F.col("l_suppkey") % 3).cast("double") / 2).alias("sell_price"),
             shipped.alias("valid_from"),
             F.date_add(shipped, 90).alias("valid_to"),
-            F.when(F.col("l_suppkey") % 2 == 0, "9050").otherwise("2010").alias("sales_org"),
+            F.when(F.col("l_suppkey") % 2 == 0, "ORG1").otherwise("ORG2").alias("sales_org"),
             F.when(F.col("l_tax") < 0.02, None).otherwise(F.col("l_extendedprice") / F.col("l_quantity")).alias("purchase_cost"),
             F.col("p_brand").alias("category"),
         )
@@ -430,7 +436,7 @@ class StandIn:
         """Own ledger: sales that were not returned."""
         amount = F.col("gst_included_amount")
         parts = self.tables["part"].select(
-            _text("p_partkey").alias("article_id"), F.col("p_type").alias("department"), F.col("p_brand").alias("segment")
+            _text("p_partkey").alias("article_id"), F.col("p_type").alias("department"), *_middle_levels(), F.col("p_brand").alias("segment")
         )
         return (
             self.lines()
@@ -439,12 +445,19 @@ class StandIn:
             .select(
                 "article_id",
                 "department",
+                "category",
+                "sub_category",
                 "segment",
                 F.col("receipt_date").alias("calendar_day"),
-                F.when(F.col("store_id").cast("int") % 2 == 0, "9050").otherwise("2010").alias("sales_org"),
+                F.when(F.col("store_id").cast("int") % 2 == 0, "ORG1").otherwise("ORG2").alias("sales_org"),
                 amount.alias("sales"),
                 (amount * 0.3).alias("interim_gp"),
                 (amount * 0.01).alias("manual_claims"),
+                (amount * 0.25).alias("trading_gp"),
+                (F.col("quantity") * 0.125).alias("dumps"),
+                (F.col("quantity") * 0.5).alias("stock_loss"),
+                (amount * 0.0625).alias("markdowns"),
+                (amount * 0.6875).alias("cogs"),
                 "quantity",
             )
         )
@@ -457,6 +470,7 @@ class StandIn:
             F.when(part % 11 != 0, _text("p_partkey")).alias("product_ref"),
             F.concat(F.col("p_name"), F.lit(" "), (part % 2).cast("string")).alias("name"),
             F.col("p_type").alias("department"),
+            *_middle_levels(),
             F.col("p_brand").alias("segment"),
         )
         weeks = self.dim_date().select(F.col("date").alias("receipt_date"), F.col("financial_week_start_date").alias("week_start"))
@@ -470,6 +484,8 @@ class StandIn:
                 "product_ref",
                 F.when(F.col("l_linenumber") == 3, F.concat("name", F.lit(" alt"))).otherwise(F.col("name")).alias("product_description"),
                 "department",
+                "category",
+                "sub_category",
                 "segment",
                 F.when(store == 0, "Total").when(store == 1, "Competitor").when(store == 2, "Own").otherwise("Franchise").alias("market"),
                 F.col("gst_included_amount").alias("value_excl_tax"),
