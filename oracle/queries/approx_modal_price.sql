@@ -1,6 +1,6 @@
 WITH counts AS (
   SELECT s.article_id, s.unit_of_measure, s.shelf_price AS price, count(*) AS n FROM fx_store_article s JOIN fx_store t ON t.store_id = s.store_id
-  WHERE (s.is_new OR s.is_ranged) AND NOT t.is_metro_store AND NOT t.is_neighbourhood_store AND s.category NOT IN ('Brand#5', 'Brand#21')
+  WHERE s.is_store_active AND (s.is_new OR s.is_ranged) AND NOT t.is_metro_store AND NOT t.is_neighbourhood_store AND s.category NOT IN ('Brand#5', 'Brand#21')
     AND s.financial_week_end_date BETWEEN DATE '2001-08-05' - 7 * 103 AND DATE '2001-08-05' GROUP BY ALL),
 totals AS (
   SELECT article_id, unit_of_measure, SUM(n)::BIGINT AS n_rows, max(n) AS top, min(price) AS least, max(price) AS most, CAST(floor(SUM(n) * 3.5 / 512) AS BIGINT) AS slack FROM counts GROUP BY ALL),

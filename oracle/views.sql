@@ -70,13 +70,16 @@ SELECT CAST(s_suppkey AS VARCHAR) AS site_id, s_name AS site_name, CASE WHEN s_s
 SELECT CAST(s_suppkey AS VARCHAR) AS store_id,
   CASE WHEN s_nationkey < 8 THEN 'GreenCart ' WHEN s_nationkey < 14 THEN 'ValueBarn ' WHEN s_nationkey < 16 THEN 'Test GreenCart ' ELSE 'Mainway ' END || CAST(s_suppkey AS VARCHAR) AS store_name,
   CASE WHEN s_nationkey < 12 THEN 'UPPER' ELSE 'LOWER' END AS district_id, s_acctbal < 0 AS is_metro_store, s_acctbal > 9000 AS is_neighbourhood_store,
-  CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE s_suppkey % 17 = 0 END AS is_online_store FROM supplier
+  CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE s_suppkey % 17 = 0 END AS is_online_store,
+  CASE WHEN s_nationkey < 8 THEN 'GreenCart' WHEN s_nationkey < 14 THEN 'ValueBarn' WHEN s_nationkey < 16 THEN 'Test' ELSE 'Mainway' END AS store_brand, s_suppkey % 19 <> 0 AS is_current FROM supplier
 -- view fx_article
 SELECT CAST(p_partkey AS VARCHAR) AS article_id, p_name AS article_name, p_brand AS online_brand, p_type AS department, p_brand AS category,
-  p_name AS sub_category, upper(p_name) AS segment, CAST(p_partkey % 40 AS VARCHAR) AS price_family_id, p_size AS article_size FROM part
+  p_name AS sub_category, upper(p_name) AS segment, CAST(p_partkey % 40 AS VARCHAR) AS price_family_id, 'Family ' || CAST(p_partkey % 40 AS VARCHAR) AS price_family_name,
+  CASE WHEN p_partkey % 9 <> 0 THEN 'Manager ' || CAST(p_partkey % 6 AS VARCHAR) END AS category_manager, CASE WHEN p_partkey % 7 <> 0 THEN 'V' || CAST(p_partkey % 7 AS VARCHAR) END AS vendor_description,
+  CASE WHEN p_partkey % 4 = 0 THEN 'Y' ELSE 'N' END AS own_brand, p_partkey % 23 <> 0 AS is_current, p_size AS article_size FROM part
 -- view fx_uom
-SELECT CAST(p_partkey AS VARCHAR) AS article_id, 'EA' AS unit_of_measure, 1 AS pack_size FROM part
-UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'CT', p_size FROM part WHERE p_size >= 20
+SELECT CAST(p_partkey AS VARCHAR) AS article_id, 'EA' AS unit_of_measure, 1 AS pack_size, TRUE AS is_current FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'CT', p_size, p_partkey % 29 <> 0 FROM part WHERE p_size >= 20
 -- view fx_article_vendor
 SELECT CAST(p_partkey AS VARCHAR) AS article_id, CAST(p_partkey % 7 AS VARCHAR) AS vendor_id,
   CASE WHEN p_partkey % 7 <> 0 THEN 'V' || CAST(p_partkey % 7 AS VARCHAR) END AS vendor_description, CASE WHEN p_partkey % 4 = 0 THEN 'Y' ELSE 'N' END AS own_brand FROM part WHERE p_size > 2
@@ -87,22 +90,23 @@ SELECT CAST(l_partkey AS VARCHAR) AS article_id, CAST(l_suppkey AS VARCHAR) AS v
 SELECT CAST(l_partkey AS VARCHAR) AS article_id, CAST(l_suppkey AS VARCHAR) AS site, CASE WHEN l_linenumber = 7 THEN 'CT' ELSE 'EA' END AS unit_of_measure,
   p_retailprice + CAST(l_suppkey % 3 AS DOUBLE) / 2 AS sell_price, CAST(l_shipdate AS DATE) AS valid_from, CAST(l_shipdate AS DATE) + 90 AS valid_to,
   CASE WHEN l_suppkey % 2 = 0 THEN 'ORG1' ELSE 'ORG2' END AS sales_org,
-  CASE WHEN l_tax < 0.02 THEN NULL ELSE l_extendedprice / l_quantity END AS purchase_cost, p_brand AS category
+  CASE WHEN l_tax < 0.02 THEN NULL ELSE l_extendedprice / l_quantity END AS purchase_cost, p_brand AS category, 'List ' || CAST(l_suppkey % 5 AS VARCHAR) AS price_list,
+  CASE WHEN l_linenumber < 6 THEN 'Ranged' WHEN l_linenumber = 6 THEN 'Deleted' END AS life_cycle_status, CAST(l_shipdate AS DATE) - 10 AS life_cycle_date
 FROM lineitem JOIN part ON l_partkey = p_partkey
 -- view fx_store_article
 SELECT l.article_id, l.store_id, p_brand AS category, d.financial_week_end_date, CASE WHEN l_linenumber = 7 THEN 'CT' ELSE 'EA' END AS unit_of_measure,
   p_retailprice + CAST(CAST(l.store_id AS INT) % 3 AS DOUBLE) / 2 AS shelf_price,
   CASE WHEN CAST(l.store_id AS INT) % 4 <> 0 THEN p_retailprice + CAST(CAST(l.store_id AS INT) % 3 AS DOUBLE) / 2 + 1 END AS standard_price, p_retailprice AS retail_price,
   l_returnflag = 'A' AS is_clearance, l_linenumber = 2 AS is_multibuy, l_linestatus = 'O' AS is_great_price, is_online_order_completed AS is_ranged,
-  l_linenumber = 1 AS is_new, gst_included_amount AS weekly_sales
+  l_linenumber = 1 AS is_new, CASE WHEN CAST(l.store_id AS INT) % 11 <> 0 THEN CAST(l.store_id AS INT) % 12 <> 0 END AS is_store_active, gst_included_amount AS weekly_sales
 FROM fx_line l JOIN part ON l.article_id = CAST(p_partkey AS VARCHAR) JOIN fx_dim_date d ON d.date = l.receipt_date
 -- view fx_purchase
-SELECT CAST(l_partkey AS VARCHAR) AS article_id, CAST(l_suppkey AS VARCHAR) AS store_id, CAST(l_suppkey % 4 AS VARCHAR) AS sourcing_dc, CAST(l_shipdate AS DATE) AS invoice_date,
+SELECT CAST(l_partkey AS VARCHAR) AS article_id, CAST(l_suppkey AS VARCHAR) AS store_id, CAST(l_suppkey % 4 AS VARCHAR) AS sourcing_dc, 'Centre ' || CAST(l_suppkey % 4 AS VARCHAR) AS sourcing_dc_name, CAST(l_shipdate AS DATE) AS invoice_date,
   l_extendedprice AS cost_charge, l_extendedprice * (1 - l_discount) AS base_cost, l_quantity AS multiple_despatched, l_linenumber AS order_multiple FROM lineitem
 -- view fx_profit
 SELECT l.article_id, p_type AS department, p_brand AS segment, receipt_date AS calendar_day, CASE WHEN CAST(l.store_id AS INT) % 2 = 0 THEN 'ORG1' ELSE 'ORG2' END AS sales_org,
   'Range ' || CAST(p_size // 10 AS VARCHAR) AS category, split_part(p_name, ' ', -1) AS sub_category,
-  gst_included_amount * 0.25 AS trading_gp, quantity * 0.125 AS dumps, quantity * 0.5 AS stock_loss, gst_included_amount * 0.0625 AS markdowns, gst_included_amount * 0.6875 AS cogs,
+  gst_included_amount * 0.25 AS trading_gp, quantity * 0.125 AS dumps, quantity * 0.5 AS stock_loss, gst_included_amount * 0.06 AS markdowns, gst_included_amount * 0.69 AS cogs,
   gst_included_amount AS sales, gst_included_amount * 0.3 AS interim_gp, gst_included_amount * 0.01 AS manual_claims, quantity
 FROM fx_line l JOIN part ON l.article_id = CAST(p_partkey AS VARCHAR) WHERE l_returnflag <> 'R'
 -- view fx_market
@@ -131,7 +135,7 @@ FROM events WHERE event_type IN ('click', 'purchase')
 -- view fx_job
 SELECT ts AS start_time, CAST(user_id AS VARCHAR) AS user_email, event_type AS statement_type, value AS total_slot_ms, 'table_' || CAST(event_id % 9 AS VARCHAR) AS table_id FROM events
 -- view fx_pos
-SELECT l.article_id, l.store_id, l.receipt_id, p_brand AS category, l.receipt_date, d.financial_week_end_date, l.is_online_order,
+SELECT l.article_id, l.store_id, l.receipt_id, p_brand AS category, l.receipt_date, strftime(TIMESTAMP '1970-01-01' + to_seconds(CAST(l.receipt_id AS BIGINT) * 7919 % 86400), '%H:%M:%S') AS receipt_time, d.financial_week_end_date, l.is_online_order,
   CASE WHEN l_linenumber = 7 THEN 'CT' ELSE 'EA' END AS unit_of_measure, CASE WHEN l_linenumber = 6 THEN 'R1' ELSE '' END AS return_reason_id, l.unit_price_paid,
   p_retailprice AS retail_price, l.gst_included_amount * 0.1 AS total_discount, l.gst_included_amount / 1.15 AS gst_excluded_amount, l.quantity
 FROM fx_line l JOIN part ON l.article_id = CAST(p_partkey AS VARCHAR) JOIN fx_dim_date d ON d.date = l.receipt_date

@@ -1,6 +1,9 @@
 import datetime as dt
 
+import pytest
+
 from tillweave.operators import audiences, membership, partners
+from tillweave.queries import STRATEGY_LABELS
 
 D = dt.date
 TXN = (
@@ -59,12 +62,16 @@ def test_ladder_first_match_and_missing_figures(spark):
     risk = spark.createDataFrame([("e", "Risk")], "scv_id string, cohort string")
     sales = spark.createDataFrame([("d", 50.0)], "scv_id string, non_fuel_sales double")
     ids = lambda *v: spark.createDataFrame([(x,) for x in v], "scv_id string")
-    rows = audiences.segmentation_strategy(breadth, recency, points, customers, risk, sales, ids("a"), ids("b"), as_of=D(2025, 5, 1)).collect()
+    rows = audiences.segmentation_strategy(breadth, recency, points, customers, risk, sales, ids("a"), ids("b"), as_of=D(2025, 5, 1), labels=STRATEGY_LABELS).collect()
     got = {r.scv_id: (r.segment, r.treatment, r.contactability, r.unsubscribed) for r in rows}
     assert got["a"] == ("Lapsed partner customer - loyal", "Re-engage", "Contactable", 0)
     assert got["b"] == ("Already engaged", "Protect", "Non contactable", 1)
     assert got["c"][:2] == ("Already engaged", "Protect")  # many partners, though none is the named one
     assert got["d"][:2] == ("Non partner customer - mid volume", "Win")
+    with pytest.raises(ValueError, match="engaged"):
+        audiences.segmentation_strategy(
+            breadth, recency, points, customers, risk, sales, ids("a"), ids("b"), as_of=D(2025, 5, 1), labels={k: v for k, v in STRATEGY_LABELS.items() if k != "engaged"}
+        )
     assert got["e"][:2] == ("Infrequent partner customer - at risk", "Grow")  # no partner rows: "lapsed" is not met
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,8 +66,8 @@ class Thresholds:
     mid_transactions: float = 1
 
 
-def _ladder(as_of: dt.date, t: Thresholds) -> list[tuple[Column, str, str]]:
-    """(condition, segment, treatment), first match wins."""
+def _ladder(as_of: dt.date, t: Thresholds) -> dict[str, Column]:
+    """Name and condition of the rules, first match wins."""
     partner = F.col("partner_customer") == 1
     stranger = F.col("partner_customer") != 1
     strategy = F.col("strategy_segment")
@@ -83,29 +83,21 @@ def _ladder(as_of: dt.date, t: Thresholds) -> list[tuple[Column, str, str]]:
         & (F.col("partner_transactions") >= t.engaged_min_transactions)
     )
     at_risk = F.col("cohort") == "Risk"
-    return [
-        (lapsed & (strategy == "PROTECT"), "Lapsed partner customer - loyal", "Re-engage"),
-        (lapsed & (strategy == "GROW"), "Lapsed partner customer - cross-shopper", "Re-engage"),
-        (stranger & (strategy == "PROTECT"), "Non partner customer - loyal", "Win"),
-        (stranger & (strategy == "GROW"), "Non partner customer - cross-shopper", "Win"),
-        (stranger & (all_spend >= t.high_sales), "Non partner customer - high volume", "Win"),
+    return {
+        "lapsed_protect": lapsed & (strategy == "PROTECT"),
+        "lapsed_grow": lapsed & (strategy == "GROW"),
+        "stranger_protect": stranger & (strategy == "PROTECT"),
+        "stranger_grow": stranger & (strategy == "GROW"),
+        "stranger_high": stranger & (all_spend >= t.high_sales),
         # no partner test here: also customers of many other partners count as engaged
-        (
-            engaged | (F.col("different_partners") >= t.many_partners) | (visits >= t.frequent_visits) | (spend >= t.frequent_sales),
-            "Already engaged",
-            "Protect",
-        ),
-        (at_risk & partner, "Infrequent partner customer - at risk", "Grow"),
-        (at_risk & stranger, "Non partner customer - at risk", "Re-engage"),
-        ((visits >= t.infrequent_visits) | (spend >= t.infrequent_sales), "Infrequent partner customer - mid volume", "Grow"),
-        (
-            stranger & ((all_visits >= t.mid_transactions) | (all_spend > t.mid_sales)),
-            "Non partner customer - mid volume",
-            "Win",
-        ),
-        (partner, "Infrequent partner customer - low engagement", "Grow"),
-        (stranger, "Non partner customer - low engagement", "Win"),
-    ]
+        "engaged": engaged | (F.col("different_partners") >= t.many_partners) | (visits >= t.frequent_visits) | (spend >= t.frequent_sales),
+        "risk_partner": at_risk & partner,
+        "risk_stranger": at_risk & stranger,
+        "partner_mid": (visits >= t.infrequent_visits) | (spend >= t.infrequent_sales),
+        "stranger_mid": stranger & ((all_visits >= t.mid_transactions) | (all_spend > t.mid_sales)),
+        "partner_low": partner,
+        "stranger_low": stranger,
+    }
 
 
 def segmentation_strategy(
@@ -120,13 +112,21 @@ def segmentation_strategy(
     *,
     as_of: dt.date,
     thresholds: Thresholds = Thresholds(),
+    labels: Mapping[str, tuple[str, str]] | None = None,
+    others: str = "Others",
+    statuses: tuple[str, str] = ("Partner customer", "Non partner customer"),
     run_at: Column | None = None,
 ) -> DataFrame:
     """Segment and treatment of every partner-programme customer by a first-match ladder, with contact flags.
 
-    Segment and treatment come from one list of rules, so they cannot drift apart. A comparison with a missing figure is
-    not met and falls through to the next rule. ``run_at`` adds the time of the run, e.g. ``local_timestamp(now, zone)``.
+    ``labels`` gives each rule's (segment, treatment), so the two cannot drift apart; by default both are the rule's name. A
+    comparison with a missing figure is not met and falls through to the next rule; who meets none is one of the ``others``.
+    ``run_at`` adds the time of the run (``functions.clock.RunClock.stamp``).
     """
+    rules = _ladder(as_of, thresholds)
+    unknown = set(labels or ()) ^ set(rules) if labels is not None else ()
+    if unknown:
+        raise ValueError(f"labels and rules differ in {sorted(unknown)[0]}")
     features = (
         breadth.join(
             recency.select(
@@ -147,15 +147,15 @@ def segmentation_strategy(
         .join(contactable.select("scv_id", F.lit(True).alias("contactable")), "scv_id", "left")
         .join(unsubscribed.select("scv_id", F.lit(1).alias("unsubscribed")), "scv_id", "left")
     )
-    rules = _ladder(as_of, thresholds)
-    matched = F.coalesce(*[F.when(condition, F.lit(i)) for i, (condition, _, _) in enumerate(rules)])
-    segments = F.array(*[F.lit(segment) for _, segment, _ in rules])
-    treatments = F.array(*[F.lit(treatment) for _, _, treatment in rules])
+    matched = F.coalesce(*[F.when(condition, F.lit(i)) for i, condition in enumerate(rules.values())])
+    named = [(labels or {}).get(rule, (rule, rule)) for rule in rules]
+    segments = F.array(*[F.lit(segment) for segment, _ in named])
+    treatments = F.array(*[F.lit(treatment) for _, treatment in named])
     return features.withColumn("rule", matched).select(
         "scv_id",
-        F.when(F.col("partner_customer") == 1, "Partner customer").otherwise("Non partner customer").alias("partner_status"),
-        F.coalesce(F.get(segments, F.col("rule")), F.lit("Others")).alias("segment"),
-        F.coalesce(F.get(treatments, F.col("rule")), F.lit("Others")).alias("treatment"),
+        F.when(F.col("partner_customer") == 1, statuses[0]).otherwise(statuses[1]).alias("partner_status"),
+        F.coalesce(F.get(segments, F.col("rule")), F.lit(others)).alias("segment"),
+        F.coalesce(F.get(treatments, F.col("rule")), F.lit(others)).alias("treatment"),
         F.when(F.col("contactable"), "Contactable").otherwise("Non contactable").alias("contactability"),
         F.coalesce("unsubscribed", F.lit(0)).alias("unsubscribed"),
         *([] if run_at is None else [run_at.alias("model_run_at")]),

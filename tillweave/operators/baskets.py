@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from tillweave.functions.values import is_present, is_true, ratio
 from tillweave.operators.campaigns import lines_of_articles, within_dates
 from tillweave.operators.performance import POINT_VALUE
+from tillweave.sources.staging import stage
 
 
 def basket_kpis(headers: DataFrame, calendar: DataFrame, rewards: DataFrame, offer_articles: DataFrame) -> DataFrame:
     """Per offer, period and redeemer flag: customers, baskets per week, average basket value and quantity.
 
     Every basket counts for every offer whose window covers its day. A basket is an online order or a store receipt; only
-    known customers take part. Distinct weeks are collected into a set, as a window has few; customers and baskets are counted
-    after a first reduction to one row per customer, basket and week.
+    known customers take part. Rows are reduced to one per customer, basket and week, and staged; customers, baskets and weeks
+    are then each counted by two plain aggregations, which multiply no rows.
     """
     days = calendar.filter(F.col("campaign_period").isNotNull()).select(
         F.col("date").alias("receipt_date"), "offer_id", "campaign_period", "pel_week"
@@ -35,19 +36,24 @@ def basket_kpis(headers: DataFrame, calendar: DataFrame, rewards: DataFrame, off
         .agg(F.sum("gst_included_amount").alias("amount"), F.sum("quantity").alias("quantity"))
     )
     cell = ["offer_id", "campaign_period", "redeemer_group"]
-    customer_baskets = (
+    customer_baskets = stage(
         baskets.join(days, "receipt_date")
         .join(redeemers, ["offer_id", "scv_id"], "left")
         .withColumn("redeemer_group", F.coalesce("redeemer", F.lit("Non Redeemer")))
         .groupBy(*cell, "scv_id", "basket_id", "pel_week")
-        .agg(F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity"))
+        .agg(F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity")),
+        "customer-baskets",
     )
-    per_cell = customer_baskets.groupBy(*cell).agg(
-        F.countDistinct("scv_id").alias("unique_customers"),
-        F.countDistinct("basket_id").alias("baskets"),
-        F.size(F.collect_set("pel_week")).alias("weeks"),
-        F.sum("amount").alias("amount"),
-        F.sum("quantity").alias("quantity"),
+
+    def counted(of: str, name: str) -> DataFrame:
+        return customer_baskets.groupBy(*cell, of).agg(F.count(F.lit(1))).groupBy(*cell).agg(F.count(of).alias(name))
+
+    per_cell = (
+        customer_baskets.groupBy(*cell)
+        .agg(F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity"))
+        .join(counted("scv_id", "unique_customers"), cell)
+        .join(counted("basket_id", "baskets"), cell)
+        .join(counted("pel_week", "weeks"), cell)
     )
     baskets_counted = F.col("baskets")
     return per_cell.select(

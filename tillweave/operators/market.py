@@ -16,35 +16,58 @@ def _weeks_back(as_of: dt.date, weeks: int) -> tuple[Column, Column]:
     return add_weeks(F.lit(as_of), -weeks), add_weeks(F.lit(as_of), -1)
 
 
-def in_scope(departments: Sequence[str], segments: Sequence[str]) -> Column:
-    """Rows of the listed departments, or of the listed segments of any department."""
-    return F.upper("department").isin([d.upper() for d in departments]) | F.upper("segment").isin([x.upper() for x in segments])
+#: Levels of the product hierarchy, from the top down.
+LEVELS = ("department", "category", "sub_category", "segment")
+#: The measures of the own ledger; the margin net of manual claims is computed besides.
+LEDGER = ("sales", "interim_gp", "trading_gp", "dumps", "stock_loss", "markdowns", "manual_claims", "cogs")
+
+
+def in_scope(departments: Sequence[str], segments: Sequence[str], level: str = "segment") -> Column:
+    """Rows of the listed departments, or of the listed segments (or another ``level``'s nodes) of any department."""
+    return F.upper("department").isin([d.upper() for d in departments]) | F.upper(level).isin([x.upper() for x in segments])
+
+
+def _ledger_rows(profit: DataFrame, as_of: dt.date, weeks: int, sales_org: str, excluded: str | None) -> DataFrame:
+    """Ledger rows of an organisation within the horizon, but for the ``excluded`` ones; unknown whether excluded is excluded."""
+    first, last = _weeks_back(as_of, weeks)
+    week = monday_week_start(F.col("calendar_day"))
+    # the plain day range lets the scan skip data; the week test decides
+    rows = profit.filter(F.col("calendar_day").between(first, F.date_add(last, 6)) & week.between(first, last) & (F.col("sales_org") == sales_org))
+    return rows if excluded is None else rows.filter(~F.expr(excluded))
+
+
+def _ledger_sums(measures: Sequence[str]) -> list[Column]:
+    return [*[F.sum(m).alias(m) for m in measures], F.sum(F.col("interim_gp") - F.col("manual_claims")).alias("interim_gp_net")]
 
 
 def weekly_own_profit(
-    profit: DataFrame, *, as_of: dt.date, departments: Sequence[str], segments: Sequence[str] = (), sales_org: str, weeks: int = 104
+    profit: DataFrame,
+    *,
+    as_of: dt.date,
+    departments: Sequence[str],
+    segments: Sequence[str] = (),
+    sales_org: str,
+    weeks: int = 104,
+    levels: Sequence[str] = ("department", "segment"),
+    measures: Sequence[str] = ("sales", "interim_gp", "manual_claims", "quantity"),
+    scope_level: str = "segment",
+    excluded: str | None = None,
 ) -> DataFrame:
-    """Own sales and margin by article and Monday week for the departments or segments in scope."""
-    first, last = _weeks_back(as_of, weeks)
+    """Own sales and margin by article and Monday week for the departments or segments in scope.
+
+    The article's ``levels`` stand beside it. ``measures`` are summed, as is the margin net of manual claims. ``excluded`` rows
+    are left out, e.g. ``"category = 'X'"``; rows without a category then are, too.
+    """
     week = monday_week_start(F.col("calendar_day"))
-    return (
-        # the plain day range lets the scan skip data; the week test decides
-        profit.filter(F.col("calendar_day").between(first, F.date_add(last, 6)) & week.between(first, last))
-        .filter(in_scope(departments, segments) & (F.col("sales_org") == sales_org))
-        .groupBy("article_id", "department", "segment", week.alias("week_start"))
-        .agg(
-            F.sum("sales").alias("sales"),
-            F.sum("interim_gp").alias("interim_gp"),
-            F.sum("manual_claims").alias("manual_claims"),
-            F.sum(F.col("interim_gp") - F.col("manual_claims")).alias("interim_gp_net"),
-            F.sum("quantity").alias("quantity"),
-        )
-    )
+    rows = _ledger_rows(profit, as_of, weeks, sales_org, excluded).filter(in_scope(departments, segments, scope_level))
+    return rows.groupBy("article_id", *levels, week.alias("week_start")).agg(*_ledger_sums(measures))
 
 
-def _market_rows(market: DataFrame, as_of: dt.date, weeks: int, departments: Sequence[str], segments: Sequence[str]) -> DataFrame:
+def _market_rows(
+    market: DataFrame, as_of: dt.date, weeks: int, departments: Sequence[str], segments: Sequence[str], scope_level: str
+) -> DataFrame:
     dated = market.withColumn("week_start", F.col("week_start").cast("date"))
-    return dated.filter(F.col("week_start").between(*_weeks_back(as_of, weeks)) & in_scope(departments, segments))
+    return dated.filter(F.col("week_start").between(*_weeks_back(as_of, weeks)) & in_scope(departments, segments, scope_level))
 
 
 def market_by_segment(
@@ -55,9 +78,11 @@ def market_by_segment(
     departments: Sequence[str],
     segments: Sequence[str] = (),
     weeks: int = 104,
+    levels: Sequence[str] = ("segment", "department"),
+    scope_level: str = "segment",
 ) -> DataFrame:
     """Market sales and units per product and week, one pair of columns per market (``markets``: name -> column prefix)."""
-    rows = _market_rows(market, as_of, weeks, departments, segments).filter(F.col("market").isin(list(markets)))
+    rows = _market_rows(market, as_of, weeks, departments, segments, scope_level).filter(F.col("market").isin(list(markets)))
 
     def measure(name: str, column: str) -> Column:
         return F.sum(F.when(F.col("market") == name, F.col(column)).otherwise(0.0))
@@ -65,17 +90,17 @@ def market_by_segment(
     columns = []
     for name, prefix in markets.items():
         columns += [measure(name, "value_excl_tax").alias(f"{prefix}_sales"), measure(name, "units").alias(f"{prefix}_units")]
-    return rows.groupBy("week_start", "product_ref", "segment", "department", "product_description").agg(*columns)
+    return rows.groupBy("week_start", "product_ref", *levels, "product_description").agg(*columns)
 
 
 def canonical_description(
-    market: DataFrame, *, as_of: dt.date, departments: Sequence[str], segments: Sequence[str] = (), weeks: int = 105
+    market: DataFrame, *, as_of: dt.date, departments: Sequence[str], segments: Sequence[str] = (), weeks: int = 105, scope_level: str = "segment"
 ) -> DataFrame:
     """Best-selling description of each product id; descriptions without an id stand for themselves.
 
     Equal sales (to the cent) go to the first description in text order.
     """
-    rows = _market_rows(market, as_of, weeks, departments, segments)
+    rows = _market_rows(market, as_of, weeks, departments, segments, scope_level)
     described = rows.groupBy("product_ref", "product_description").agg(F.round(F.sum("value_excl_tax"), 2).alias("value"))
     best = F.min_by("product_description", F.struct(-F.col("value"), F.col("product_description")))
     with_id = described.filter(F.col("product_ref").isNotNull()).groupBy("product_ref").agg(best.alias("description"))
@@ -92,8 +117,8 @@ def two_way_match(market: DataFrame, canonical: DataFrame) -> DataFrame:
     by_id = market.drop("product_description").join(canonical.filter(F.col("product_ref").isNotNull()), "product_ref")
     nameless = canonical.filter(F.col("product_ref").isNull()).select(F.col("description").alias("product_description"))
     by_text = market.join(nameless, "product_description", "left_semi").withColumnRenamed("product_description", "description")
-    keys = ["week_start", "product_ref", "segment", "department", "description"]
     measures = [c for c in market.columns if c.endswith(("_sales", "_units"))]
+    keys = [*[c for c in market.columns if c not in measures and c != "product_description"], "description"]
     return by_id.unionByName(by_text).groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
 
 
@@ -116,22 +141,21 @@ def report_calendar(dim_date: DataFrame, *, as_of: dt.date, weeks: int = 104) ->
 
 
 def own_vs_market(
-    own: DataFrame, market: DataFrame, calendar: DataFrame, products: DataFrame, *, attributes: Sequence[str] = ("price_family_id",)
+    own: DataFrame,
+    market: DataFrame,
+    calendar: DataFrame,
+    products: DataFrame,
+    *,
+    attributes: Sequence[str] = ("price_family_id",),
+    levels: Sequence[str] = ("department", "segment"),
 ) -> DataFrame:
     """Own and market rows of the same article and week side by side, with calendar and product attributes.
 
     Market rows without a product id can match nothing; they are set aside, so that they do not gather in one partition of
     the join.
     """
-    own_side = own.select(
-        "article_id", F.col("week_start").alias("own_week"), F.col("department").alias("own_department"), F.col("segment").alias("own_segment"),
-        *[c for c in own.columns if c not in ("article_id", "week_start", "department", "segment")],
-    )
-    market_side = market.select(
-        "product_ref", F.col("week_start").alias("market_week"), F.col("department").alias("market_department"),
-        F.col("segment").alias("market_segment"),
-        *[c for c in market.columns if c not in ("product_ref", "week_start", "department", "segment")],
-    )
+    own_side = own.withColumnsRenamed({"week_start": "own_week", **{level: f"own_{level}" for level in levels}})
+    market_side = market.withColumnsRenamed({"week_start": "market_week", **{level: f"market_{level}" for level in levels}})
     with_id = market_side.filter(F.col("product_ref").isNotNull())
     same = (F.col("article_id") == F.col("product_ref")) & (F.col("own_week") == F.col("market_week"))
     joined = own_side.join(with_id, same, "full")
@@ -148,33 +172,28 @@ def own_vs_market(
 
 def own_hierarchy(
     profit: DataFrame, calendar: DataFrame, *, as_of: dt.date, sales_org: str, levels: Sequence[str], weeks: int = 104,
-    excluded_prefix: str | None = None,
+    excluded_prefix: str | None = None, measures: Sequence[str] = ("sales", "interim_gp"), excluded: str | None = None,
 ) -> DataFrame:
     """Own ledger rolled up to the upper-cased hierarchy and week; days outside the calendar have no week.
 
-    Articles whose id starts with ``excluded_prefix`` (default: none) are left out.
+    Articles whose id starts with ``excluded_prefix`` (default: none) are left out, as are ``excluded`` rows.
     """
-    first, last = _weeks_back(as_of, weeks)
-    week = monday_week_start(F.col("calendar_day"))
-    rows = profit.filter(F.col("calendar_day").between(first, F.date_add(last, 6)) & week.between(first, last)).filter(
-        (F.col("sales_org") == sales_org)
-        & (F.lit(True) if excluded_prefix is None else ~F.startswith("article_id", F.lit(excluded_prefix)))
-    )
+    rows = _ledger_rows(profit, as_of, weeks, sales_org, excluded)
+    if excluded_prefix is not None:
+        rows = rows.filter(~F.startswith("article_id", F.lit(excluded_prefix)))
     keys = [F.upper(level).alias(f"{level}_combined") for level in levels]
     days = calendar.select(F.col("date").alias("calendar_day"), "week_end_date", "pel_week", "latest_week_order")
-    daily = rows.groupBy("calendar_day", *keys).agg(
-        *[F.sum(m).alias(m) for m in ("sales", "interim_gp", "manual_claims")],
-        F.sum(F.col("interim_gp") - F.col("manual_claims")).alias("interim_gp_net"),
-    )
+    daily = rows.groupBy("calendar_day", *keys).agg(*_ledger_sums(measures))
     return (
         daily.join(days, "calendar_day", "left")
         .groupBy(*[f"{level}_combined" for level in levels], "week_end_date", "pel_week", "latest_week_order")
-        .agg(*[F.sum(m).alias(m) for m in ("sales", "interim_gp", "interim_gp_net")])
+        .agg(*[F.sum(m).alias(m) for m in (*measures, "interim_gp_net")])
     )
 
 
 def market_share_report(
-    combined: DataFrame, hierarchy: DataFrame, *, levels: Sequence[str], markets: Sequence[str], as_of: dt.date
+    combined: DataFrame, hierarchy: DataFrame, *, levels: Sequence[str], markets: Sequence[str], as_of: dt.date,
+    measures: Sequence[str] = ("sales", "interim_gp"),
 ) -> DataFrame:
     """Market figures of the combined relation against the own hierarchy, per week and hierarchy node.
 
@@ -194,8 +213,7 @@ def market_share_report(
         F.coalesce("pel_week", "own_pel_week").alias("pel_week"),
         *keys,
         F.coalesce("latest_week_order", "own_week_order").alias("latest_week_order"),
-        "sales",
-        "interim_gp",
+        *measures,
         "interim_gp_net",
         *[f"{m}_sales" for m in markets],
         "own_units",

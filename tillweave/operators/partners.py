@@ -45,17 +45,16 @@ def partner_points(fuel: DataFrame, non_fuel: DataFrame) -> DataFrame:
 
 
 def partner_points_summary(points: DataFrame, *, partner_id: str) -> DataFrame:
-    """Per customer: how long and how often points were earned, how many and how many of them as a bonus, everywhere and at one
-    partner (NULL without dealings with it)."""
+    """Per customer: since when, until when and how often points were earned, and how many, everywhere and at one partner (NULL
+    without dealings with it). ``points`` are base points and bonus points together."""
+    kinds = {"base_points": F.col("base_points"), "bonus_points": F.col("bonus_points"), "points": F.col("base_points") + F.col("bonus_points")}
     one = F.col("partner_id") == partner_id
     return points.groupBy("scv_id").agg(
         F.min("first_date").alias("member_since"),
         F.max("last_date").alias("last_earned"),
         F.sum("transactions").alias("transactions"),
-        F.sum(F.col("base_points") + F.col("bonus_points")).alias("points"),
-        F.sum("bonus_points").alias("bonus_part"),
-        sum_if(one, F.col("base_points") + F.col("bonus_points")).alias("points_at_partner"),
-        sum_if(one, F.col("bonus_points")).alias("bonus_part_at_partner"),
+        *[F.sum(earned).alias(name) for name, earned in kinds.items()],
+        *[sum_if(one, earned).alias(f"{name}_at_partner") for name, earned in kinds.items()],
     )
 
 

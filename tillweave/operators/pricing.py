@@ -13,9 +13,18 @@ from tillweave.functions.values import is_false, is_true
 from tillweave.operators.frequent import merged_summaries, most_frequent, value_summaries
 
 
-def article_units(uoms: DataFrame) -> DataFrame:
-    """One row per article and unit of measure from the nested unit list; articles without units drop out."""
-    return uoms.select("article_id", F.inline("uom")).select("article_id", "unit_of_measure", "pack_size")
+def article_units(uoms: DataFrame, *, current: str | None = None) -> DataFrame:
+    """One row per article and unit of measure from the nested unit list; articles without units drop out.
+
+    With ``current``, the name of a flag of the list's entries, only entries that have it count.
+    """
+    units = uoms.select("article_id", F.inline("uom"))
+    return _current(units, current).select("article_id", "unit_of_measure", "pack_size")
+
+
+def _current(rows: DataFrame, flag: str | None) -> DataFrame:
+    """Rows whose ``flag`` is true; all without a flag."""
+    return rows if flag is None else rows.filter(is_true(F.col(flag)))
 
 
 def _named(name: Column, contains: Sequence[str], prefixes: Sequence[str]) -> Column:
@@ -35,10 +44,12 @@ def current_price_list(
     banner_contains: Sequence[str] = (),
     banner_prefixes: Sequence[str] = (),
     excluded_word: str = "Test",
+    attributes: Sequence[str] = (),
 ) -> DataFrame:
     """Price with the latest validity per organisation, site and article, for stores of the named banners.
 
-    Equal validity ends go to the later start, then the higher price, then the unit in text order.
+    Equal validity ends go to the later start, then the higher price, then the unit in text order, then the ``attributes``
+    (further columns of the price, e.g. its list and life-cycle status), highest first.
     """
     name = F.col("store_name")
     banner = stores.filter(_named(name, banner_contains, banner_prefixes) & ~F.contains(name, F.lit(excluded_word)))
@@ -48,12 +59,12 @@ def current_price_list(
         & F.col("valid_from").isNotNull()
         & F.col("sales_org").isin(list(orgs))
     )
-    latest = F.max(F.struct("valid_to", "valid_from", "sell_price", "unit_of_measure")).alias("price")
+    latest = F.max(F.struct("valid_to", "valid_from", "sell_price", "unit_of_measure", *attributes)).alias("price")
     return (
         usable.join(banner.select(F.col("store_id").alias("site")).distinct(), "site", "left_semi")
         .groupBy("sales_org", "site", "article_id")
         .agg(latest)
-        .select("sales_org", "site", "article_id", "price.unit_of_measure", F.col("price.sell_price").alias("rrp"), "price.valid_from", "price.valid_to")
+        .select("sales_org", "site", "article_id", "price.unit_of_measure", F.col("price.sell_price").alias("rrp"), "price.valid_from", "price.valid_to", *[f"price.{a}" for a in attributes])
     )
 
 
@@ -71,9 +82,12 @@ def modal_shelf_price(
     flags: Sequence[str] = ("is_clearance", "is_multibuy", "is_great_price"),
     excluded_categories: Sequence[str] = (),
     districts: Sequence[str] | None = None,
+    active: str | None = None,
 ) -> DataFrame:
     """Most frequent price per article in the reporting week, over ordinary stores, by selling unit and promotion flags.
 
+    With ``active``, the name of a flag, only rows of stores that are active then count.
+
     Frequencies are exact; equal ones go to the higher price (a missing one comes last), then to the first unit and the first flags.
     ``price`` defaults to the shelf price.
     """
@@ -81,7 +95,7 @@ def modal_shelf_price(
     chosen = _ordinary_stores(stores)
     if districts is not None:
         chosen = chosen.filter(F.col("district_id").isin(list(districts)))
-    rows = store_articles.filter(
+    rows = _current(store_articles, active).filter(
         (is_true(F.col("is_new")) | is_true(F.col("is_ranged")))
         & (F.col("financial_week_end_date") == reporting_week_end(F.lit(as_of)))
         & ~F.col("category").isin(list(excluded_categories))
@@ -99,13 +113,19 @@ def modal_shelf_price(
 
 
 def weekly_price_summaries(
-    store_articles: DataFrame, stores: DataFrame, *, price: str = "shelf_price", items: int = 256, excluded_categories: Sequence[str] = ()
+    store_articles: DataFrame,
+    stores: DataFrame,
+    *,
+    price: str = "shelf_price",
+    items: int = 256,
+    excluded_categories: Sequence[str] = (),
+    active: str | None = None,
 ) -> DataFrame:
     """Summary of the prices of each article, unit and reporting week over ordinary stores (see ``operators.frequent``).
 
     One row per article, unit and week, whatever the number of stores: what a job would store each week, to be merged later.
     """
-    rows = store_articles.filter(
+    rows = _current(store_articles, active).filter(
         (is_true(F.col("is_new")) | is_true(F.col("is_ranged"))) & ~F.col("category").isin(list(excluded_categories))
     ).join(_ordinary_stores(stores).select("store_id").distinct(), "store_id", "left_semi")
     return value_summaries(rows, ["article_id", "unit_of_measure", "financial_week_end_date"], price, items=items)
@@ -134,25 +154,27 @@ def recommended_price(
     excluded_categories: Sequence[str] = (),
     excluded_stores: Sequence[str] = (),
     closed_mark: str | None = None,
+    current: str | None = None,
 ) -> DataFrame:
     """Price with the latest start per article and unit; equal starts go to the price most stores have, then the higher.
 
     Ordinary, physical stores of the given districts count; those whose name holds ``closed_mark`` (default: none) do not.
+    ``current`` names the flag that marks the current version of a store, an article and a unit (default: all rows count).
     """
-    chosen = _ordinary_stores(stores).filter(
+    chosen = _ordinary_stores(_current(stores, current)).filter(
         is_false(F.col("is_online_store"))
         & ~F.col("store_id").isin(list(excluded_stores))
         & F.col("district_id").isin(list(districts))
         & (F.lit(True) if closed_mark is None else ~F.contains("store_name", F.lit(closed_mark)))
     )
-    kept_articles = articles.filter(~F.col("category").isin(list(excluded_categories))).select("article_id").distinct()
+    kept_articles = _current(articles, current).filter(~F.col("category").isin(list(excluded_categories))).select("article_id").distinct()
     counted = (
         prices.filter(F.col("sales_org") == sales_org)
         .join(chosen.select(F.col("store_id").alias("site")).distinct(), "site", "left_semi")
         .groupBy("article_id", "unit_of_measure", "sell_price", "valid_from")
         .agg(F.count("sell_price").alias("stores"))
         .join(kept_articles, "article_id", "left_semi")
-        .join(article_units(uoms), ["article_id", "unit_of_measure"])
+        .join(article_units(uoms, current=current), ["article_id", "unit_of_measure"])
     )
     best = F.max(F.struct("valid_from", "stores", "sell_price", "pack_size")).alias("best")
     return (
@@ -162,8 +184,11 @@ def recommended_price(
     )
 
 
-def latest_wholesale_cost(purchases: DataFrame, dim_date: DataFrame, uoms: DataFrame, *, tax: float = 1.15) -> DataFrame:
-    """Unit cost and price of each article's latest invoice (then lowest charge), with tax, rounded to cents.
+def latest_wholesale_cost(
+    purchases: DataFrame, dim_date: DataFrame, uoms: DataFrame, *, tax: float = 1.15, attributes: Sequence[str] = ("sourcing_dc",)
+) -> DataFrame:
+    """Unit cost and price of each article's latest invoice (then lowest charge), with tax, rounded to cents, and the invoice's
+    ``attributes``.
 
     The unit of measure is the article's first in text order, as the invoice does not name one.
     """
@@ -178,28 +203,31 @@ def latest_wholesale_cost(purchases: DataFrame, dim_date: DataFrame, uoms: DataF
         return F.round(F.round(F.col(column) * tax, 6), 2)
 
     invoices = purchases.filter(F.col("base_cost") != 0).select(
-        "article_id", "invoice_date", "cost_charge", "store_id", "sourcing_dc",
+        "article_id", "invoice_date", "cost_charge", "store_id", *attributes,
         per_unit("cost_charge").alias("cost_price"), per_unit("base_cost").alias("unit_price"),
     )
-    row = F.struct("invoice_date", "sourcing_dc", "cost_price", "unit_price")
-    order = F.struct(-F.unix_date("invoice_date"), "cost_charge", "store_id", "cost_price", "unit_price")
+    row = F.struct("invoice_date", *attributes, "cost_price", "unit_price")
+    order = F.struct(-F.unix_date("invoice_date"), "cost_charge", "store_id", "cost_price", "unit_price", *attributes)
     latest = invoices.groupBy("article_id").agg(F.min_by(row, order).alias("last")).select("article_id", "last.*")
     return (
         latest.join(units, "article_id")
         .join(weeks, "invoice_date", "left")
         .select(
-            "article_id", "unit_of_measure", "financial_week_end_date", "sourcing_dc",
+            "article_id", "unit_of_measure", "financial_week_end_date", *attributes,
             in_cents("cost_price").alias("wholesale_cost_price"),
             in_cents("unit_price").alias("wholesale_unit_price"),
         )
     )
 
 
-def latest_pos_price(lines: DataFrame, uoms: DataFrame, *, as_of: dt.date, excluded_categories: Sequence[str] = ()) -> DataFrame:
+def latest_pos_price(
+    lines: DataFrame, uoms: DataFrame, *, as_of: dt.date, excluded_categories: Sequence[str] = (), time: str | None = None
+) -> DataFrame:
     """Last store till row per article and store of the reporting week, with the week's totals.
 
     One week only is read, so totals "running by week" are plain totals. Returns and online orders are left out. Rows of
-    the same day go by receipt, unit and price.
+    the same day go by the column ``time`` (the time of day; default: none), then by receipt (longer numbers are higher), unit
+    and price.
     """
     rows = lines.filter(
         is_false(F.col("is_online_order"))
@@ -208,7 +236,10 @@ def latest_pos_price(lines: DataFrame, uoms: DataFrame, *, as_of: dt.date, exclu
         & ~F.col("category").isin(list(excluded_categories))
     )
     totals = ("total_discount", "gst_excluded_amount", "quantity")
-    last = F.struct("receipt_date", "receipt_id", "unit_of_measure", "unit_price_paid", "retail_price", "financial_week_end_date")
+    clock = () if time is None else (time,)
+    last = F.struct(
+        "receipt_date", *clock, F.length("receipt_id").alias("digits"), "receipt_id", "unit_of_measure", "unit_price_paid", "retail_price", "financial_week_end_date"
+    )
     by_unit = (
         rows.groupBy("article_id", "store_id", "unit_of_measure")
         .agg(F.max(last).alias("last"), *[F.sum(t).alias(t) for t in totals])
@@ -250,10 +281,14 @@ def price_comparison_report(
     *,
     excluded_categories: Sequence[str] = (),
     excluded_sub_categories: Sequence[str] = (),
+    article_attributes: Sequence[str] = ("article_name", "price_family_id", "department", "category", "sub_category", "segment"),
+    store_attributes: Sequence[str] = ("store_name",),
 ) -> DataFrame:
     """One row per site and article of the price list with every other price source beside it, and the hand-kept flags.
 
-    Articles unknown to the article master drop out, as do the excluded categories. All other sources are optional.
+    All columns of the price list and of the wholesale prices come along, and the named ones of articles and stores (the
+    article's price family must be one). Articles unknown to the article master drop out, as do the excluded categories. All
+    other sources are optional.
     """
     unit = ["article_id", "unit_of_measure"]
     shelf_columns = [c for c in shelf_prices.columns if c.startswith("is_")]
@@ -261,7 +296,7 @@ def price_comparison_report(
     promised = price_promises.select("article_id", "price_promise").distinct()
     master = articles.filter(
         ~F.col("category").isin(list(excluded_categories)) & ~F.col("sub_category").isin(list(excluded_sub_categories))
-    ).select("article_id", "article_name", "price_family_id", "department", "category", "sub_category", "segment")
+    ).select("article_id", *article_attributes)
     report = (
         price_list.withColumnRenamed("site", "store_id")
         .join(master, "article_id")
@@ -279,10 +314,10 @@ def price_comparison_report(
             "left",
         )
         .join(recommended.select(*unit, F.col("price").alias("recommended_price")), unit, "left")
-        .join(wholesale.select(*unit, "wholesale_cost_price", "wholesale_unit_price", "sourcing_dc"), unit, "left")
+        .join(wholesale.drop("financial_week_end_date"), unit, "left")
         .join(primary, "price_family_id", "left")
         .join(promised, "article_id", "left")
-        .join(stores.select("store_id", "store_name"), "store_id", "left")
+        .join(stores.select("store_id", *store_attributes), "store_id", "left")
     )
     return report.withColumns(
         {"primary_line": F.coalesce("primary_line", F.lit("N")), "price_promise": F.coalesce("price_promise", F.lit("N"))}

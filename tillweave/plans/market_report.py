@@ -12,11 +12,18 @@ from tillweave.sources.staging import stage
 
 
 def matched_market(
-    market: DataFrame, *, as_of: dt.date, markets: Mapping[str, str], departments: Sequence[str], segments: Sequence[str]
+    market: DataFrame,
+    *,
+    as_of: dt.date,
+    markets: Mapping[str, str],
+    departments: Sequence[str],
+    segments: Sequence[str],
+    levels: Sequence[str] = ("department", "segment"),
+    scope_level: str = "segment",
 ) -> DataFrame:
     """Market rows spread by market and matched to canonical descriptions; both inputs of the match are staged."""
-    scope = {"departments": departments, "segments": segments}
-    spread = stage(ops.market_by_segment(market, as_of=as_of, markets=markets, **scope), "market-spread")
+    scope = {"departments": departments, "segments": segments, "scope_level": scope_level}
+    spread = stage(ops.market_by_segment(market, as_of=as_of, markets=markets, levels=levels, **scope), "market-spread")
     canonical = stage(ops.canonical_description(market, as_of=as_of, **scope), "market-canonical")
     return ops.two_way_match(spread, canonical)
 
@@ -32,12 +39,18 @@ def own_against_market(
     markets: Mapping[str, str],
     departments: Sequence[str],
     segments: Sequence[str],
+    levels: Sequence[str] = ("department", "segment"),
+    measures: Sequence[str] = ("sales", "interim_gp", "manual_claims", "quantity"),
+    scope_level: str = "segment",
+    excluded: str | None = None,
+    attributes: Sequence[str] = ("price_family_id",),
 ) -> DataFrame:
     """Own and market sales per article and week."""
-    own = ops.weekly_own_profit(profit, as_of=as_of, departments=departments, segments=segments, sales_org=sales_org)
+    scope = {"departments": departments, "segments": segments, "scope_level": scope_level}
+    own = ops.weekly_own_profit(profit, as_of=as_of, sales_org=sales_org, levels=levels, measures=measures, excluded=excluded, **scope)
     # the match is read twice: rows with a product id meet the own side, the others stand alone
-    matched = stage(matched_market(market, as_of=as_of, markets=markets, departments=departments, segments=segments), "market-matched")
-    return ops.own_vs_market(own, matched, ops.report_calendar(dim_date, as_of=as_of), products)
+    matched = stage(matched_market(market, as_of=as_of, markets=markets, levels=levels, **scope), "market-matched")
+    return ops.own_vs_market(own, matched, ops.report_calendar(dim_date, as_of=as_of), products, levels=levels, attributes=attributes)
 
 
 def market_share(
@@ -53,11 +66,17 @@ def market_share(
     segments: Sequence[str],
     levels: Sequence[str],
     excluded_prefix: str | None = None,
+    measures: Sequence[str] = ("sales", "interim_gp"),
+    scope_level: str = "segment",
+    excluded: str | None = None,
 ) -> DataFrame:
-    """Market figures against the own hierarchy per week and node."""
+    """Market figures against the own hierarchy per week and node of the ``levels``, all of them keys of the match."""
     combined = own_against_market(
-        profit, market, dim_date, products,
-        as_of=as_of, sales_org=sales_org, markets=markets, departments=departments, segments=segments,
+        profit, market, dim_date, products, as_of=as_of, sales_org=sales_org, markets=markets, departments=departments, segments=segments,
+        levels=levels, scope_level=scope_level, excluded=excluded,
+    )
+    calendar = ops.report_calendar(dim_date, as_of=as_of)
+    hierarchy = ops.own_hierarchy(
+        profit, calendar, as_of=as_of, sales_org=sales_org, levels=levels, excluded_prefix=excluded_prefix, measures=measures, excluded=excluded
     )
-    hierarchy = ops.own_hierarchy(profit, ops.report_calendar(dim_date, as_of=as_of), as_of=as_of, sales_org=sales_org, levels=levels, excluded_prefix=excluded_prefix)
-    return ops.market_share_report(combined, hierarchy, levels=levels, markets=list(markets.values()), as_of=as_of)
+    return ops.market_share_report(combined, hierarchy, levels=levels, markets=list(markets.values()), as_of=as_of, measures=measures)

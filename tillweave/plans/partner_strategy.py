@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +28,13 @@ def partner_strategy(
     partner_name: str,
     prefs_required: Sequence[str],
     thresholds: audiences.Thresholds = audiences.Thresholds(),
+    labels: Mapping[str, tuple[str, str]] | None = None,
     run_at: Column | None = None,
 ) -> DataFrame:
     """Segment and treatment of every customer of the partner programme.
 
-    Points per customer and partner, which totals and breadth both read, are staged. ``run_at`` adds the time of the run.
+    Points per customer and partner, which totals and breadth both read, are staged. Date and stamp of a run come from
+    one instant: ``**RunClock(...).arguments()``.
     """
     fuel_rows = fuel.withColumn("transaction_id", F.col("receipt_id"))
     other_rows = non_fuel.withColumn("transaction_id", F.col("reference"))
@@ -48,5 +50,6 @@ def partner_strategy(
         audiences.unsubscribed_customers(sends, communications, clicks),
         as_of=as_of,
         thresholds=thresholds,
+        labels=labels,
         run_at=run_at,
     )

@@ -361,7 +361,7 @@ def segmentation_strategy(s: StandIn) -> DataFrame:
     return partner_strategy.partner_strategy(
         fuel_of(s), non_fuel_of(s), s.partners(), s.customers(), s.preferences(), s.risk_cohort(),
         s.email_sends(), s.communications(), s.email_clicks(),
-        as_of=AS_OF, partner_id="2", partner_name="NATION_2", prefs_required=["allow_all", "allow_partner"], thresholds=STRATEGY,
+        as_of=AS_OF, partner_id="2", partner_name="NATION_2", prefs_required=["allow_all", "allow_partner"], thresholds=STRATEGY, labels=STRATEGY_LABELS,
     )
 
 
@@ -372,6 +372,22 @@ STRATEGY = audiences.Thresholds(
 )
 
 
+STRATEGY_LABELS = {
+    "lapsed_protect": ("Lapsed partner customer - loyal", "Re-engage"),
+    "lapsed_grow": ("Lapsed partner customer - cross-shopper", "Re-engage"),
+    "stranger_protect": ("Non partner customer - loyal", "Win"),
+    "stranger_grow": ("Non partner customer - cross-shopper", "Win"),
+    "stranger_high": ("Non partner customer - high volume", "Win"),
+    "engaged": ("Already engaged", "Protect"),
+    "risk_partner": ("Infrequent partner customer - at risk", "Grow"),
+    "risk_stranger": ("Non partner customer - at risk", "Re-engage"),
+    "partner_mid": ("Infrequent partner customer - mid volume", "Grow"),
+    "stranger_mid": ("Non partner customer - mid volume", "Win"),
+    "partner_low": ("Infrequent partner customer - low engagement", "Grow"),
+    "stranger_low": ("Non partner customer - low engagement", "Win"),
+}
+
+
 @query
 def lifecycle_audience(s: StandIn) -> DataFrame:
     return audiences.lifecycle_audience(
@@ -466,6 +482,32 @@ def market_share_report(s: StandIn) -> DataFrame:
     )
 
 
+# the whole hierarchy, all measures of the ledger, and a category that does not count
+WIDE_SCOPE = {"departments": ["economy", "standard"], "segments": ["ring", "anvil"], "scope_level": "sub_category"}
+WIDE = {"sales_org": "ORG2", "levels": market.LEVELS, "excluded": "category = 'Range 4'", **WIDE_SCOPE}
+
+
+@query
+def weekly_own_profit_wide(s: StandIn) -> DataFrame:
+    return market.weekly_own_profit(s.profit(), as_of=AS_OF, measures=[*market.LEDGER, "quantity"], **WIDE)
+
+
+@query
+def own_vs_market_wide(s: StandIn) -> DataFrame:
+    return market_report.own_against_market(
+        s.profit(), s.market(), s.dim_date(), s.articles(), as_of=AS_OF, markets=MARKETS, measures=market.LEDGER,
+        attributes=["price_family_id", "price_family_name", "category_manager"], **WIDE,
+    )
+
+
+@query
+def market_share_report_wide(s: StandIn) -> DataFrame:
+    return market_report.market_share(
+        s.profit(), s.market(), s.dim_date(), s.articles(), as_of=AS_OF, markets=MARKETS, excluded_prefix="Z",
+        measures=["sales", "interim_gp", "trading_gp", "stock_loss"], **WIDE,
+    )
+
+
 # ---- pricing ----
 
 NOT_PRICED = ["Brand#5", "Brand#21"]
@@ -473,18 +515,21 @@ NOT_PRICED = ["Brand#5", "Brand#21"]
 
 def price_list_of(s: StandIn) -> DataFrame:
     return pricing.current_price_list(
-        s.prices(), s.stores(), orgs=["ORG1", "ORG3"], banner_contains=["GreenCart"], banner_prefixes=["ValueBarn"]
+        s.prices(), s.stores(), orgs=["ORG1", "ORG3"], banner_contains=["GreenCart"], banner_prefixes=["ValueBarn"],
+        attributes=["price_list", "life_cycle_status", "life_cycle_date"],
     )
 
 
 def shelf_of(s: StandIn) -> DataFrame:
-    return pricing.modal_shelf_price(s.store_articles(), s.stores(), s.article_uoms(), as_of=AS_OF, excluded_categories=NOT_PRICED)
+    return pricing.modal_shelf_price(
+        s.store_articles(), s.stores(), s.article_uoms(), as_of=AS_OF, excluded_categories=NOT_PRICED, active="is_store_active"
+    )
 
 
 def standard_shelf_of(s: StandIn) -> DataFrame:
     return pricing.modal_shelf_price(
         s.store_articles(), s.stores(), s.article_uoms(), as_of=AS_OF, excluded_categories=NOT_PRICED, flags=[], districts=["UPPER"],
-        price=F.coalesce("standard_price", "retail_price"),
+        active="is_store_active", price=F.coalesce("standard_price", "retail_price"),
     )
 
 
@@ -492,16 +537,16 @@ def recommended_of(s: StandIn) -> DataFrame:
     return pricing.recommended_price(
         s.prices(), s.stores(), s.articles(), s.article_uoms(),
         sales_org="ORG2", districts=["UPPER", "LOWER"], excluded_categories=NOT_PRICED, excluded_stores=["27"],
-        closed_mark="Closed",
+        closed_mark="Closed", current="is_current",
     )
 
 
 def wholesale_of(s: StandIn) -> DataFrame:
-    return pricing.latest_wholesale_cost(s.purchases(), s.dim_date(), s.article_uoms())
+    return pricing.latest_wholesale_cost(s.purchases(), s.dim_date(), s.article_uoms(), attributes=["sourcing_dc", "sourcing_dc_name"])
 
 
 def pos_of(s: StandIn) -> DataFrame:
-    return pricing.latest_pos_price(s.pos_lines(), s.article_uoms(), as_of=AS_OF, excluded_categories=NOT_PRICED)
+    return pricing.latest_pos_price(s.pos_lines(), s.article_uoms(), as_of=AS_OF, excluded_categories=NOT_PRICED, time="receipt_time")
 
 
 def trailing_of(s: StandIn) -> DataFrame:
@@ -548,6 +593,11 @@ def price_comparison_report(s: StandIn) -> DataFrame:
     return pricing.price_comparison_report(
         price_list_of(s), pos_of(s), shelf_of(s), recommended_of(s), wholesale_of(s), trailing_of(s), s.articles(), s.stores(),
         s.price_families(), s.price_promises(), excluded_categories=NOT_PRICED, excluded_sub_categories=["old rod", "cold rod"],
+        article_attributes=[
+            "article_name", "price_family_id", "price_family_name", "department", "category", "sub_category", "segment", "category_manager",
+            "vendor_description", "own_brand",
+        ],
+        store_attributes=["store_name", "store_brand"],
     )
 
 

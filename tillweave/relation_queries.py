@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillweave.functions.clock import RunClock
 from tillweave.operators import asof, intervals, ordered, pricing, refreshes, reshape, rollups, similar, summaries
 from tillweave.plans import partner_strategy
-from tillweave.queries import NOT_PRICED, STRATEGY, config_of, fuel_of, non_fuel_of, price_list_of, query
+from tillweave.queries import NOT_PRICED, STRATEGY, STRATEGY_LABELS, config_of, fuel_of, non_fuel_of, query
 from tillweave.sources.staging import new_path, stage
 from tillweave.sources.standin import AS_OF, StandIn
 from tillweave.sources.versions import VersionedTable
@@ -21,7 +21,7 @@ RUN = RunClock(dt.datetime(2001, 8, 1, 15, 30, tzinfo=dt.timezone.utc), "Asia/To
 
 @query
 def approx_modal_price(s: StandIn) -> DataFrame:
-    weekly = stage(pricing.weekly_price_summaries(s.store_articles(), s.stores(), excluded_categories=NOT_PRICED), "price-summaries")
+    weekly = stage(pricing.weekly_price_summaries(s.store_articles(), s.stores(), excluded_categories=NOT_PRICED, active="is_store_active"), "price-summaries")
     return pricing.approx_modal_price(weekly, as_of=AS_OF, weeks=104)
 
 
@@ -102,14 +102,14 @@ def segmentation_strategy_run(s: StandIn) -> DataFrame:
     """The strategy of one run: its date and its stamp come from one instant."""
     return partner_strategy.partner_strategy(
         fuel_of(s), non_fuel_of(s), s.partners(), s.customers(), s.preferences(), s.risk_cohort(), s.email_sends(), s.communications(), s.email_clicks(),
-        partner_id="2", partner_name="NATION_2", prefs_required=["allow_all", "allow_partner"], thresholds=STRATEGY, **RUN.arguments(),
+        partner_id="2", partner_name="NATION_2", prefs_required=["allow_all", "allow_partner"], thresholds=STRATEGY, labels=STRATEGY_LABELS, **RUN.arguments(),
     )
 
 
 @query
 def price_at_till(s: StandIn) -> DataFrame:
     """The price that was last valid from, for each till line, where the store had one by then."""
-    lines = s.pos_lines().select("article_id", "store_id", "receipt_id", "unit_of_measure", "receipt_date", "quantity", "unit_price_paid")
+    lines = s.pos_lines().select("article_id", "store_id", "receipt_id", "unit_of_measure", "receipt_date", "quantity")
     prices = s.prices().select("article_id", F.col("site").alias("store_id"), "valid_from", "valid_to", "sell_price")
     return asof.asof_join(
         lines, prices, on=["article_id", "store_id"], left_time="receipt_date", right_time="valid_from", values=["valid_to", "sell_price"], ties=["valid_to"]

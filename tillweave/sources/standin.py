@@ -286,6 +286,8 @@ class StandIn:
             (F.col("s_acctbal") < 0).alias("is_metro_store"),
             (F.col("s_acctbal") > 9000).alias("is_neighbourhood_store"),
             F.when(key % 13 == 0, None).otherwise(key % 17 == 0).alias("is_online_store"),
+            F.element_at(F.split(name, " "), 1).alias("store_brand"),
+            (key % 19 != 0).alias("is_current"),
         )
 
     @_once
@@ -300,14 +302,20 @@ class StandIn:
             F.col("p_name").alias("sub_category"),
             F.upper("p_name").alias("segment"),
             (key % 40).cast("string").alias("price_family_id"),
+            F.concat(F.lit("Family "), (key % 40).cast("string")).alias("price_family_name"),
+            F.when(key % 9 != 0, F.concat(F.lit("Manager "), (key % 6).cast("string"))).alias("category_manager"),
+            F.when(key % 7 != 0, F.concat(F.lit("V"), (key % 7).cast("string"))).alias("vendor_description"),
+            F.when(key % 4 == 0, "Y").otherwise("N").alias("own_brand"),
+            (key % 23 != 0).alias("is_current"),
             F.col("p_size").alias("article_size"),
         )
 
     @_once
     def article_uoms(self) -> DataFrame:
         """Articles with their units of measure as an array of structs: every article by the each, larger ones by the carton."""
-        each = F.struct(F.lit("EA").alias("unit_of_measure"), F.lit(1).alias("pack_size"))
-        carton = F.struct(F.lit("CT").alias("unit_of_measure"), F.col("p_size").alias("pack_size"))
+        current = F.col("p_partkey") % 29 != 0
+        each = F.struct(F.lit("EA").alias("unit_of_measure"), F.lit(1).alias("pack_size"), F.lit(True).alias("is_current"))
+        carton = F.struct(F.lit("CT").alias("unit_of_measure"), F.col("p_size").alias("pack_size"), current.alias("is_current"))
         return self.tables["part"].select(
             _text("p_partkey").alias("article_id"),
             F.when(F.col("p_size") >= 20, F.array(each, carton)).otherwise(F.array(each)).alias("uom"),
@@ -350,6 +358,9 @@ class StandIn:
             F.when(F.col("l_suppkey") % 2 == 0, "ORG1").otherwise("ORG2").alias("sales_org"),
             F.when(F.col("l_tax") < 0.02, None).otherwise(F.col("l_extendedprice") / F.col("l_quantity")).alias("purchase_cost"),
             F.col("p_brand").alias("category"),
+            F.concat(F.lit("List "), (F.col("l_suppkey") % 5).cast("string")).alias("price_list"),
+            F.when(F.col("l_linenumber") < 6, "Ranged").when(F.col("l_linenumber") == 6, "Deleted").alias("life_cycle_status"),
+            F.date_sub(shipped, 10).alias("life_cycle_date"),
         )
 
     @_once
@@ -376,6 +387,7 @@ class StandIn:
             (F.col("l_linestatus") == "O").alias("is_great_price"),
             F.col("is_online_order_completed").alias("is_ranged"),
             (F.col("l_linenumber") == 1).alias("is_new"),
+            F.when(store % 11 != 0, store % 12 != 0).alias("is_store_active"),
             F.col("gst_included_amount").alias("weekly_sales"),
         )
 
@@ -394,6 +406,7 @@ class StandIn:
                 "receipt_id",
                 "category",
                 "receipt_date",
+                F.date_format(F.timestamp_seconds(F.col("receipt_id").cast("long") * 7919 % 86400), "HH:mm:ss").alias("receipt_time"),
                 "financial_week_end_date",
                 "is_online_order",
                 F.when(F.col("l_linenumber") == 7, "CT").otherwise("EA").alias("unit_of_measure"),
@@ -424,6 +437,7 @@ class StandIn:
             _text("l_partkey").alias("article_id"),
             _text("l_suppkey").alias("store_id"),
             (F.col("l_suppkey") % 4).cast("string").alias("sourcing_dc"),
+            F.concat(F.lit("Centre "), (F.col("l_suppkey") % 4).cast("string")).alias("sourcing_dc_name"),
             F.to_date("l_shipdate").alias("invoice_date"),
             F.col("l_extendedprice").alias("cost_charge"),
             (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("base_cost"),
@@ -456,8 +470,8 @@ class StandIn:
                 (amount * 0.25).alias("trading_gp"),
                 (F.col("quantity") * 0.125).alias("dumps"),
                 (F.col("quantity") * 0.5).alias("stock_loss"),
-                (amount * 0.0625).alias("markdowns"),
-                (amount * 0.6875).alias("cogs"),
+                (amount * 0.06).alias("markdowns"),
+                (amount * 0.69).alias("cogs"),
                 "quantity",
             )
         )
