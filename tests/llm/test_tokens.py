@@ -120,3 +120,22 @@ def test_packing_is_whole_and_as_tight_as_best_fit(odd, documents, empty):
         sequences, lengths = check_packing(rows, docs.collect(), most)
         assert len(sequences) <= best_fit_decreasing(lengths, most)
     assert packing.pack_documents(empty, BYTE).count() == 0
+
+
+def test_words_encoded_together_give_the_same_ids(monkeypatch, documents):
+    """Against the library's ids of whole texts, with caches so small that they turn over, and waiting texts of few words."""
+    from tillweave.llm import encoding
+
+    monkeypatch.setattr(encoding, "_WAITING", 50)
+    monkeypatch.setattr(encoding, "_TOGETHER", 7)
+    texts = [r.text for r in documents.select("text").limit(60).collect()] + ODD_TEXTS
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        some = encoding.CachedEncoder(public_tokenizers.path(name), words=40, parts=9)
+        want = [np.array(some.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert some.encode_all(texts) == want and some.encode_all(texts) == want
+
+
+ODD_TEXTS = [
+    None, "", " ", "a", " a", "a ", "a  b", "İstanbul İ! x", "naïve café, déjà vu", "don't they'll I'M we've", "x\ny z", "1 22 333 4a5 b6",
+    "<|endoftext|> a b", "中文 字 a", "a\u0301 b e\u0301e c", "ǅ ǆ ß ẞ ſt ﬁ x", "tab\tin side", "a b\u00a0c d", "- -- --- a- -b", "😀 a 😀b c😀 d",
+]

@@ -13,6 +13,7 @@ import re
 import sys
 from array import array
 
+import numpy as np
 from tokenizers import Tokenizer
 
 _BEFORE_SPACE = re.compile(r"(?<=[!-~])(?= )")
@@ -20,6 +21,11 @@ _BEFORE_SPACE = re.compile(r"(?<=[!-~])(?= )")
 _INSIDE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-įı-ɏ])(?=[!-/:-@\[-`{-~\n])|(?<=[!-~])(?=\n)")
 
 
+#: Words of Latin letters alone: after a space each is one piece in every one of the byte-pair encoders' pre-tokenizers.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+_TOGETHER = 1_000  # words handed to the library at once
+_WAITING = 50_000  # words of the texts that wait for them
+
 _TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -38,11 +44,14 @@ class Generations(dict):
         found = self.old.get(key)
         if found is None:
             found = self.compute(key)
+        self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[key] = found
-        return found
+        self[key] = value
 
 
 class CachedEncoder:
@@ -74,6 +83,62 @@ class CachedEncoder:
             return self.words[core] + self.parts[word[len(core) :]]
         return self._split(" " + word)
 
+    def _learn(self, words: list[str]) -> None:
+        """Put plain words' ids into the cache, many with one call: a call costs more than a word.
+
+        The library tells the piece of each id. If it made other pieces than the words, they are left to be encoded singly.
+        """
+        for low in range(0, len(words), _TOGETHER):
+            some = words[low : low + _TOGETHER]
+            text = " " + " ".join(some)
+            if any(s in text for s in self.special):
+                continue
+            got = self.library.encode(text, add_special_tokens=False)
+            piece, ids = np.array(got.word_ids, np.int64), np.array(got.ids, "<u4").tobytes()
+            ends = np.searchsorted(piece, np.arange(len(some) + 1))
+            if len(np.unique(piece)) != len(some) or piece[-1] + 1 != len(some):
+                continue
+            for word, begin, end in zip(some, (4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist()):
+                self.words.put(word, ids[begin:end])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as ``encode`` gives them. Words that no cache holds are gathered over texts (of about ``_WAITING``
+        words) and encoded together."""
+        found: list[bytes | None] = [None] * len(texts)
+        waiting: list[tuple[int, str, list[str], list[bytes | None]]] = []
+        held = 0
+        for at, text in enumerate(texts):
+            if not text or " " not in text or any(s in text for s in self.special):
+                found[at] = self.encode(text)
+                continue
+            words = text.split(" ")
+            pieces = list(map(self.words.get, words))
+            pieces[0] = pieces[-1] = b""  # the first and the last word stand otherwise than those between
+            waiting.append((at, text, words, pieces))
+            held += len(words)
+            if held > _WAITING:
+                self._finish(waiting, found)
+                waiting, held = [], 0
+        self._finish(waiting, found)
+        return found
+
+    def _finish(self, waiting: list, found: list[bytes | None]) -> None:
+        old = self.words.old
+        fresh = {w for _, _, words, pieces in waiting if None in pieces for w, p in zip(words, pieces) if p is None and w not in old}
+        cores = {w.rstrip(_TAIL) for w in fresh if w}
+        self._learn([c for c in cores if c not in self.words and c not in old and _PLAIN.fullmatch(c)])
+        for at, text, words, pieces in waiting:
+            first = words[0]
+            try:
+                if not first or not ("!" <= first[-1] <= "~" or first[-1].isalnum()):
+                    raise _Open
+                if None in pieces:
+                    pieces = [self.words[w] if p is None else p for w, p in zip(words, pieces)]
+                pieces[0], pieces[-1] = self._split(first), self._split(" " + words[-1])
+                found[at] = b"".join(pieces)
+            except _Open:
+                found[at] = b"".join([self._split(p) for p in _BEFORE_SPACE.split(text)])
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -92,7 +157,12 @@ class CachedEncoder:
             return b"".join([self._split(p) for p in _BEFORE_SPACE.split(text)])
 
 
+#: Entries of the word and part caches: a small pair, and one that trades a few hundred MB of a worker for time.
+SMALL, LARGE = (250_000, 30_000), (500_000, 300_000)
+
+
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> CachedEncoder:
-    """One encoder per Python worker and tokenizer."""
-    return CachedEncoder(path)
+def encoder(path: str, cache: tuple[int, int] = SMALL) -> CachedEncoder:
+    """One encoder per Python worker, tokenizer and cache size."""
+    words, parts = cache
+    return CachedEncoder(path, words=words, parts=parts)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillweave.llm.encoding import encoder
+from tillweave.llm.encoding import SMALL, encoder
 from tillweave.llm.tables import partitions, written
 
 
@@ -22,7 +22,9 @@ def cut_lengths(n: int, most: int) -> list[int]:
     return ([over] if over else []) + [most] * (n // most)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, most: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, *, most: int = 2048, end_id: int = 0, with_ids: bool = False, cache: tuple[int, int] = SMALL
+) -> DataFrame:
     """Encode whole texts (null: empty), end each with ``end_id``, cut only those over ``most`` tokens.
 
     Returns ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids`` (little-endian unsigned
@@ -39,11 +41,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, most: int = 2048, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = encoder(tokenizer).encode
+        encode_texts = encoder(tokenizer, cache).encode_all
         for batch in batches:
             taken, rows = [], []
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode_text(text) + end
+            for at, found in enumerate(encode_texts(batch.column(1).to_pylist())):
+                ids = found + end
                 start = 0
                 for number, length in enumerate(cut_lengths(len(ids) // 4, most)):
                     part = ids[4 * start : 4 * (start + length)]
@@ -157,11 +159,13 @@ def pack(pieces: DataFrame, *, most: int = 2048) -> DataFrame:
     return ranged.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, most: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Encode and pack documents; one row per piece.
+def pack_documents(
+    docs: DataFrame, tokenizer: str, *, most: int = 2048, end_id: int = 0, with_ids: bool = False, cache: tuple[int, int] = SMALL
+) -> DataFrame:
+    """Encode and pack documents; one row per piece. ``cache`` bounds the encoder's caches (entries of words and of parts).
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Null and empty texts are one token (the end id);
     rows with equal or null ids are packed like any other.
     """
-    pieces = written(token_pieces(docs, tokenizer, most=most, end_id=end_id, with_ids=with_ids), "pack-pieces")
+    pieces = written(token_pieces(docs, tokenizer, most=most, end_id=end_id, with_ids=with_ids, cache=cache), "pack-pieces")
     return pack(pieces, most=most)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillweave.llm import fingerprints, hosts, language, mixing, near_dups, packing, quality, spelling, token_counts, token_files, toxicity, vector_codes, vector_graphs
+from tillweave.llm.encoding import LARGE
 from tillweave.llm.tables import bounded_batches, id_remainder, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,13 +32,13 @@ def op2_near_dups(spark: SparkSession, directory: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, directory: str) -> DataFrame:
     folder = new_path(spark, "token-files")
-    token_files.write_token_files(documents(spark, directory), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2)
+    token_files.write_token_files(documents(spark, directory), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2, cache=LARGE)
     return token_files.read_documents(spark, folder)
 
 
 def op4_packing(spark: SparkSession, directory: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(documents(spark, directory), tokenizer, most=2048, end_id=0)
+    return packing.pack_documents(documents(spark, directory), tokenizer, most=2048, end_id=0, cache=LARGE)
 
 
 def op5_language(spark: SparkSession, directory: str) -> DataFrame:

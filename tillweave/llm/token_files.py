@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm.encoding import encoder
+from tillweave.llm.encoding import SMALL, encoder
 from tillweave.llm.tables import partitions
 
 MAGIC = b"TWIDS1\0\0"
@@ -174,7 +174,7 @@ def _place(folder: str, name: str, content: bytes, attempt: int) -> None:
     store.move(part, f"{base}/{name}")
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2, shards: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2, shards: int | None = None, cache: tuple[int, int] = SMALL) -> DataFrame:
     """Encode whole texts (null: empty), end each with ``end_id`` and write them by ascending ``doc_id``.
 
     Documents are range-partitioned by id and each partition writes one shard, so shards hold ascending, disjoint ranges of
@@ -188,12 +188,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(tokenizer).encode, TaskContext.get()
+        encode, task = encoder(tokenizer, cache).encode_all, TaskContext.get()
         keys, lengths, payload = [], [], bytearray()
         for batch in batches:
             keys += [k for k in batch.column(0).to_pylist() if k is not None]
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(encode(text), "<u4").astype(f"<u{width}").tobytes() + end
+            for found in encode(batch.column(1).to_pylist()):
+                ids = np.frombuffer(found, "<u4").astype(f"<u{width}").tobytes() + end
                 lengths.append(len(ids) // width)
                 payload += ids
         if not lengths:
