@@ -92,3 +92,35 @@ def test_main_path_has_no_python(spark):
 
 def test_empty(spark):
     assert hosts.judge(spark.createDataFrame([], SCHEMA), queries.RULES).count() == 0
+
+
+def test_chain_behind_a_blocked_host_is_blocked_throughout(spark):
+    """Fifteen hosts, each linking to the next, the last to a blocked one; and fifteen that a trusted host leads to."""
+    link = lambda host: f'<a href="https://{host}/x">'
+    rows = [(0, "https://bad.example.com/de/1", "")]
+    rows += [(i, f"https://h{i}.example.net/", link(f"h{i - 1}.example.net" if i > 1 else "bad.example.com")) for i in range(1, 16)]
+    rows += [(100, "https://good.example.org/", link("g1.example.net"))]
+    rows += [(100 + i, f"https://g{i}.example.net/", link(f"g{i + 1}.example.net")) for i in range(1, 16)]
+    found = {r["page_id"]: r["verdict"] for r in hosts.judge(spark.createDataFrame(rows, SCHEMA), queries.RULES).collect()}
+    assert all(found[i] == "block" for i in range(16)) and all(found[100 + i] == "allow" for i in range(16))
+
+
+def test_ranks_settle_verdicts(spark):
+    """Against many rounds of plain arithmetic, on a graph with cycles where trust and distrust meet."""
+    import random
+
+    draw = random.Random(4)
+    names = [f"n{i}" for i in range(12)]
+    links = {(a, b): draw.randint(1, 3) for a in names for b in draw.sample(names, 2) if a != b}
+    seeds = {n: (float(draw.randint(0, 3)), float(draw.randint(0, 4))) for n in names[:6]}
+    trust, distrust = ({n: seeds.get(n, (0, 0))[k] for n in names} for k in (0, 1))
+    out, into = ({n: sum(w for e, w in links.items() if e[k] == n) for n in names} for k in (0, 1))
+    for _ in range(300):
+        trust, distrust = (
+            {n: 0.15 * seeds.get(n, (0, 0))[0] + 0.85 * sum(trust[a] * w / out[a] for (a, b), w in links.items() if b == n) for n in names},
+            {n: 0.15 * seeds.get(n, (0, 0))[1] + 0.85 * sum(distrust[b] * w / into[b] for (a, b), w in links.items() if a == n) for n in names},
+        )
+    frame = spark.createDataFrame([(n, *s) for n, s in seeds.items()], "host string, trust_seed double, distrust_seed double")
+    edges = spark.createDataFrame([(*e, w) for e, w in links.items()], "src string, dst string, pages long")
+    got = {r["host"]: r["distrust"] > 2 * r["trust"] for r in hosts.propagate(frame, edges, rounds=None).collect()}
+    assert got == {n: distrust[n] > 2 * trust[n] for n in names if n in got} and len(got) >= 10

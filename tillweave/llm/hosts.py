@@ -60,9 +60,16 @@ def host_links(pages: DataFrame, host: Column, html: Column) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, *, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def propagate(
+    seeds: DataFrame, links: DataFrame, *, damping: float = 0.85, rounds: int | None = 10, outweighs: float = 2.0, tolerance: float = 1e-9
+) -> DataFrame:
     """Personalised PageRank of trust along the links and of distrust against them.
 
+    It takes ``rounds`` rounds; with None they go on until no further one can change whether a host's distrust is more than
+    ``outweighs`` times its trust: until no host is reached for the first time, and what all later rounds can move (it shrinks
+    by ``damping`` each round) is less than the margin of every host that both have reached. Margins below ``tolerance`` of all
+    seeds are not waited for. One row per round comes to the driver.
+
     ``seeds``: ``host``, ``trust_seed``, ``distrust_seed``. A host hands its trust on to the hosts it links to, by pages; and
     its distrust back to the hosts that link to it. Each round is one pass over the links, written to cut the lineage; links
     are one row per pair of hosts, so what a round shuffles is a rank per link. Without links the seeds stand.
@@ -80,7 +87,9 @@ def propagate(seeds: DataFrame, links: DataFrame, *, damping: float = 0.85, roun
         "src", "dst", (F.col("pages") / F.col("out_pages")).alias("ahead"), (F.col("pages") / F.col("in_pages")).alias("back")
     )
     weighted = written(weighted, "host-links")
-    for _ in range(rounds):
+    total = ranks.agg(F.sum("trust_seed") * outweighs + F.sum("distrust_seed")).first()[0] or 0.0
+    done = 0
+    while True:
         ahead = weighted.join(ranks.select(F.col("host").alias("src"), "trust"), "src").select(
             F.col("dst").alias("host"), (F.col("trust") * F.col("ahead")).alias("trust_in"), F.lit(0.0).alias("distrust_in")
         )
@@ -92,12 +101,29 @@ def propagate(seeds: DataFrame, links: DataFrame, *, damping: float = 0.85, roun
         mixed = {
             n: (1 - damping) * F.col(f"{n}_seed") + damping * F.coalesce(F.col(f"{n}_in"), F.lit(0.0)) for n in ("trust", "distrust")
         }
-        ranks = written(spread.withColumns(mixed).select("host", "trust_seed", "distrust_seed", "trust", "distrust"), "host-ranks")
-    return ranks
+        old = {f"old_{n}": F.col(n) for n in ("trust", "distrust")}
+        stepped = written(
+            spread.withColumns(old).withColumns(mixed).select("host", "trust_seed", "distrust_seed", "trust", "distrust", *old), "host-ranks"
+        )
+        moved = {n: F.abs(F.col(n) - F.col(f"old_{n}")) for n in ("trust", "distrust")}
+        reached = [((F.col(n) > 0) & (F.col(f"old_{n}") == 0)) for n in ("trust", "distrust")]
+        margin = F.when((F.col("trust") > 0) & (F.col("distrust") > 0), F.abs(F.col("distrust") - outweighs * F.col("trust")))
+        state = stepped.agg(
+            F.count_if(reached[0] | reached[1]).alias("reached"),
+            (F.sum(moved["trust"]) * outweighs + F.sum(moved["distrust"])).alias("moved"),
+            F.min(margin).alias("margin"),
+        ).first()
+        ranks = stepped.drop(*old)
+        ahead_of_us = damping / (1 - damping) * state["moved"]
+        done += 1
+        if done == rounds:
+            return ranks
+        if rounds is None and not state["reached"] and (state["margin"] is None or ahead_of_us < state["margin"] or ahead_of_us <= tolerance * total):
+            return ranks
 
 
 def judge(
-    pages: DataFrame, rules: Sequence[Rule], *, damping: float = 0.85, rounds: int = 10, outweighs: float = 2.0
+    pages: DataFrame, rules: Sequence[Rule], *, damping: float = 0.85, outweighs: float = 2.0
 ) -> DataFrame:
     """A verdict for every page: the longest rule's, else its host's.
 
@@ -123,7 +149,7 @@ def judge(
         )
     )
     links = written(host_links(pages, host_of(F.col("url")), F.col("html")), "host-pairs")
-    ranks = propagate(seeds, links, damping=damping, rounds=rounds)
+    ranks = propagate(seeds, links, damping=damping, rounds=None, outweighs=outweighs)
     blocked = written(ranks.where(F.col("distrust") > outweighs * F.col("trust")).select("host"), "hosts-blocked")
     marked = ruled.join(blocked.withColumn("distrusted", F.lit(True)), "host", "left")
     verdict = F.coalesce("ruled", F.when(F.col("distrusted"), "block").otherwise("allow"))
