@@ -135,3 +135,29 @@ def test_estimates_follow_the_sets():
     b = np.concatenate([a[:1700], np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))])
     same = (near_dups.minhashes(a) == near_dups.minhashes(b)).mean()
     assert abs(same - 1700 / 2300) < 0.15
+
+
+@pytest.mark.parametrize("rows", [[], None])
+def test_keep_one_row_by_row(spark, rows):
+    a, b = " ".join(f"a{i}" for i in range(120)), " ".join(f"b{i}" for i in range(120))
+    near = a.replace("a60", "x")
+    if rows is None:
+        rows = [
+            (5, a, "first"),
+            (5, b, "same id, other text"),
+            (5, a, "first"),
+            (3, near, "near copy with a smaller id"),
+            (None, a, "copy without an id"),
+            (None, "words that nothing else has at all", "no id, alone"),
+            (None, "words that nothing else has at all", "no id, again"),
+            (8, b, "copy of the other text"),
+            (9, "", "empty"),
+            (9, "", "empty"),
+            (10, None, "null"),
+        ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    got = near_dups.keep_one(docs, width=5, percent=80)
+    assert got.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, r["text"] or "", r["text"] is None) for r in got.collect())
+    wanted = [(3, near, False), (5, b, False), (0, "words that nothing else has at all", False), (9, "", False), (9, "", False), (10, "", True)]
+    assert kept == (sorted(wanted) if rows else [])

@@ -453,3 +453,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         F.coalesce("node", "doc_id").alias("class_id"),
         F.coalesce("component", "node", "doc_id").alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, unchanged, but for near copies: of each group of ``near_duplicates`` one row stays.
+
+    Rows are told apart by a key of their own, written beside them, so every row is grouped by its own text and dropped by
+    itself, whatever its id. The row that stays is the one with the smallest id; a row without an id stays only if all of its
+    group lack one, and of rows that share the smallest id the first as written stays. Only keys meet in joins and groups;
+    texts are read once more and lose the dropped keys.
+
+    Defined cases: null, empty and blank texts are near copies of nothing and all stay; a row that repeats a text is a copy,
+    with the same id, another or none; a row that repeats an id with another text is judged by that text; any column names
+    may occur, as rows travel as one struct; an empty table gives an empty one.
+    """
+    keyed = written(docs.select(F.struct("*").alias("document"), F.monotonically_increasing_id().alias("row")), "near-rows")
+    texts = keyed.select(F.col("row").alias("doc_id"), F.col("document.text").alias("text"))
+    found = near_duplicates(texts, width=width, percent=percent).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    found = written(found, "near-grouped")
+    ids = keyed.select("row", F.col("document.doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    stay = found.join(ids, "row").groupBy("component").agg(F.min_by("row", order).alias("row"))
+    dropped = written(found.join(stay, "row", "left_anti").select("row"), "near-dropped")
+    return keyed.join(few(dropped), "row", "left_anti").select("document.*")
