@@ -11,33 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillweave.llm import language, mixing, near_dups, packing, toxicity
-from tillweave.llm.tables import bounded_batches, few, id_remainder, written
+from tillweave.llm.tables import bounded_batches, id_remainder, written
 
 #: A language predicted with less certainty than this is no decision.
 LEAST_CERTAINTY = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told: some letters, and a certain enough prediction."""
+    """Keep documents whose language can be told: some letters, and a certain enough prediction.
+
+    Null, empty and letterless texts have no language and go; rows that repeat an id are judged one by one.
+    """
     bounded_batches(spark)
     return language.keep_known(docs, learn=id_remainder(F.col("doc_id"), 4) != 2, least=LEAST_CERTAINTY)
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose windows' compression lengths do not call them toxic."""
+    """Keep documents whose windows' compression lengths do not call them toxic; without labels of both kinds all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_ordinary(docs, labels, learn=id_remainder(F.col("doc_id"), 5) != 0)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, the one with the smallest id; rows without an id stay."""
-    found = near_dups.near_duplicates(docs, width=5, percent=80)
-    dropped = written(found.where("not kept").select("doc_id").distinct(), "pipeline-dropped")
-    return docs.join(few(dropped), "doc_id", "left_anti").select(*docs.columns)
+    """Keep one document of each group of near copies, the one with the smallest id; every row is judged by its own text.
+
+    Rows without an id and rows that repeat one take part like others; texts without words are copies of nothing and stay.
+    """
+    return near_dups.keep_one(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out whole documents so that sources have their target shares."""
+    """Repeat or leave out whole documents so that sources have their target shares; rows without a source are one of them."""
     return mixing.mixed_documents(docs, weights=(1, 2, 3), share=1.0, cap=3)
 
 
