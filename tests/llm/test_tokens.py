@@ -40,6 +40,21 @@ def test_counts_of_whole_texts(odd, empty):
     assert token_counts.token_counts(empty, PIECE).count() == 0
 
 
+def test_documents_are_counted_as_the_library_does(spark, documents):
+    """Over the whole table, with a table of frequent parts from a few documents and a cache that overflows."""
+    counted = token_counts.token_counts(documents, PIECE, entries=50, sample_rows=20, cache=100)
+    got = {r["doc_id"]: r["n_tokens"] for r in counted.collect()}
+    assert got == {r["doc_id"]: len(PIECES.encode(r["text"] or "")) for r in documents.collect()}
+    assert "Exchange" not in counted._jdf.queryExecution().toString()
+
+
+def test_frequent_parts_are_bounded_and_right(documents, empty):
+    table = token_counts.frequent_parts(documents, PIECE, entries=30, sample_rows=100)
+    assert 0 < len(table) <= 30
+    assert all(n == token_counts.part_length(PIECE, p) for p, n in table.items())
+    assert token_counts.frequent_parts(empty, PIECE) == {}
+
+
 def expected_ids(path, text, end):
     return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [end]
 

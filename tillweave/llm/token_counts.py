@@ -7,7 +7,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -56,12 +55,16 @@ def part_length(path: str, part: str) -> int:
     return len(library(path).encode("\n" + part, num_threads=1)) - 2
 
 
-def frequent_parts(docs: DataFrame, path: str, *, entries: int = 20_000, per_task: int = 20_000) -> dict[str, int]:
-    """The tier that is broadcast: lengths of the most frequent parts over all documents, ``entries`` at most.
+def frequent_parts(docs: DataFrame, path: str, *, entries: int = 20_000, sample_rows: int = 1_000, per_task: int = 5_000) -> dict[str, int]:
+    """The tier that is broadcast: lengths of parts that are frequent in a random sample of documents, ``entries`` at most.
 
-    Each task counts the parts of its rows and hands on its ``per_task`` most frequent ones; their sums decide. What is not
-    in the table is encoded where it occurs, so the table changes speed only, never a count.
+    About ``sample_rows`` documents are drawn whatever the size of the table. Each task counts the parts of those it holds
+    and hands its ``per_task`` most frequent ones to the driver, so parts are never shuffled. What is not in the table is
+    encoded where it occurs: the sample changes speed only, never a count.
     """
+    rows = docs.count()
+    if not rows:
+        return {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
@@ -76,15 +79,10 @@ def frequent_parts(docs: DataFrame, path: str, *, entries: int = 20_000, per_tas
             [pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["part", "n"]
         )
 
-    counted = docs.select("text").mapInArrow(count, "part string, n long")
-    top = counted.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(entries)
-
-    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"part": batch["part"], "length": [part_length(path, p) for p in batch["part"]]})
-
-    rows = top.select("part").mapInPandas(lengths, "part string, length int").collect()
-    return {r["part"]: r["length"] for r in rows}
+    drawn = docs.select("text").sample(fraction=min(1.0, sample_rows / rows), seed=1)
+    counted = drawn.mapInArrow(count, "part string, n long").toArrow().group_by("part").aggregate([("n", "sum")])
+    top = counted.sort_by([("n_sum", "descending"), ("part", "ascending")]).slice(0, entries)
+    return {part: part_length(path, part) for part in top["part"].to_pylist()}
 
 
 _caches: dict[tuple[str, int], Generations] = {}
@@ -97,17 +95,18 @@ def _cache(path: str, limit: int) -> Generations:
     return _caches[path, limit]
 
 
-def token_counts(docs: DataFrame, path: str, *, limit: int = 4096, entries: int = 20_000, cache: int = 200_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, *, limit: int = 4096, entries: int = 20_000, sample_rows: int = 1_000, cache: int = 200_000) -> DataFrame:
     """Tokens of every whole text as the sentencepiece model at ``path`` gives them, without begin and end tokens.
 
     Returns ``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` (more than ``limit`` tokens). Null and empty texts count 0;
     other columns of ``docs`` are ignored, repeated rows are counted each. A model whose pieces cross words is not split:
-    its texts are encoded whole.
+    its texts are encoded whole. ``entries`` and ``sample_rows`` bound the table of frequent parts and the documents it is
+    taken from, ``cache`` the entries a worker keeps; they change speed only.
     """
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     split = independent(path)
-    table = docs.sparkSession.sparkContext.broadcast(frequent_parts(docs, path, entries=entries) if split else {})
+    table = docs.sparkSession.sparkContext.broadcast(frequent_parts(docs, path, entries=entries, sample_rows=sample_rows) if split else {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rare = table.value, _cache(path, cache)
