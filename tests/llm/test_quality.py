@@ -1,3 +1,5 @@
+import functools
+import math
 import re
 from collections import Counter
 
@@ -26,12 +28,23 @@ def test_counts(text):
     assert quality.base_counts(text) == slow_counts(text)
 
 
-def quantile(values, q):
-    """The upper edge of the bucket that holds the value of that rank."""
-    import math
+def bucket(value):
+    return -(10**9) if value <= 0 else math.floor(math.log(value) / math.log(quality.GAMMA))
 
-    value = sorted(values)[max(0, math.ceil(len(values) * q) - 1)]
-    return 0.0 if value <= 0 else quality.GAMMA ** (math.floor(math.log(value) / math.log(quality.GAMMA)) + 1)
+
+def lent(own, coarse, weight=200):
+    """Counts in units of a group, with those of its coarser group added as so many documents."""
+    total = sum(coarse.values())
+    return Counter(own) + Counter({b: math.floor(weight * (1 << 16) * (n / total)) for b, n in coarse.items()})
+
+
+def quantile(units, q):
+    """The upper edge of the bucket that holds the unit of that rank."""
+    rank, upto = math.ceil(sum(units.values()) * q), 0
+    for b in sorted(units):
+        upto += units[b]
+        if upto >= rank:
+            return 0.0 if b == -(10**9) else quality.GAMMA ** (b + 1)
 
 
 def test_query_equals_brute_force(spark, documents):
@@ -42,14 +55,16 @@ def test_query_equals_brute_force(spark, documents):
         lines = max(1, sum(1 for line in (source[i]["text"] or "").split("\n") if WORD.search(line)))
         n = max(1, words)
         measured[i] = {"word_length": chars / n, "symbols": symbols / n, "dup_lines": repeats_lines / lines, "repeats": repeats / n}
-    by_lang = {}
-    for i, r in source.items():
-        by_lang.setdefault(r["lang"], []).append(i)
-
-    def limit(i, name):
-        group = by_lang[source[i]["lang"]]  # no source has 200 documents here
-        group = group if len(group) >= 200 else list(source)
-        low, high = (quantile([measured[j][name] for j in group], q) for q in (0.25, 0.75))
+
+    def units(name, rows):
+        return Counter({b: n << 16 for b, n in Counter(bucket(measured[i][name]) for i in rows).items()})
+
+    @functools.cache
+    def limit(lang, origin, name):
+        everyone = units(name, source)
+        of_lang = lent(units(name, [i for i, r in source.items() if r["lang"] == lang]), everyone)
+        group = lent(units(name, [i for i, r in source.items() if (r["lang"], r["source"]) == (lang, origin)]), of_lang)
+        low, high = quantile(group, 0.25), quantile(group, 0.75)
         times, least = quality.RULES[name]
         spread = max(high - low, least)
         return low - times * spread, high + times * spread
@@ -58,7 +73,7 @@ def test_query_equals_brute_force(spark, documents):
         i = r["doc_id"]
         assert tuple(r[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == counts[i]
         failed = counts[i][0] < 50 or 100 * counts[i][4] > 50 * counts[i][0]
-        within = all(limit(i, n)[0] <= v <= limit(i, n)[1] for n, v in measured[i].items())
+        within = all(low <= v <= high for n, v in measured[i].items() for low, high in [limit(source[i]["lang"], source[i]["source"], n)])
         assert r["base_failed"] == failed and r["kept"] == (not failed and within)
 
 
@@ -77,6 +92,26 @@ def test_groups_have_limits_of_their_own(spark):
     assert dropped == {11}  # as many symbols as code has, in prose
 
 
+def test_limits_do_not_jump_with_a_group_s_size(spark):
+    """One more document moves a limit by a bucket or two at most, whatever the group's size."""
+
+    def most(rows):
+        counted = spark.range(2000 + rows).select(
+            F.col("id").alias("doc_id"),
+            F.lit("en").alias("lang"),
+            F.when(F.col("id") < 2000, "prose").otherwise("code").alias("source"),
+            *[F.lit(n).cast("long").alias(c) for c, n in (("n_words", 100), ("n_dup_lines", 0), ("n_repeat_words", 0), ("n_lines", 1))],
+            F.when(F.col("id") < 2000, 400 + F.col("id") % 200).otherwise(900 + F.col("id") % 200).alias("word_chars"),
+            F.lit(0).cast("long").alias("n_symbols"),
+        )
+        return {r["source"]: r["word_length_most"] for r in quality.thresholds(counted).collect()}["code"]
+
+    sizes = [most(n) for n in (1, 199, 200, 201, 20_000)]
+    assert sizes[1] == sizes[2] == sizes[3]
+    assert sizes[0] < sizes[-1]  # alone it follows the language, in numbers its own values
+    assert sizes[-1] < 20
+
+
 def test_odd_rows(odd, empty):
     rows = quality.quality(odd).collect()
     assert len(rows) == odd.count()

@@ -98,31 +98,44 @@ def quantiles(sketch: DataFrame, groups: list[str], at: dict[str, float]) -> Dat
 RULES = {"word_length": (3.0, 1.0), "symbols": (3.0, 0.1), "dup_lines": (3.0, 0.2), "repeats": (3.0, 0.1)}
 
 
-def thresholds(counted: DataFrame, *, least_rows: int = 200, rules: dict[str, tuple[float, float]] = RULES) -> DataFrame:
+#: Counts of blended sketches are whole numbers of this fraction of a document, so that their sums are exact.
+_UNIT = 1 << 16
+
+
+def blended(fine: DataFrame, coarse: DataFrame, groups: list[str], shared: list[str], weight: int) -> DataFrame:
+    """Sketches of ``groups``, each with the sketch of the coarser group it belongs to added as ``weight`` documents.
+
+    ``fine`` and ``coarse`` hold counts in units; ``shared`` are the columns that name the coarser group. A small group
+    follows the coarser one, a large one its own values, and nothing switches in between.
+    """
+    total = coarse.groupBy(*shared, "measure").agg(F.sum("n").alias("total"))
+    c, t = coarse.alias("c"), total.alias("t")
+    same = F.col("c.measure") == F.col("t.measure")
+    for name in shared:
+        same = same & F.col(f"c.{name}").eqNullSafe(F.col(f"t.{name}"))
+    share = F.floor(F.lit(weight * _UNIT) * (F.col("c.n") / F.col("t.total"))).cast("long")
+    prior = c.join(t, same).select(*[F.col(f"c.{n}").alias(n) for n in shared], "c.measure", "c.bucket", share.alias("n"))
+    g, p = fine.select(*groups, "measure").distinct().alias("g"), prior.alias("p")
+    member = F.col("g.measure") == F.col("p.measure")
+    for name in shared:
+        member = member & F.col(f"g.{name}").eqNullSafe(F.col(f"p.{name}"))
+    lent = g.join(p, member).select(*[F.col(f"g.{n}").alias(n) for n in groups], "g.measure", "p.bucket", "p.n")
+    return fine.unionByName(lent).groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n"))
+
+
+def thresholds(counted: DataFrame, *, prior_rows: int = 200, rules: dict[str, tuple[float, float]] = RULES) -> DataFrame:
     """Upper and lower limits of every measure for each language and source: one row each.
 
-    A limit lies a number of spreads beyond the quartiles of the group's own sketch. A group of fewer than ``least_rows``
-    documents takes its language's limits, a small language those of all documents: their sketches are the sums of the
-    groups' sketches.
+    A limit lies a number of spreads beyond the quartiles of the group's sketch. To that sketch its language's is added with
+    the weight of ``prior_rows`` documents, and to the language's that of all documents in the same way; the coarser
+    sketches are the sums of the groups' sketches.
     """
     edges = {"low": 0.25, "high": 0.75}
-    fine = written(sketches(counted, ["lang", "source"]), "quality-sketches")
-    own = quantiles(fine, ["lang", "source"], edges)
-    by_lang = quantiles(fine.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")), ["lang"], edges)
-    overall = quantiles(fine.groupBy("measure", "bucket").agg(F.sum("n").alias("n")), [], edges)
-    o, g, a = own.alias("o"), by_lang.alias("g"), overall.alias("a")
-    joined = o.join(g, F.col("o.lang").eqNullSafe(F.col("g.lang")) & (F.col("o.measure") == F.col("g.measure"))).join(
-        a, F.col("o.measure") == F.col("a.measure")
-    )
-
-    def chosen(name: str) -> Column:
-        return (
-            F.when(F.col("o.total") >= least_rows, F.col(f"o.{name}"))
-            .when(F.col("g.total") >= least_rows, F.col(f"g.{name}"))
-            .otherwise(F.col(f"a.{name}"))
-        )
-
-    limits = joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.measure").alias("measure"), chosen("low").alias("low"), chosen("high").alias("high"))
+    fine = written(sketches(counted, ["lang", "source"]).withColumn("n", F.col("n") * _UNIT), "quality-sketches")
+    by_lang = fine.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    overall = fine.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    of_lang = written(blended(by_lang, overall, ["lang"], [], prior_rows), "quality-languages")
+    limits = quantiles(blended(fine, of_lang, ["lang", "source"], ["lang"], prior_rows), ["lang", "source"], edges)
     picked = []
     for name, (times, least) in rules.items():
         spread = F.greatest(F.col("high") - F.col("low"), F.lit(least))
