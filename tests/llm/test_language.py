@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -39,12 +40,32 @@ def slow_bits(samples, name, text):
 
 def test_code_lengths_are_exact():
     samples = {"a": [b"the cat sat on the mat ", b"a hat"], "b": [b"le chat est la ", "été à Paris".encode()]}
-    trees = language.ContextTrees(samples)
-    for text in (b"the chat sat", b"", "été 中 z".encode(), b"x" * 30):
-        for block in (4, 1 << 16):
-            got = trees.bits(text, block)
+    trees = language.ContextTrees.of(samples)
+    texts = [b"the chat sat", b"", "été 中 z".encode(), b"x" * 30]
+    for block in (4, 1 << 16):
+        for text, got in zip(texts, trees.bits(texts, block), strict=True):
             for at, name in enumerate(trees.languages):
-                assert abs(got[at] - slow_bits(samples, name, text)) < 1e-3 * (1 + got[at])
+                assert abs(got[at] - slow_bits(samples, name, text)) < 1e-5
+
+
+def test_languages_take_room_for_their_own_samples_only():
+    alphabet = "abcdefghijklmnopqrstuvwxyz "
+    draw = np.random.default_rng(5)
+    samples = {f"l{i}": ["".join(draw.choice(list(alphabet), 3000)).encode() for _ in range(3)] for i in range(40)}
+    room = lambda trees: sum(len(part.values) for part in (*trees.escapes, *trees.savings))
+    alone = sum(room(language.ContextTrees.of({name: texts})) for name, texts in samples.items())
+    assert room(language.ContextTrees.of(samples)) == alone
+
+
+def test_counts_of_the_sample_equal_those_of_its_texts(documents):
+    learn = F.col("doc_id") % 2 == 0
+    trees = language.learned(documents, learn, None, 5)
+    samples = {}
+    for r in language.training_sample(documents, F.col("lang"), learn, 5).collect():
+        samples.setdefault(r["sample_lang"], []).append(r["sample_text"].encode())
+    texts = [r["text"].encode() for r in documents.limit(20).collect() if r["text"]]
+    assert trees.languages == sorted(samples)
+    assert np.array_equal(trees.bits(texts), language.ContextTrees.of(samples).bits(texts))
 
 
 def test_query_on_held_out_documents(spark, documents):
@@ -70,6 +91,9 @@ def test_odd_rows(odd, empty):
 
 
 def test_sample_is_bounded_and_stable(documents):
-    first = language.training_sample(documents, F.col("lang"), F.lit(True), 5)
-    assert {k: len(v) for k, v in first.items()} == dict.fromkeys(first, 5)
-    assert first == language.training_sample(documents.repartition(5), F.col("lang"), F.lit(True), 5)
+    def sample(docs):
+        return sorted(map(tuple, language.training_sample(docs, F.col("lang"), F.lit(True), 5).collect()))
+
+    first = sample(documents)
+    assert set(Counter(name for name, _ in first).values()) == {5}
+    assert first == sample(documents.repartition(5))

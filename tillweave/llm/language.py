@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,119 +17,160 @@ ORDER = 3  # bytes of context at most
 UNDETERMINED = "und"
 
 
+def gram_counts(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of the runs of 1 to ``ORDER`` + 1 bytes, each run as a number (most significant byte first), ascending."""
+    found: list[list[np.ndarray]] = [[] for _ in range(ORDER + 1)]
+    for text in texts:
+        code = np.frombuffer(text, np.uint8).astype(np.int64)
+        gram = code
+        for k in range(ORDER + 1):
+            if k:
+                gram = gram[:-1] << 8 | code[k:]
+            found[k].append(gram)
+    return [np.unique(np.concatenate(g or [np.zeros(0, np.int64)]), return_counts=True) for g in found]
+
+
+class _Sparse:
+    """Values of (code, language) pairs, by code: only pairs that were met take room."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        codes = np.concatenate([c for c, _ in parts])
+        languages = np.repeat(np.arange(len(parts), dtype=np.int32), [len(c) for c, _ in parts])
+        order = np.argsort(codes, kind="stable")
+        self.codes, first = np.unique(codes[order], return_index=True)
+        self.ends = np.append(first, len(codes)).astype(np.int64)
+        self.languages, self.values = languages[order], np.concatenate([v for _, v in parts])[order]
+
+    def add_to(self, bits: np.ndarray, codes: np.ndarray) -> None:
+        """Add the values of each of ``codes`` to its row of ``bits``."""
+        if not len(self.codes):
+            return
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        rows = np.flatnonzero(self.codes[at] == codes)
+        begin, many = self.ends[at[rows]], np.diff(self.ends)[at[rows]]
+        here = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        bits[np.repeat(rows, many), self.languages[here]] += self.values[here]
+
+
 class ContextTrees:
-    """Byte context trees of several languages with frozen counts, laid out as one table of code lengths.
+    """Byte context trees of several languages with frozen counts.
+
+    In a context of length k a byte with count c, among n occurrences of d different bytes, costs -log2(c / (n + d)); an
+    unseen one costs the escape -log2(d / (n + d)) and its cost in the context one byte shorter; below the empty context all
+    256 bytes are alike. A context that a language never saw costs nothing to leave.
 
-    Bytes are mapped to the symbols seen in training; all others are one symbol more. In a context of length k a symbol with
-    count c, among n occurrences of d different symbols, costs -log2(c / (n + d)); an unseen one costs the escape
-    -log2(d / (n + d)) and its cost in the context one byte shorter; below the empty context all 256 bytes are alike. A
-    context that a language never saw costs nothing to leave. ``nodes`` gives the number of the longest context known to any
-    language for the last ``ORDER`` symbols; ``costs[node, symbol]`` are the bits of the symbol there in each language.
+    A byte's cost is therefore 8 bits, and for each of its contexts that the language saw the escape, and for each of those
+    in which the language saw the byte what its own code saves against the escape. Only these two kinds of value are kept,
+    so a language takes room for what its own sample holds, whatever the other languages hold.
     """
 
-    def __init__(self, samples: dict[str, list[bytes]]):
-        self.languages = sorted(samples)
-        seen = np.zeros(256, bool)
-        for texts in samples.values():
-            for text in texts:
-                seen[np.frombuffer(text, np.uint8)] = True
-        self.symbols = np.full(256, int(seen.sum()), np.int64)
-        self.symbols[seen] = np.arange(int(seen.sum()))
-        size = self.size = int(seen.sum()) + 1
-        counts = {name: self._grams(texts) for name, texts in samples.items()}
-        known = [np.unique(np.concatenate([counts[name][k][0] // size for name in self.languages])) for k in range(ORDER + 1)]
-        costs = np.full((1, size, len(self.languages)), 8.0)
-        owner = np.zeros(1, np.int64)  # node of each context of the length before
-        first, parts = 0, []
+    def __init__(self, counts: dict[str, list[tuple[np.ndarray, np.ndarray]]]):
+        """``counts``: of each language the ``gram_counts`` of its sample."""
+        self.languages = sorted(counts)
+        self.escapes: list[_Sparse] = []
+        self.savings: list[_Sparse] = []
+        shorter = {name: (np.zeros(1, np.int64), np.full(1, 8.0)) for name in self.languages}
         for k in range(ORDER + 1):
-            contexts = known[k]
-            shorter = contexts % size ** max(k - 1, 0)
-            base = costs[owner[shorter]] if k else np.repeat(costs, len(contexts), axis=0)
-            here = base.copy()
-            for at, name in enumerate(self.languages):
+            escapes, savings = [], []
+            for name in self.languages:
                 codes, found = counts[name][k]
-                row, symbol = np.searchsorted(contexts, codes // size), codes % size
+                contexts, first, row = np.unique(codes >> 8, return_index=True, return_inverse=True)
                 total = np.bincount(row, found, len(contexts))
-                kinds = np.bincount(row, minlength=len(contexts)).astype(float)
-                met = total > 0
-                escape = np.zeros(len(contexts))
-                escape[met] = -np.log2(kinds[met] / (total[met] + kinds[met]))
-                here[:, :, at] += escape[:, None]
-                here[row, symbol, at] = -np.log2(found / (total[row] + kinds[row]))
-            # the next length falls back to these where it knows the context, else to what these fell back to
-            table = np.zeros(size**k, np.int64) if k == 0 else owner[np.arange(size**k) % size ** (k - 1)] + 0
-            if k:
-                table = table.copy()
-            table[contexts] = first + np.arange(len(contexts))
-            parts.append(here)
-            first += len(contexts)
-            owner, costs = table, np.concatenate(parts)
-        self.nodes, self.costs = owner.astype(np.int32), costs.astype(np.float32)
-
-    def _grams(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Counts of the runs of 1 to ``ORDER`` + 1 symbols, as numbers to the base of the number of symbols."""
-        found: list[list[np.ndarray]] = [[] for _ in range(ORDER + 1)]
-        for text in texts:
-            code = self.symbols[np.frombuffer(text, np.uint8)]
-            gram = code
-            for k in range(ORDER + 1):
-                if k:
-                    gram = gram[:-1] * self.size + code[k:]
-                found[k].append(gram)
-        return [np.unique(np.concatenate(g or [np.zeros(0, np.int64)]), return_counts=True) for g in found]
-
-    def bits(self, text: bytes, block: int = 1 << 16) -> np.ndarray:
-        """Exact code length of a whole text in each language, block by block."""
-        total = np.zeros(len(self.languages))
-        raw = np.frombuffer(text, np.uint8)
+                kinds = np.diff(np.append(first, len(codes)))
+                escape, cost = -np.log2(kinds / (total + kinds)), -np.log2(found / (total + kinds)[row])
+                below, cost_below = shorter[name]
+                suffix = np.searchsorted(below, codes & (1 << 8 * k) - 1)  # a run's end was met with the run
+                escapes.append((contexts, escape))
+                savings.append((codes, cost - escape[row] - cost_below[suffix]))
+                shorter[name] = codes, cost
+            self.escapes.append(_Sparse(escapes))
+            self.savings.append(_Sparse(savings))
+
+    @classmethod
+    def of(cls, samples: dict[str, list[bytes]]) -> ContextTrees:
+        return cls({name: gram_counts(texts) for name, texts in samples.items()})
+
+    def _costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each run of ``ORDER`` + 1 bytes, in each language."""
+        bits = np.full((len(grams), len(self.languages)), 8.0)
+        for k in range(ORDER + 1):
+            code = grams & (1 << 8 * (k + 1)) - 1
+            self.escapes[k].add_to(bits, code >> 8)
+            self.savings[k].add_to(bits, code)
+        return bits
+
+    def bits(self, texts: list[bytes], block: int | None = None) -> np.ndarray:
+        """Exact code lengths of whole texts in each language (a row per text), to a millionth of a bit.
+
+        The texts are walked end to end in blocks of bytes, the smaller the more languages there are; runs that repeat
+        within a block are looked up once. The first bytes of a text have a blank context, as after white space.
+        """
+        block = block or max(1 << 12, (1 << 22) // len(self.languages))
+        total = np.zeros((len(texts), len(self.languages)))
+        raw = np.frombuffer(b"".join(b" " * ORDER + text for text in texts), np.uint8)
+        ends = np.cumsum([ORDER + len(text) for text in texts])
+        starts = np.append(0, ends[:-1])[: len(texts)] + ORDER  # of the texts proper, behind their blanks
         for low in range(0, len(raw), block):
-            ahead = max(0, low - ORDER)
-            code = self.symbols[raw[ahead : low + block]]
-            # the first bytes of a text have a blank context: that of white space
-            lead = np.full(ORDER - (low - ahead), self.symbols[32], np.int64)
-            code = np.concatenate([lead, code])
-            n = len(code) - ORDER
-            context = code[:n]
-            for k in range(1, ORDER):
-                context = context * self.size + code[k : n + k]
-            total += self.costs[self.nodes[context], code[ORDER:]].sum(axis=0, dtype=np.float64)
-        return total
-
-
-def training_sample(docs: DataFrame, lang: Column, learn: Column, per_language: int) -> dict[str, list[bytes]]:
-    """Whole texts of at most ``per_language`` rows of each language, chosen by a hash of the id.
-
-    Ids are chosen without reading texts; what comes to the driver is ``per_language`` texts for each language.
-    """
+            high = min(low + block, len(raw))
+            begin, end = np.clip(starts, low, high), np.clip(ends, low, high)
+            inside = np.flatnonzero(end > begin)
+            many = (end - begin)[inside]
+            if not len(inside):
+                continue
+            edges = np.cumsum(many) - many
+            at = np.repeat(begin[inside] - edges, many) + np.arange(many.sum())
+            gram = raw[at - ORDER].astype(np.int64)
+            for k in range(ORDER - 1, -1, -1):
+                gram = gram << 8 | raw[at - k]
+            row, grams = pd.factorize(gram)
+            total[inside] += np.add.reduceat(self._costs(grams)[row], edges, axis=0)
+        return np.round(total, 6)
+
+
+def training_sample(docs: DataFrame, lang: Column, learn: Column, per_language: int) -> DataFrame:
+    """Whole texts (``sample_lang``, ``sample_text``) of at most ``per_language`` rows of each language, chosen by a hash of
+    the id. Ids are chosen without reading texts."""
     labelled = docs.where(learn & lang.isNotNull()).select(
         lang.cast("string").alias("sample_lang"), F.col("doc_id").alias("sample_id"), F.col("text").alias("sample_text")
     )
     chosen = written(hash_sample(labelled, "sample_lang", "sample_id", F.lit(per_language)), "lang-sample")
-    rows = (
-        labelled.where("sample_text is not null")
-        .join(chosen, ["sample_lang", "sample_id"])
-        .groupBy("sample_lang", "sample_id")
-        .agg(F.min("sample_text").alias("sample_text"))
-        .orderBy("sample_lang", "sample_id")
-        .collect()
-    )
-    found: dict[str, list[bytes]] = {}
-    for row in rows:
-        found.setdefault(row["sample_lang"], []).append(row["sample_text"].encode("utf-8", "surrogatepass"))
-    return found
+    rows = labelled.where("sample_text is not null").join(chosen, ["sample_lang", "sample_id"])
+    return rows.groupBy("sample_lang", "sample_id").agg(F.min("sample_text").alias("sample_text")).drop("sample_id")
 
 
 def learned(docs: DataFrame, learn: Column, lang: Column | None, per_language: int) -> ContextTrees | None:
-    samples = training_sample(docs, F.col("lang") if lang is None else lang, learn, per_language)
-    return ContextTrees(samples) if samples else None
-
+    """Trees of the sample's languages. Tasks count byte runs, and only their sums, one per language and run that its sample
+    holds, come to the driver; texts do not."""
+    sample = written(training_sample(docs, F.col("lang") if lang is None else lang, learn, per_language), "lang-texts")
 
-def predicted(trees: ContextTrees | None, text: str | None, overlap: float) -> tuple[str, float]:
-    if trees is None or not text or not any(map(str.isalpha, text)):
-        return UNDETERMINED, 0.0
-    bits = trees.bits(text.encode("utf-8", "surrogatepass"))
-    best = int(bits.argmin())
-    return trees.languages[best], float(1 / np.exp2(np.maximum((bits[best] - bits) / overlap, -1000)).sum())
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, (codes, found) in enumerate(gram_counts([text.encode("utf-8", "surrogatepass")])):
+                    columns = [pa.array([name] * len(codes), pa.string()), pa.array(np.full(len(codes), k, np.int32)), pa.array(codes), pa.array(found)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["name", "k", "code", "n"])
+
+    runs = sample.select("sample_lang", "sample_text").mapInArrow(count, "name string, k int, code long, n long")
+    sums = runs.groupBy("name", "k", "code").agg(F.sum("n").alias("n")).toArrow()
+    # a language whose sampled texts are all empty is learned too, from nothing
+    names = [r["sample_lang"] for r in sample.select("sample_lang").distinct().collect()]
+    if not names:
+        return None
+    name, k, code, n = (sums.column(c).to_numpy() for c in ("name", "k", "code", "n"))
+    order = np.lexsort((code, k))
+    name, k, code, n = name[order], k[order], code[order], n[order]
+    return ContextTrees({own: [(code[at], n[at]) for order in range(ORDER + 1) for at in [(name == own) & (k == order)]] for own in names})
+
+
+def predicted(trees: ContextTrees | None, texts: list[str | None], overlap: float) -> list[tuple[str, float]]:
+    found = [(UNDETERMINED, 0.0)] * len(texts)
+    lettered = [at for at, text in enumerate(texts) if trees is not None and text and any(map(str.isalpha, text))]
+    if lettered:
+        bits = trees.bits([texts[at].encode("utf-8", "surrogatepass") for at in lettered])
+        for at, own in zip(lettered, bits):
+            best = int(own.argmin())
+            found[at] = trees.languages[best], float(1 / np.exp2(np.maximum((own[best] - own) / overlap, -1000)).sum())
+    return found
 
 
 def predict_language(
@@ -150,7 +192,7 @@ def predict_language(
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [predicted(shared.value, t, overlap) for t in batch.column(1).to_pylist()]
+            found = predicted(shared.value, batch.column(1).to_pylist(), overlap)
             arrays = [pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.fieldNames())
 
@@ -166,7 +208,7 @@ def keep_known(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [predicted(shared.value, t, overlap) for t in batch.column(at).to_pylist()]
+            found = predicted(shared.value, batch.column(at).to_pylist(), overlap)
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
