@@ -146,6 +146,23 @@ def test_performance_is_not_multiplied_by_sales_rows(spark, config, articles):
     assert (row.redemptions, row.unique_redeemers, row.boosted_sales, row.points_cost) == (2.0, 1, 16.0, 1.0)
 
 
+def test_performance_credits_an_item_to_each_redemption_row(spark, lines, config, articles):
+    sales = campaigns.campaign_sales(lines, config, articles)
+    schema = "offer_id string, scv_id string, receipt_id string, article_id string, redemptions double, bonus_points_earn double"
+    segments = redeemers.redeemer_segments(
+        spark.createDataFrame([("b", "milk", "k1"), ("b", "milk", "k2")], "offer_id string, brand string, scv_id string"), redeemers.shopper_activity(sales)
+    )
+
+    def result(rows):
+        row = performance.campaign_performance(spark.createDataFrame(rows, schema), articles, sales, segments).first()
+        return row.redemptions, row.unique_redeemers, row.boosted_sales, row.bonus_points
+
+    one = ("b", "k1", "r1", "1", 1.0, 50.0)
+    assert result([one]) == (1.0, 1, 15.0, 50.0)
+    assert result([one, ("b", "k2", "r1", "1", 1.0, 50.0)]) == (2.0, 2, 30.0, 100.0)
+    assert result([one, one]) == (2.0, 1, 30.0, 100.0)  # repeated reward rows repeat the sales too
+
+
 def test_uplift_without_pre_baskets_is_null(lines, config, articles):
     rows = {(r.offer_id, r.brand): r for r in performance.campaign_uplift(campaigns.campaign_sales(lines, config, articles), config).collect()}
     tea = rows["b", "tea"]

@@ -177,3 +177,28 @@ def test_running_totals_share_peers_and_empty_event(spark):
     assert set(rows) == {-1, 0}
     assert (rows[-1].ty_quantity, rows[-1].ly_quantity, rows[0].ly_quantity, rows[0].cumulative_ly) == (2.0, None, 4.0, 4.0)
     assert rows[0].date == D(2024, 12, 25)
+
+
+def test_latest_vendor_of_planned_articles(spark):
+    sites = spark.createDataFrame(
+        [("a", "v1", "one", D(2025, 1, 1), "O"), ("a", "v2", "two", D(2025, 3, 1), "O"), ("a", "v3", "three", D(2025, 9, 1), "P"),
+         ("b", "v1", "one", D(2025, 1, 1), "O"), ("c", "v1", "one", D(2025, 1, 1), "O"), ("d", "v1", "one", D(2025, 1, 1), "O"), (None, "v1", "one", D(2025, 1, 1), "O")],
+        "article_id string, vendor_code string, vendor_description string, valid_to date, sales_org string",
+    )
+    plan = spark.createDataFrame(
+        [("a", 40, 44), ("a", 50, 52), ("b", 30, 43), ("c", 50, 49), ("d", None, 52), (None, 44, 52), ("z", 44, 52)],
+        "article_id string, start_week int, finish_week int",
+    )
+    planned = seasonal.planned_articles(plan, first_week=44, last_week=52)
+    assert {r.article_id for r in planned.collect()} == {"a", "z", None}
+    rows = seasonal.latest_vendor_per_article(sites, sales_org="O", planned=planned).collect()
+    assert [(r.article_id, r.vendor_code) for r in rows] == [("a", "v2")]
+    assert seasonal.latest_vendor_per_article(sites, sales_org="O").count() == 5
+
+
+def test_offers_by_pattern(spark):
+    offers = spark.createDataFrame(
+        [("1", "x ITM y"), ("1", "ITM"), ("2", "itm"), ("3", None), (None, "ITM"), ("4", "IT_M")], "offer_id string, campaign_code string"
+    )
+    like = lambda pattern: {r.offer_id for r in invoicing.offers_like(offers, "campaign_code", pattern).collect()}
+    assert like("%ITM%") == {"1"} and like("IT\\_M") == {"4"} and like("%") == {"1", "2", "4"}

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from tillweave.functions.values import json_text, split_field
 
 
+def offers_like(offers: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Distinct ids of the offers whose ``column`` fits a LIKE pattern; a missing value fits none, and a missing id is left out."""
+    return offers.filter(F.like(column, F.lit(pattern)) & F.col("offer_id").isNotNull()).select("offer_id").distinct()
+
+
 def redeemed_offer_articles(rewards: DataFrame, offers: DataFrame) -> DataFrame:
     """Distinct (offer, article) pairs redeemed under the given offers."""
     return (

@@ -35,7 +35,9 @@ def campaign_performance(
     """Per offer and brand: redemptions, redeemers, sales of the redeemed items, points, their cost, and segments.
 
     Sales are summed to one row per redeemed item before the join, so several sales rows cannot multiply redemptions.
-    Redemptions are first reduced to customers; the second step then only adds up and counts rows.
+    The other way round they do: ``boosted_sales`` counts an item's sales once for each of its redemption rows, as each
+    redeemer is credited with the item. Where reward rows repeat, pass ``offer_redemptions``, which sums exact repeats, or
+    reduce them to one row per customer and item. Redemptions are first reduced to customers; the second step then only adds up and counts rows.
     """
     brands = offer_articles.select("offer_id", "article_id", "brand").distinct()
     item = ["offer_id", "brand", "receipt_id", "article_id"]

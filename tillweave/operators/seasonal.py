@@ -129,12 +129,27 @@ def first_vendor_per_article(article_sites: DataFrame, *, sales_org: str) -> Dat
     )
 
 
-def latest_vendor_per_article(article_sites: DataFrame, *, sales_org: str) -> DataFrame:
-    """One vendor per article: the one supplying until the latest date, then the highest code."""
+def planned_articles(plan: DataFrame, *, first_week: int, last_week: int) -> DataFrame:
+    """Distinct articles planned in at least one of the weeks ``first_week`` to ``last_week``.
+
+    A plan row without a week (it ends before it starts, or an end is missing) plans nothing.
+    """
+    touches = (F.col("start_week") <= F.col("finish_week")) & (F.col("start_week") <= last_week) & (F.col("finish_week") >= first_week)
+    return plan.filter(touches).select("article_id").distinct()
+
+
+def latest_vendor_per_article(article_sites: DataFrame, *, sales_org: str, planned: DataFrame | None = None) -> DataFrame:
+    """One vendor per article: the one supplying until the latest date, then the highest code.
+
+    Only articles in ``planned`` count (default: all). The semi-join and the aggregation work on one partitioning, unless
+    the planned articles are few enough to be broadcast.
+    """
     vendor = F.struct("valid_to", "vendor_code", "vendor_description")
+    supplied = article_sites.filter(F.col("sales_org") == sales_org)
+    if planned is not None:
+        supplied = supplied.join(planned.select("article_id"), "article_id", "left_semi")
     return (
-        article_sites.filter(F.col("sales_org") == sales_org)
-        .groupBy("article_id")
+        supplied.groupBy("article_id")
         .agg(F.max(vendor).alias("vendor"))
         .select("article_id", "vendor.vendor_code", "vendor.vendor_description", "vendor.valid_to")
     )

@@ -279,6 +279,14 @@ def offer_vendor_arrays(s: StandIn) -> DataFrame:
     return lists.select("offer_id", "vendor_count", *[F.to_json(c).alias(c) for c in ("articles", "vendor_ids", "vendor_descriptions")])
 
 
+@query
+def offer_vendor_arrays_by_name(s: StandIn) -> DataFrame:
+    """The lists of the offers whose name fits a pattern."""
+    redeemed = invoicing.redeemed_offer_articles(s.rewards(), invoicing.offers_like(s.offers(), "offer_name", "SKU|%A|x"))
+    lists = invoicing.offer_vendor_arrays(redeemed, s.article_vendors())
+    return lists.select("offer_id", "vendor_count", *[F.to_json(c).alias(c) for c in ("articles", "vendor_ids", "vendor_descriptions")])
+
+
 @query
 def invoice_feed(s: StandIn) -> DataFrame:
     own_brand = invoicing.offer_own_brand(redeemed_of(s), s.article_vendors())
@@ -434,6 +442,13 @@ def latest_vendor_per_article(s: StandIn) -> DataFrame:
     return seasonal.latest_vendor_per_article(s.article_sites(), sales_org="ORG2")
 
 
+@query
+def latest_vendor_of_season(s: StandIn) -> DataFrame:
+    """Latest vendors of the articles planned for the last nine weeks of a year."""
+    planned = seasonal.planned_articles(s.plan(), first_week=44, last_week=52)
+    return seasonal.latest_vendor_per_article(s.article_sites(), sales_org="ORG2", planned=planned)
+
+
 @query
 def seasonal_report(s: StandIn) -> DataFrame:
     return seasonal_plan.seasonal_report(
