@@ -67,17 +67,26 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return (F.crc32(id_text(doc_id).cast("binary")) % modulus).cast("int")
 
 
-def hash_sample(rows: DataFrame, by: str, key: str, most: Column) -> DataFrame:
+def hash_sample(rows: DataFrame, by: str, key: str, most: Column, slices: int = 1_024) -> DataFrame:
     """At most ``most`` (a column over ``by``) distinct keys of each group: those of smallest hash (``by``, ``key``).
 
-    Groups' sizes give each a first cut by hash that leaves about four times as many, so no group is ranked whole.
+    Groups' sizes give each a first cut by hash that leaves about four times as many. What is left is counted by slices of
+    the hash's range; the sums of these counts, ``slices`` a group, tell which slices are taken whole, and only the keys of
+    the one slice in which a group's sample ends are ranked.
     """
     ids = rows.select(by, key).distinct()
     sizes = written(ids.groupBy(by).agg(F.count(F.lit(1)).alias("group_size")).withColumn("most", most), "sample-sizes")
-    spread = F.pmod(F.xxhash64(key), F.lit(1 << 30)) * F.col("group_size") < F.lit(1 << 30) * (4.0 * F.col("most") + 100)
-    turn = Window.partitionBy(by).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key)
-    near = ids.join(sizes, by).where(spread).withColumn("turn", F.row_number().over(turn))
-    return near.where(F.col("turn") <= F.col("most")).select(by, key)
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    share = place * F.col("group_size") / (F.lit(1 << 30) * (4.0 * F.col("most") + 100))
+    near = ids.join(sizes, by).withColumn("share", share).where("share < 1")
+    near = written(near.select(by, key, "most", place.alias("place"), F.floor(F.col("share") * slices).alias("slice")), "sample-near")
+    upto = F.sum("slice_rows").over(Window.partitionBy(by).orderBy("slice"))
+    ends = near.groupBy(by, "slice").agg(F.count(F.lit(1)).alias("slice_rows")).withColumn("upto", upto)
+    found = near.join(ends, [by, "slice"]).withColumn("before", F.col("upto") - F.col("slice_rows"))
+    whole = found.where(F.col("upto") <= F.col("most"))
+    last = found.where((F.col("before") < F.col("most")) & (F.col("upto") > F.col("most")))
+    ranked = last.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy("place", key)))
+    return whole.select(by, key).unionByName(ranked.where(F.col("before") + F.col("turn") <= F.col("most")).select(by, key))
 
 
 def few(df: DataFrame, most: int = 4_000_000) -> DataFrame:
