@@ -96,3 +96,22 @@ def test_unpartitioned_and_empty_tables(spark, tmp_path):
     assert rows_of(table.read()) == [(5, 5.0)]
     with pytest.raises(ValueError, match="run"):
         table.replace(spark.createDataFrame([(1,)], "run int"))
+
+
+def test_merge_gathers_no_partition_in_one_task(spark, table, monkeypatch):
+    """However large the changes, the rows of a table partition do not meet the touched partitions by a shuffle on it."""
+    plans, write = [], table._write
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(table, "_write", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        table.merge(spark.createDataFrame([(1, "a", 10.0), (3, "c", 30.0)], SCHEMA), ["k"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(coalesce(part" not in plans[0]
+    assert rows_of(table.read()) == sorted([(1, "a", 10.0), (2, "a", 2.0), (3, "c", 30.0), (4, None, 4.0), (5, "x=y/ü", 5.0)], key=str)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillweave.sources.staging import stage
+
 _RUN = "run"
 
 
@@ -143,7 +145,8 @@ class VersionedTable:
         current = self._current(schema, self._parts(after))
         upserts = changes.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted) if deleted else changes
         hit = current.join(complete.select(*keys), list(keys), "left_semi").select(*self.by)
-        touched = hit.unionByName(upserts.select(*self.by)).distinct() if self.by else hit
+        # one row per touched partition: found once, and handed to the tasks, or the join would gather a partition's rows in one of them
+        touched = F.broadcast(stage(hit.unionByName(upserts.select(*self.by)).distinct(), "touched-partitions")) if self.by else hit
         old = current
         if self.by:
             old, part = current.alias("old"), touched.alias("part")
