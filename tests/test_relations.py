@@ -111,6 +111,39 @@ def test_asof_spreads_a_hot_key(spark):
         assert got.where("price != floor(t / 5000) * 50000 or price is null").isEmpty() and got.count() == 20_000
 
 
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_asof_reads_each_side_once_and_shuffles_them_once(spark, tmp_path, monkeypatch, partitions):
+    """Also rows without a key or time come from the staged rows; a hot key's spans, rows of the key's type and time are kept."""
+
+    def written(df, name):
+        path = f"file://{tmp_path}/{name}-{partitions}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(asof, "stage", written)
+    left = spark.range(1000).selectExpr("id as i", "if(id % 10 = 0, null, 'k' || id % 300) as k", "if(id % 7 = 0, null, int(id)) as t")
+    right = spark.range(0, 1000, 3).selectExpr("'k' || id % 300 as k", "id as since", "id * 10 as price")
+    with settings(spark, spark__sql__shuffle__partitions=partitions):
+        got = asof.asof_join(left, right, on=["k"], left_time="t", right_time="since", values=["price"])
+        plan = plan_of(got)
+        assert plan.count("Exchange hashpartitioning") == 1 and "Range (" not in plan
+        rows = {r.i: r for r in got.collect()}
+    assert got.schema["t"].dataType == left.schema["t"].dataType and len(rows) == 1000
+    for i, r in rows.items():
+        fits = [s for s in range(0, 1000, 3) if s % 300 == i % 300 and s <= i]
+        whole = i % 10 and i % 7
+        assert (r.k, r.t) == (f"k{i % 300}" if i % 10 else None, i if i % 7 else None)
+        assert r.price == (max(fits) * 10 if whole and fits else None)
+
+
+def test_asof_cuts_hot_keys_only(spark):
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, 'hot', 'k' || id) as k", "int(id) as asof_time")
+    with settings(spark, spark__sql__shuffle__partitions=8):
+        cuts = {r.k: r.asof_cuts for r in asof._spans(rows, ["k"]).collect()}
+        assert list(cuts) == ["hot"] and len(cuts["hot"]) >= 8 and cuts["hot"] == sorted(set(cuts["hot"]))
+        assert asof._spans(rows.where("k <> 'hot'"), ["k"]) is None
+
+
 # ---- ordered windows ----
 
 
