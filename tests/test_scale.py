@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from tests.oracle_check import spark_rows
 from tillweave.operators import campaigns
+from tillweave.plans import market_report
 from tillweave.sources import staging
+from tillweave.sources.standin import AS_OF, StandIn
 from tillweave.sources.tables import TableBook, replace_files, replace_table
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -166,3 +168,25 @@ def test_weekly_uplift_equals_direct_aggregation(spark):
     uplift = entry_module.queries()["weekly_uplift_by_brand"](spark, directory)
     pairs = uplift.join(direct, ["offer_id", "brand"], "left").select("weekly_sales_campaign", "direct").collect()
     assert pairs and all(abs(a - b) < 1e-3 for a, b in pairs)
+
+
+def test_market_rows_are_joined_once(spark, tmp_path, monkeypatch):
+    """The spread and the canonical descriptions read the staged rows in scope, not the joins that give them."""
+    staged = {}
+
+    def written(df, name):
+        staged[name] = plan_of(df)
+        df.write.parquet(f"file://{tmp_path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"file://{tmp_path}/{name}")
+
+    monkeypatch.setattr(market_report, "stage", written)
+    market_report.matched_market(StandIn(spark, DIRECTORY).market(), as_of=AS_OF, markets={"Total": "total"}, departments=["economy"], segments=["brand#3"])
+    assert "Join" not in staged["market-spread"] + staged["market-canonical"]
+
+
+@pytest.mark.parametrize("table, week", [("market", "week_start"), ("pos_lines", "financial_week_end_date"), ("store_articles", "financial_week_end_date")])
+def test_weeks_cut_receipts_before_their_lines(spark, table, week):
+    """The calendar's join lies below that of the lines."""
+    with settings(spark, **NO_BROADCAST):
+        plan = plan_of(getattr(StandIn(spark, DIRECTORY), table)().where(F.col(week) == dt.date(2001, 7, 29)))
+    assert 0 < plan.index("Join [l_orderkey") < plan.index("Join [receipt_date")
