@@ -2,12 +2,14 @@
 
 import contextlib
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from tests.oracle_check import spark_rows
+from tillweave import queries
 from tillweave.operators import campaigns
 from tillweave.plans import market_report
 from tillweave.sources import staging
@@ -190,3 +192,18 @@ def test_weeks_cut_receipts_before_their_lines(spark, table, week):
     with settings(spark, **NO_BROADCAST):
         plan = plan_of(getattr(StandIn(spark, DIRECTORY), table)().where(F.col(week) == dt.date(2001, 7, 29)))
     assert 0 < plan.index("Join [l_orderkey") < plan.index("Join [receipt_date")
+
+
+def test_price_report_joins_narrow_sources_first(spark, tmp_path, monkeypatch):
+    """Names and descriptions join after the price sources, and the till lines are joined once."""
+
+    def written(df, name):
+        df.write.parquet(f"file://{tmp_path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"file://{tmp_path}/{name}")
+
+    monkeypatch.setattr(queries, "stage", written)
+    with settings(spark, **NO_BROADCAST):
+        plan = plan_of(entry_module.queries()["price_comparison_report"](spark, DIRECTORY))
+    assert plan.count("Join [l_orderkey") == 1  # that of the shelf prices
+    keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Join \[([^\]]*)\]", plan)]
+    assert keys[:5] == ["store_id", "price_family_id", "article_id", "article_id", "article_id, unit_of_measure"]
