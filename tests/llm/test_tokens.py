@@ -154,3 +154,26 @@ ODD_TEXTS = [
     None, "", " ", "a", " a", "a ", "a  b", "İstanbul İ! x", "naïve café, déjà vu", "don't they'll I'M we've", "x\ny z", "1 22 333 4a5 b6",
     "<|endoftext|> a b", "中文 字 a", "a\u0301 b e\u0301e c", "ǅ ǆ ß ẞ ſt ﬁ x", "tab\tin side", "a b\u00a0c d", "- -- --- a- -b", "😀 a 😀b c😀 d",
 ]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(TEXT, max_size=4))
+def test_texts_encoded_together_are_encoded_like_the_whole(texts):
+    for own in ENCODERS.values():
+        want = [np.array(own.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert own.encode_all(texts) == want
+
+
+def test_a_word_is_learned_once_whatever_stands_around_it():
+    """Ends of sentences and lines take no cache entries of their own, and nothing is handed to the library word by word."""
+    stems = [a + b + c for a in ("ab", "ün", "qu", "st") for b in ("or", "el", "é") for c in ("ing", "tion", "m", "xe")]
+    rest = [f"{a}{end} {b}" for a, b in zip(stems, stems[1:]) for end in (",", ".", ";", "!")]
+    texts = ["x " + " y ".join(rest) + " z", "x " + " y ".join(f"{a}.\n{b}" for a in stems for b in stems[:8]) + " z"]
+    for path in (BYTE, WORD):
+        own, alone = CachedEncoder(path), []
+        one = own._ids
+        own._ids = own.parts.compute = lambda text: alone.append(text) or one(text)
+        want = [np.array(own.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert own.encode_all(texts) == want
+        assert len(own.words) <= 2 * len(stems) + 10
+        assert len(alone) <= 10
